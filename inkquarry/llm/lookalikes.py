@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .units import UNIT
 
@@ -252,17 +253,13 @@ def _shard_match(key: tuple, suspects: pd.DataFrame, words: pd.DataFrame) -> pd.
     return pd.DataFrame({"word": suspects["word"], "script": suspects["script"], "canonical": out})
 
 
-@F.pandas_udf("string")
-def _shard_of(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: skeleton(w)[:_SHARD])
-
-
 def _canonical(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(word, script, canonical)`` for every distinct suspect."""
     suspects = prepared.select(F.inline("suspects")).distinct()
     shards = suspects.select("shard").distinct()
     # only words that some suspect could reach go into the tries
-    words = vocab.withColumn("shard", F.when(F.col("word").rlike(r"[^\x00-\x7F]"), _shard_of("word")).otherwise(F.substring("word", 1, _SHARD)))
+    shard_of = F.pandas_udf(lambda w: w.map(lambda x: skeleton(x)[:_SHARD]), T.StringType())
+    words = vocab.withColumn("shard", F.when(F.col("word").rlike(r"[^\x00-\x7F]"), shard_of("word")).otherwise(F.substring("word", 1, _SHARD)))
     words = words.join(shards, "shard", "left_semi")
     return suspects.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_shard_match, "word string, script string, canonical string")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import stored
 from ..sources.tables import table
-from . import encodings, lookalikes, units
+from . import encodings, lookalikes, personal, units
 
 R = Registry()
 
@@ -48,3 +48,21 @@ def p2_found(spark, d):
 @R.query("p2_consistent")
 def p2_consistent(spark, d):
     return _p2(spark, d).select("doc_id", "page", "line", "text", "consistent")
+
+
+def _p3(spark, d):
+    lines, fields = _lines(spark, d, "p3-lines"), units.field_units(table(spark, d, "fields"), number_elements=True)
+    return lines, fields, personal.detect(lines, fields)
+
+
+@R.query("p3_found")
+def p3_found(spark, d):
+    items = _p3(spark, d)[2]
+    line = F.when(F.col("src") == "fields", F.lit(-1)).otherwise(F.col("parts")[0]["line"])
+    return items.select("src", "doc_id", "page", line.alias("line"), "name", "kind").distinct()
+
+
+@R.query("p3_redacted")
+def p3_redacted(spark, d):
+    lines, fields, items = _p3(spark, d)
+    return personal.redacted(lines.unionByName(fields), items)
