@@ -28,7 +28,7 @@ class Boosted:
         """``held`` marks the rows kept for calibration."""
         x, y = np.asarray(x, float), np.asarray(y, float)
         train = ~held if held.any() and (~held).any() else np.ones(len(y), bool)
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.edges = [self._cuts(x[:, j]) for j in range(x.shape[1])]
         b, t = self._binned(x[train]), y[train]
         p = np.clip(t.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
@@ -41,6 +41,14 @@ class Boosted:
         self._calibrate(self.score(x[held]) if held.any() else self.score(x), y[held] if held.any() else y)
         return self
 
+    def _cuts(self, v: np.ndarray) -> np.ndarray:
+        """Between all distinct values if these are few, else at quantiles of the values and of the distinct values."""
+        u = np.unique(v)
+        if len(u) <= self.bins:
+            return (u[1:] + u[:-1]) / 2
+        at = np.linspace(0, 1, self.bins // 2 + 1)[1:-1]
+        return np.unique(np.concatenate([np.quantile(v, at), np.quantile(u, at)]))
+
     def _tree(self, b: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inner, n_bins = 2**self.depth - 1, self.bins + 1
         feature, cut, leaf = np.full(inner, -1), np.zeros(inner, int), np.zeros(2**self.depth)

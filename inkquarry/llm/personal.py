@@ -54,8 +54,8 @@ _CLOSED = frozenset(
     "reply deliver please witnessed pièce documento vorgelegt lieferung unterschrieben bitte flat apt price téléphoner rückfragen escreva escriba".split()
 )
 
-EMAIL = re.compile(r"[\w.+-]*\w(?: ?@ ?| ?\(at\) ?| ?\[at\] ?)(?:[\w-]+)(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[\w-]+)+", re.I)
-PHONE = re.compile(r"(?<![\w.,-])(?:\+ ?\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,6}(?:[ .\-/]{1,2}\d{1,6}){1,6}(?: ?(?:ext\.?|x|durchwahl|ramal|доб\.?) ?\d{1,5})?(?![\w]|[.,-]\d)", re.I)
+EMAIL = re.compile(r"(?<!\w)@\w+|[\w.+-]*\w(?: ?@ ?| ?\(at\) ?| ?\[at\] ?)(?:[\w-]+)(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[\w-]+)+", re.I)
+PHONE = re.compile(r"(?<![\w.,€$£¬-])(?:\+ ?\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,6}(?:[ .\-/]{1,2}\d{1,6}){1,6}(?: ?(?:ext\.?|x|durchwahl|ramal|доб\.?) ?\d{1,5})?(?![\w]|[.,-]\d)", re.I)
 ID = re.compile(
     r"(?<![\w.,-])(?:[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Z]|[A-Z]{2}-\d{6}-\d|\d{8}-?[A-Z]|[XYZKLM]-?\d{7}-?[A-Z]?|[A-Z]{5}\d{6}[A-Z0-9]{0,5}|[A-Z]{1,2}\d{6,8}|\d{3}[ -]\d{2}[ -]\d{4,5}|\d{2} \d{3} \d{3} \d{3}|\d{4}-\d{2,3}-\d{3}|\d{9,12})(?![\w]|[.,-]\d)"
 )
@@ -65,6 +65,7 @@ ADDRESS = re.compile(
     rf"\d{{1,5}}\w? (?:{_CAP} ){{1,4}}?(?:{'|'.join(x.capitalize() for x in _STREET)})\b\.?"
     rf"|\d{{1,5}},? (?:{'|'.join(_STREET_BEFORE)}) (?:d[eu]s? |de la |del |do |da )?{_CAP}(?: {_CAP})?"
     rf"|(?:{'|'.join(x.capitalize() for x in _STREET_BEFORE)}) (?:d[eu]s? |de la |del |do |da )?{_CAP}(?: {_CAP})?,? \d{{1,5}}\w?"
+    rf"|(?:{_CAP} ){{1,3}}?(?:{'|'.join(x.capitalize() for x in _STREET if len(x) > 3)})\b(?! \d)"
     rf"|{_CAP}(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer) \d{{1,5}}\w?"
     rf")(?:, (?:Apt|Flat|Unit|Suite) \w+)?(?:, (?:\d{{4,6}} )?{_CAP}(?: {_CAP})?)?(?:(?:,? [A-Z]{{2}} \d{{4,6}})|(?: [A-Z]{{2}}\d[\dA-Z]? \d[A-Z]{{2}}))?"
 )
@@ -149,7 +150,7 @@ def _label(kind: str, item: str, left: list[str], whole: bool, cue_field: int) -
     if near & set(_NOT_CUES) and kind in ("phone", "id_number"):
         return 0
     if kind == "email":
-        return 1
+        return int(not item.startswith("@"))
     if kind == "phone":
         if near & set(_ID_CUES) or len(digits) < 7 or len(digits) > 17:
             return 0
