@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .units import UNIT
 
 # Encodings that text is commonly written in or mistaken for, and signs that typographic text uses.
@@ -281,6 +282,7 @@ def garbled_tokens(words: DataFrame) -> DataFrame:
         .mapInArrow(_restore_parts, "token string, n bigint, restored string, chain string")
     )
     # what was restored so far is attested as well: it may be garbled by other chains elsewhere
+    by_part = stored(by_part, "encodings-parts")
     left = words.join(by_part, "token", "left_anti")
     attested = left.unionByName(by_part.select(F.col("restored").alias("token"), "n"))
     core_of = F.regexp_replace("token", "^[" + _EDGE_CLASS + "]+|[" + _EDGE_CLASS + "]+$", "")
@@ -310,8 +312,10 @@ def garbled(units: DataFrame) -> DataFrame:
 
     Weak tokens count where the same chain garbled something else in the same text.
     """
-    toks = tokens(units)
-    hits = toks.join(garbled_tokens(toks.groupBy("token").agg(F.count("*").alias("n"))), "token")
+    # each step reads a written table: without that the plan repeats itself at every join
+    toks = stored(tokens(units), "encodings-tokens")
+    words = stored(toks.groupBy("token").agg(F.count("*").alias("n")), "encodings-words")
+    hits = toks.join(garbled_tokens(words), "token")
     of_chain = F.collect_set(F.struct("chain", "token"))
     strong = F.max(~F.col("weak"))
     per = hits.groupBy(*UNIT).agg(strong.alias("any_strong"), F.size(of_chain).alias("n_hits"), F.size(F.collect_set("chain")).alias("n_chains"), F.collect_list(F.struct("token", "restored", "chain", "weak")).alias("t"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from .units import UNIT
 
 # Letters of other scripts that look like ASCII letters.
@@ -271,6 +272,7 @@ def consistent(units: DataFrame) -> DataFrame:
         _line_words,
         "src string, doc_id bigint, page int, line int, name string, text string, table string, suspects array<struct<word:string,script:string,shard:string>>",
     )
+    prepared = stored(prepared, "lookalikes-lines")
     canon = _canonical(prepared, vocabulary(units)).where("canonical <> word")
     hits = prepared.select(*UNIT, F.inline("suspects")).join(canon, ["word", "script"]).groupBy(*UNIT).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "canonical")))).alias("swap"))
     joined = prepared.select(*UNIT, "text", "table").join(hits, list(UNIT), "left").where(F.col("swap").isNotNull() | (F.col("table") != F.col("text")))
