@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import stored
 from ..sources.tables import table
-from . import encodings, lookalikes, personal, units
+from . import encodings, lookalikes, personal, scans, units
 
 R = Registry()
 
@@ -17,26 +17,26 @@ def _lines(spark, d, name: str) -> DataFrame:
     return stored(units.line_units(table(spark, d, "glyphs")), name)
 
 
-def _suspicious(spark, d, name: str) -> DataFrame:
-    """Lines and fields with anything a wrong decoding could have made, written once for the steps that read them."""
+def _suspicious(spark, d) -> DataFrame:
+    """Lines and fields with anything a wrong decoding could have made."""
     u = units.line_units(table(spark, d, "glyphs")).unionByName(units.field_units(table(spark, d, "fields")))
-    return stored(u.where(encodings.suspicious(F.col("text"))), name)
+    return u.where(encodings.suspicious(F.col("text")))
 
 
 @R.query("p4_found")
 def p4_found(spark, d):
-    return encodings.found(_suspicious(spark, d, "p4"))
+    return encodings.found(_suspicious(spark, d))
 
 
 @R.query("p4_restored")
 def p4_restored(spark, d):
-    return encodings.restored(_suspicious(spark, d, "p4"))
+    return encodings.restored(stored(_suspicious(spark, d), "p4-texts"))
 
 
 def _p2(spark, d) -> DataFrame:
     lines = _lines(spark, d, "p2-lines")
     fields = units.field_units(table(spark, d, "fields"))
-    bad = encodings.found(lines.unionByName(fields).where(encodings.suspicious(F.col("text"))))
+    bad = stored(encodings.found(lines.unionByName(fields).where(encodings.suspicious(F.col("text")))), "p2-garbled")
     return lookalikes.consistent(lines.join(bad.where("src = 'glyphs'"), list(units.UNIT), "left_anti"))
 
 
@@ -66,3 +66,13 @@ def p3_found(spark, d):
 def p3_redacted(spark, d):
     lines, fields, items = _p3(spark, d)
     return personal.redacted(lines.unionByName(fields), items)
+
+
+@R.query("p5_found")
+def p5_found(spark, d):
+    return scans.found(table(spark, d, "words"))
+
+
+@R.query("p5_paragraphs")
+def p5_paragraphs(spark, d):
+    return scans.paragraphs(table(spark, d, "words"))
