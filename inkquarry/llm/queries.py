@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import stored
 from ..sources.tables import table
-from . import encodings, lookalikes, personal, scans, units
+from . import encodings, lookalikes, packing, personal, scans, units
 
 R = Registry()
 
@@ -76,3 +76,26 @@ def p5_found(spark, d):
 @R.query("p5_paragraphs")
 def p5_paragraphs(spark, d):
     return scans.paragraphs(table(spark, d, "words"))
+
+
+def _p6(spark, d) -> DataFrame:
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_specs"))
+
+
+@R.query(
+    "p6_found",
+    """SELECT CAST(s.spec_id AS INTEGER) AS spec_id, d.doc_id FROM documents d, pack_specs s
+       WHERE strlen(coalesce(d.text, '')) + 1 > s.capacity_tokens""",
+)
+def p6_found(spark, d):
+    return packing.split_documents(_p6(spark, d))
+
+
+@R.query("p6_packed")
+def p6_packed(spark, d):
+    return _p6(spark, d)
+
+
+@R.query("p6_fill")
+def p6_fill(spark, d):
+    return packing.fill(_p6(spark, d), table(spark, d, "pack_specs"))
