@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import stored
 from ..sources.tables import table
-from . import encodings, lookalikes, packing, personal, scans, units
+from . import encodings, leaks, lookalikes, packing, personal, scans, units
 
 R = Registry()
 
@@ -99,3 +99,17 @@ def p6_packed(spark, d):
 @R.query("p6_fill")
 def p6_fill(spark, d):
     return packing.fill(_p6(spark, d), table(spark, d, "pack_specs"))
+
+
+def _p7(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "passage")
+
+
+@R.query("p7_found")
+def p7_found(spark, d):
+    return leaks.found(*_p7(spark, d))
+
+
+@R.query("p7_removal_spans")
+def p7_removal_spans(spark, d):
+    return leaks.removal_spans(*_p7(spark, d))
