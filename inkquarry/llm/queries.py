@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..session import stored
 from ..sources.tables import table
-from . import encodings, leaks, lookalikes, packing, personal, scans, units
+from . import encodings, leaks, lookalikes, packing, personal, scans, stuffed, units
 
 R = Registry()
 
@@ -113,3 +113,13 @@ def p7_found(spark, d):
 @R.query("p7_removal_spans")
 def p7_removal_spans(spark, d):
     return leaks.removal_spans(*_p7(spark, d))
+
+
+@R.query("p8_found")
+def p8_found(spark, d):
+    return stuffed.found(table(spark, d, "documents"))
+
+
+@R.query("p8_measures")
+def p8_measures(spark, d):
+    return stuffed.measures(table(spark, d, "documents"))
