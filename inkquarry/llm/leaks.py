@@ -50,10 +50,10 @@ _NOISE = (
 _WORD_GAPS = r"[^\pL\pM\pN]+"
 
 
-def plain_words(texts: pa.Array) -> pa.ListArray:
-    """Lower-case words of all texts, without markup, cue numbers, times and sound descriptions."""
+def plain_words(texts: pa.Array, markup: bool = False) -> pa.ListArray:
+    """Lower-case words of all texts, without cue numbers and times; without markup and sound descriptions unless asked for."""
     t = pc.fill_null(texts.cast(pa.string()), "")
-    for pattern, to in _NOISE:
+    for pattern, to in _NOISE[:-1] if markup else _NOISE:
         t = pc.replace_substring_regex(t, pattern, to)
     t = pc.utf8_lower(pc.replace_substring_regex(t, _WORD_GAPS, " "))
     return pc.split_pattern(pc.utf8_trim(t, " "), " ")

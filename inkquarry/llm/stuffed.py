@@ -31,7 +31,7 @@ from .leaks import plain_words
 
 TOP, LANGUAGES, FEW = 50, 40, 30
 #: Robust deviations from the pages of comparable length beyond which a page is flagged.
-SPREAD = 1.2
+SPREAD = 1.0
 SHARE = 0.5
 
 
@@ -46,7 +46,7 @@ def reference(documents: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = plain_words(b.column(1))
+            words = plain_words(b.column(1), markup=True)
             flat = words.flatten().dictionary_encode()
             langs = b.column(0).dictionary_encode()
             of = np.repeat(np.asarray(langs.indices), np.asarray(pc.list_value_length(words)))
@@ -74,7 +74,7 @@ def spectra(documents: DataFrame, ref: list[tuple[str, str, float]]) -> DataFram
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = plain_words(b.column(1))
+            words = plain_words(b.column(1), markup=True)
             flat = words.flatten()
             doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(words)))
             coded = flat.dictionary_encode()
@@ -196,7 +196,7 @@ def spam_share(text: str, common: frozenset[str]) -> float:
         tokens.update(w for w in _WORD.findall(_URL.sub(" ", p).lower()) if w not in common)
     n = sum(tokens.values())
     keywords = {w for w, k in tokens.items() if k >= 3 and k > 0.015 * n and len(w) > 1}
-    dense = {w for w in keywords if tokens[w] > DENSE * n and tokens[w] > 4 and len(w) > 2}
+    dense = {w for w in keywords if tokens[w] > DENSE * n and tokens[w] > 4 and len(w) > 2 and w.isalpha()}
     spam = 0
     for p in parts:
         if listed(p, keywords, common):
