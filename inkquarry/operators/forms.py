@@ -21,7 +21,8 @@ def shown(value: Column, kind: Column) -> Column:
 def spreadsheet(fields: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each document, one column for each named field; missing ones are empty. Columns are given, so no extra pass."""
     f = once(fields).where(F.col("kind").isin(*EXPORTED) & F.col("name").isin(*columns))
-    return f.groupBy("doc_id").pivot("name", columns).agg(F.first(shown(F.col("value"), F.col("kind")))).fillna("", columns)
+    wide = f.groupBy("doc_id").pivot("name", columns).agg(F.first(shown(F.col("value"), F.col("kind"))))
+    return wide.select("doc_id", *(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
 
 def first_seen(fields: DataFrame, most: int = 5000) -> list[str]:

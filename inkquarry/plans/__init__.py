@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from . import nested
+    from . import core, nested
 
-    return [nested.R]
+    return [core.R, nested.R]
