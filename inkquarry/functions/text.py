@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
 PHONE = r"(?<![\w+])(?:\+(?=\d)|(?=[(\d]))\(?\d[\d .()\-]{8,18}\d(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-SSN = r"(?<![\w-])(?!000|666|9)\d{3}([- ])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])"
+SSN = r"(?<![\w-])(?!000|666|9)\d{3}(?:-(?!00)\d{2}-|\x20(?!00)\d{2}\x20)(?!0000)\d{4}(?![\w-])"
 _MONTH = r"(?:Jan(?:uary|\.)?|Feb(?:ruary|\.)?|Mar(?:ch|\.)?|Apr(?:il|\.)?|May|Jun(?:e|\.)?|Jul(?:y|\.)?|Aug(?:ust|\.)?|Sep(?:t\.?|tember|\.)?|Oct(?:ober|\.)?|Nov(?:ember|\.)?|Dec(?:ember|\.)?)"
 DATE = (
     r"(?<![\w/.-])(?:\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})|\d{4}-\d{1,2}-\d{1,2}"
@@ -57,7 +57,7 @@ def _luhn(m: Column) -> Column:
 
 
 def ssns(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({SSN})"), 1), F.array().cast("array<string>"))
+    return _all(text, SSN)
 
 
 def dates(text: Column) -> Column:

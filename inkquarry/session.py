@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8, app: str = "inkquarry") -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8, app: str = "inkquarry", conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benches on one machine. On a cluster the caller brings the session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -21,6 +21,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "inkquarry")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config(map=conf or {})
         .getOrCreate()
     )
 

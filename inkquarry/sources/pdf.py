@@ -492,7 +492,7 @@ def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
         info = doc.dict(doc.trailer.get("Info"))
         version = re.search(rb"%PDF-(\d\.\d)", data[:1024])
         form = doc.dict(doc.root.get("AcroForm"))
-        js = any(isinstance(o, dict) and (o.get("S") == "JavaScript" or "JavaScript" in o) for o in doc.objects.values())
+        js = bool(doc.dict(doc.root.get("Names")).get("JavaScript")) or any(isinstance(o, dict) and (o.get("S") == "JavaScript" or "JS" in o or "JS" in doc.dict(o.get("A"))) for o in doc.objects.values())
         marked = doc.get(doc.dict(doc.root.get("MarkInfo")).get("Marked")) is True
         xfa = None if "XFA" not in form else "dynamic" if doc.get(doc.root.get("NeedsRendering")) is True else "static"
         yield path, len(data), str(doc.get(doc.root.get("Version")) or (version and version[1].decode()) or ""), *(None if encrypted else text(doc.get(info.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")), encrypted, marked, js, xfa, doc.warnings, doc.repairs
