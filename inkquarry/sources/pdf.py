@@ -514,7 +514,7 @@ def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
         labels = _labels(doc, len(pages))
         for i, p in enumerate(pages):
             box = _numbers(doc.list(p.get("MediaBox"))) or [0.0, 0.0, 612.0, 792.0]
-            crop = _numbers(doc.list(p.get("CropBox")))
+            crop = _numbers(doc.list(p.get("CropBox"))) or None
             yield path, i + 1, labels[i], abs(box[2] - box[0]), abs(box[3] - box[1]), crop, int(doc.get(p.get("Rotate")) or 0) % 360
     elif table in ("annotations", "links"):
         for i, p in enumerate(pages):
