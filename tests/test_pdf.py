@@ -87,7 +87,7 @@ def test_tables(spark, tmp_path):
     assert (a["subtype"], a["author"], a["quads"], a["locked"]) == ("Highlight", "Ann", [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]], True)
     assert [(x["name"], bytes(x["content"])) for x in read("attachments")] == [("a.txt", b"hello")]
     assert [(x["subset"], x["embedded"], x["encoding"]) for x in read("fonts")] == [(True, False, "WinAnsiEncoding")]
-    assert read("scripts")[0]["script"] == "app.beep()" and len(read("content_ops")) == 9 and len(read("objects")) == len(FILE) and read("revisions")[0]["n"] == 1
+    assert read("scripts")[0]["script"] == "app.beep()" and len(read("content_ops")) == 10 and len(read("objects")) == len(FILE) and read("revisions")[0]["n"] == 1
     every = spark.read.format("pdf").option("path", str(tmp_path)).load()
     assert every.count() == 3 and every.where("size(repairs) > 0").count() == 2
 
