@@ -178,7 +178,8 @@ def _sign_forms(sign: str) -> Iterator[tuple[str, str, str]]:
             continue
         for b in _MISREAD:
             form = _char(data[0], b) + ("\0" + _char(data[1], b) if by == "pair" else "")
-            if form[0] == sign[0] or form.isascii():
+            # a sign in common use says nothing
+            if form[0] == sign[0] or form.isascii() or form in SIGNS:
                 continue
             if by == "pair" or (form not in _LONE and form not in LOOK_ALIKE) or (by == "price" and form == "Ј"):
                 yield form, by, f"{a}>{b}"
@@ -253,7 +254,7 @@ def _restore_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for token, n, hits in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             signs = [h for h in hits if h["by"] != "part"]
-            known = {h["form"]: h for h in hits if h["by"] == "part" and len(h["form"]) > len(h["original"]) and "�" not in h["form"]}
+            known = {h["form"]: h for h in hits if h["by"] == "part" and len(h["form"]) > len(h["original"]) and "�" not in h["form"] and not LOOK_ALIKE.issuperset(h["form"])}
             # a form is longer than its original: too regular for chance, unless the token reads as an ordinary word
             if known and (len(known) == len(set(stretches(token))) or clean_word(core(token)) is None):
                 rows.append((token, n, _NON_ASCII.sub(lambda m: known[m[0]]["original"] if m[0] in known else m[0], token), next(iter(known.values()))["chain"]))  # noqa: B023
@@ -301,7 +302,7 @@ def _restore_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         d, rows = b.to_pydict(), []
         for token, form, n, original, chain, attested in zip(d["token"], d["form"], d["n_form"], d["original"], d["chain"], d["n_original"], strict=True):
             # an ordinary-looking word must be far rarer than what it would be a form of
-            if "�" in form or attested > (3 * n if clean_word(form) else n) or (clean_word(form) is None and attested > 1):
+            if ("�" in form and len(form) > 2) or attested > (3 * n if clean_word(form) else n) or (clean_word(form) is None and attested > 1):
                 if any(c.isalpha() or c > "\x7f" for c in form):
                     rows.append((token, token.replace(form, original), chain, len(form) < 3 and "�" not in form))
         yield _batch(rows, (pa.string(), pa.string(), pa.string(), pa.bool_()), ("token", "restored", "chain", "weak"))

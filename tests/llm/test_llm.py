@@ -76,7 +76,7 @@ def test_encodings_round_trip(spark, a, b):
 
 def test_encodings_found(spark):
     bad = ["twice MÃƒÂ¼ller", "â€œoldâ€\x9d bridge", "lost M�ller", "a ca??o here", "irm?o", "ÒoldÓ bridge", "Ј344 paid", "à".encode().decode("latin_1") + " x", "мальчик".encode("cp1251").decode("cp1252"), "журнал".encode("koi8_r").decode("cp1251")]
-    fine = CLEAN + ["LE CHÂTEAU DE L'ÎLE", "really? yes", "20 m²", "", None, "marked К22"]
+    fine = CLEAN + ["LE CHÂTEAU DE L'ÎLE", "really? yes", "20 m²", "½ of it", "€ 20", "• item", "N.SАLТМARSH@MAIL.TEST", "", None, "marked К22"]
     got = {r["line"] for r in encodings.found(lines(spark, bad + fine)).collect()}
     assert got == set(range(len(bad)))
     assert encodings.found(lines(spark, ["x"]).limit(0)).count() == 0
