@@ -189,6 +189,12 @@ def _usual_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
+def _sure_script(word: str) -> str:
+    """The script of a word with a letter that looks like none of another script, else nothing."""
+    scripts = {script_of(c) for c in word} - {""}
+    return scripts.pop() if len(scripts) == 1 and any(c not in TO_LATIN and not (c.isascii() and (c in TO_CYRILLIC or c in TO_GREEK)) for c in word) else ""
+
+
 def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unusual lines to (UNIT, text, table, suspects): the text after the table, and the words that look-alikes may be in."""
     word = pa.struct([("word", pa.string()), ("script", pa.string()), ("shard", pa.string())])
@@ -204,11 +210,19 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = main_script(scripts)
             own = {}
             if len(scripts) > 1 or any(c in TO_LATIN and script_of(c) == "LATIN" for c in plain_text):
-                for _, _, w in pieces(plain_text):
-                    if w not in own and any(c in TO_LATIN or c.isascii() for c in w):
-                        mine = {script_of(c) for c in w} - {""}
-                        if len(mine) > 1 or line not in mine or any(c in TO_LATIN and script_of(c) == "LATIN" for c in w):
-                            own[w] = {"word": w, "script": line, "shard": skeleton(w)[:_SHARD]}
+                words = [w for _, _, w in pieces(plain_text)]
+                home = [_sure_script(w) for w in words]
+                for k, w in enumerate(words):
+                    if w in own or not any(c in TO_LATIN or c.isascii() for c in w):
+                        continue
+                    mine = {script_of(c) for c in w} - {""}
+                    odd = any(c in TO_LATIN and script_of(c) == "LATIN" for c in w)
+                    # a word of one script is at home beside an unmistakable word of its script, whatever most of the line is
+                    beside = len(mine) == 1 and (home[max(0, k - 1)] in mine or home[min(k + 1, len(words) - 1)] in mine)
+                    # one letter at the end of a line begins a sentence that goes on in the next: nothing tells its script
+                    beside |= len(w) == 1 and k == len(words) - 1
+                    if odd or len(mine) > 1 or (line not in mine and not beside):
+                        own[w] = {"word": w, "script": line, "shard": skeleton(w)[:_SHARD]}
             table.append(plain_text)
             suspects.append(list(own.values()))
         yield pa.RecordBatch.from_arrays(

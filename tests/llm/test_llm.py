@@ -37,7 +37,7 @@ def test_lookalikes(spark):
         "the stоne bridge": "the stone bridge", "th​e stone": "the stone", "stone bridge": "stone bridge", "ｔｈｅ bridge": "the bridge", "la canción": "la canción", "новый журнaл": "новый журнал", "брiдgе unknоwn": None,
         "was ѕо old": "was so old", "𝐭𝐡𝐞 bridge": "the bridge", "ﬁne bridge": "fine bridge", "the bri­dge": "the bridge",
     }
-    fine = ["area 20 m² and ½", "“the” – bridge", "новый журнал", "το παλιό", "«Верх» reads the bridge", "", None, "plain"]
+    fine = ["area 20 m² and ½", "“the” – bridge", "новый журнал", "το παλιό", "«Верх» reads the bridge", "mail someone.long@example.org αύριο. Ο φύλακας", "", None, "plain"]
     texts = PLAIN + list(odd) + fine
     got = {r["text"]: r["consistent"] for r in lookalikes.consistent(lines(spark, texts)).collect()}
     for t, want in odd.items():
