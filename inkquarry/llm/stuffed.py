@@ -1,17 +1,17 @@
 """Problem 8: pages of repeated keywords, links, tags and word lists instead of sentences.
 
 Method: the rank-frequency curve of every page, fitted with SQL windows (log frequency over log rank: slope and
-residual), and the divergence of its commonest words from prose of the same language. Each measure is held against all
-pages of comparable length (powers of two); pages beyond the usual spread in any of them are flagged. An exact check
-follows on the flagged pages: the share of the text whose lines are keywords, tags, links or lists.
+residual), and the divergence of its commonest words from prose of the same language (``measures``). Which pages are
+found is decided by an exact check alone: the share of the text whose lines are keywords, tags, links or lists. It runs
+on every distinct text. A spread over the pages of a table clears none of them, since what most pages have in common
+may be the spam.
 
 The words of a page are counted where the page is read, so only its frequency spectrum (how many words occur how often)
-is shuffled. Reference words and spreads are computed over all pages; both tables have a proven bound (``LANGUAGES`` x
-``TOP`` words, one row for each power of two).
+is shuffled. Reference words are computed over all distinct texts, one vote for each text and language, so copies of a
+page don't make its keywords common; their table has a proven bound (``LANGUAGES`` x ``TOP`` words).
 
 Defined results: null, empty and wordless pages are never found; the language label is only a hint, a page is held
-against the language it diverges least from; repeated rows count once; lengths with fewer than ``FEW`` pages have no
-usual spread, there every page is checked.
+against the language it diverges least from; repeated rows and copies of a text count once.
 """
 
 from __future__ import annotations
@@ -29,9 +29,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .leaks import plain_words
 
-TOP, LANGUAGES, FEW = 50, 40, 30
-#: Robust deviations from the pages of comparable length beyond which a page is flagged.
-SPREAD = 1.0
+TOP, LANGUAGES = 50, 40
 SHARE = 0.5
 
 
@@ -41,8 +39,18 @@ def language(label):
     return F.when(code.rlike("^[a-z]{2}([_-].*)?$"), F.substring(code, 1, 2)).otherwise("und")
 
 
-def reference(documents: DataFrame) -> DataFrame:
-    """``(lang, word, share)``: the commonest words of each language with their share of all its words."""
+def _digest(text: str):
+    return F.sha2(F.col(text), 256)
+
+
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """``(digest, langs, text)``: every text once, with the languages it is labelled with."""
+    docs = documents.where(F.col("text").isNotNull()).select(_digest("text").alias("digest"), language(F.col("lang")).alias("lang"), "text")
+    return stored(docs.groupBy("digest").agg(F.sort_array(F.collect_set("lang")).alias("langs"), F.first("text").alias("text")), "stuffed-texts")
+
+
+def reference(texts: DataFrame) -> DataFrame:
+    """``(lang, word, share)``: the commonest words of each language with their share of all words of its distinct texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,10 +62,9 @@ def reference(documents: DataFrame) -> DataFrame:
             key, n = np.unique(of.astype(np.int64) * v + np.asarray(flat.indices), return_counts=True)
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // v)), flat.dictionary.take(pa.array(key % v)), pa.array(n)], names=["lang", "word", "n"])
 
-    docs = documents.where(F.col("text").isNotNull()).select(language(F.col("lang")).alias("lang"), "text")
-    counts = docs.mapInArrow(count, "lang string, word string, n bigint").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = texts.select(F.explode("langs").alias("lang"), "text").mapInArrow(count, "lang string, word string, n bigint").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts.createOrReplaceTempView("stuffed_counts")
-    return documents.sparkSession.sql(f"""
+    return texts.sparkSession.sql(f"""
         WITH r AS (SELECT lang, word, n, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM stuffed_counts),
              l AS (SELECT lang, total, row_number() OVER (ORDER BY total DESC, lang) AS size FROM (SELECT lang, max(total) AS total FROM r WHERE lang <> 'und' GROUP BY lang))
         SELECT r.lang, r.word, r.n / r.total AS share FROM r JOIN l USING (lang) WHERE r.k <= {TOP} AND l.size <= {LANGUAGES}""")
@@ -117,25 +124,12 @@ def curves(spectrum: DataFrame) -> DataFrame:
         FROM fit WHERE n_words > 0""")
 
 
-def flagged(curve: DataFrame) -> DataFrame:
-    """``doc_id`` of the pages whose slope, residual or divergence is beyond the usual spread at their length."""
-    curve.createOrReplaceTempView("stuffed_curves")
-    return curve.sparkSession.sql(f"""
-        WITH usual AS (
-          SELECT bucket, count(*) AS pages, percentile_approx(slope, array(0.25D, 0.5D, 0.75D), 2000) AS s,
-                 percentile_approx(residual, array(0.25D, 0.5D, 0.75D), 2000) AS r, percentile_approx(divergence, array(0.25D, 0.5D, 0.75D), 2000) AS d
-          FROM stuffed_curves GROUP BY bucket)
-        SELECT c.doc_id FROM stuffed_curves c JOIN usual u ON c.bucket = u.bucket
-        WHERE u.pages < {FEW}
-           OR abs(c.slope - s[1]) > {SPREAD} * ((s[2] - s[0]) / 1.35 + 0.01)
-           OR c.residual - r[1] > {SPREAD} * ((r[2] - r[0]) / 1.35 + 0.005)
-           OR c.divergence - d[1] > {SPREAD} * ((d[2] - d[0]) / 1.35 + 0.02)""")
-
-
 # the exact check
 
 _CUE = re.compile(r"(?m)^\d+\r?$|^[\d:., ]+-->.*$|^\{\d+\}\{\d+\}|^[\d:.]+,[\d:.]+\r?$|^WEBVTT.*$|^NOTE\b.*$")
 _URL = re.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\(\S*?\)|\b[\w-]+(?: dot [\w-]+)+(?:/\S*)?|\b[\w-]+(?:\.[\w-]+)+/\S+|\b[\w-]+\.(?:com|net|org|info|test|invalid|example)\b\S*", re.I)
+#: Without one of these there is no address in a text.
+_MAYBE_URL = re.compile(r"://|\]\(|<a\s|\.\S| dot ", re.I)
 _TAG = re.compile(r"<[^<>]*>|\{[^{}]*\}|♪|\[br\]", re.I)
 _SPOKEN_NOISE = re.compile(r"\[[^\]\n]*\]|\([^)\n]*\)|\*[^*\n]*\*")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -158,18 +152,24 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def listed(segment: str, keywords: set[str], common: frozenset[str]) -> bool:
+def _unlinked(segment: str) -> tuple[str, int]:
+    """A segment without its links, and their number."""
+    return _URL.subn(" ", segment) if _MAYBE_URL.search(segment) else (segment, 0)
+
+
+def listed(segment: str, unlinked: tuple[str, int], keywords: set[str], common: frozenset[str]) -> bool:
     """Whether a segment is keywords, tags, links or a list instead of speech or prose."""
     if segment.startswith("♪"):
         return False
-    rest, links = _URL.subn(" ", segment)
-    rest = _TAG.sub(" ", rest)
+    rest, links = unlinked
+    if any(c in rest for c in "<{♪["):
+        rest = _TAG.sub(" ", rest)
     words = _WORD.findall(rest.lower())
     if links and len(words) <= 7:
         return True
     if not words:
         return False
-    tags = re.findall(r"#\w+", segment)
+    tags = re.findall(r"#\w+", segment) if "#" in segment else []
     if len(tags) >= 2 and len(tags) * 2 >= len(words):
         return True
     if segment.count(" | ") >= 2 or segment.count("$$") >= 2 or ">>>" in segment or _SPACED.search(rest):
@@ -191,15 +191,16 @@ def spam_share(text: str, common: frozenset[str]) -> float:
     total = sum(map(len, parts))
     if not total:
         return 0.0
+    unlinked = [_unlinked(p) for p in parts]
     tokens: Counter = Counter()
-    for p in parts:
-        tokens.update(w for w in _WORD.findall(_URL.sub(" ", p).lower()) if w not in common)
+    for rest, _ in unlinked:
+        tokens.update(w for w in _WORD.findall(rest.lower()) if w not in common)
     n = sum(tokens.values())
     keywords = {w for w, k in tokens.items() if k >= 3 and k > 0.015 * n and len(w) > 1}
     dense = {w for w in keywords if tokens[w] > DENSE * n and tokens[w] > 4 and len(w) > 2 and w.isalpha()}
     spam = 0
-    for p in parts:
-        if listed(p, keywords, common):
+    for p, u in zip(parts, unlinked, strict=True):
+        if listed(p, u, keywords, common):
             spam += len(p)
         elif dense and not p.startswith("♪"):
             for sentence in _SENTENCE.findall(p):
@@ -212,24 +213,28 @@ def spam_share(text: str, common: frozenset[str]) -> float:
     return spam / total
 
 
+def _reference_rows(texts: DataFrame) -> list[tuple[str, str, float]]:
+    return [tuple(r) for r in reference(texts).orderBy("lang", F.desc("share"), "word").take(LANGUAGES * TOP)]
+
+
 def found(documents: DataFrame) -> DataFrame:
     """``doc_id`` of the pages that are keywords, links, tags or lists for more than ``SHARE`` of their text."""
     docs = documents.select("doc_id", "lang", "text")
-    ref = [tuple(r) for r in reference(docs).orderBy("lang", F.desc("share"), "word").take(LANGUAGES * TOP)]
-    common = frozenset(w for _, w, s in ref if s > 0.004)
-    pages = stored(flagged(stored(curves(spectra(docs, ref)), "stuffed-curves")).distinct(), "stuffed-flagged")
+    texts = distinct_texts(docs)
+    common = frozenset(w for _, w, s in _reference_rows(texts) if s > 0.004)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [k for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if spam_share(t, common) > SHARE]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], names=["doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], names=["digest"])
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.join(pages, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(check, "doc_id bigint").distinct()
+    spam = texts.select("digest", "text").mapInArrow(check, "digest string")
+    pages = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest("text").alias("digest"))
+    return pages.join(spam, "digest", "left_semi").select("doc_id").distinct()
 
 
 def measures(documents: DataFrame) -> DataFrame:
     """``doc_id, bucket, slope, residual, divergence`` of every page."""
     docs = documents.select("doc_id", "lang", "text")
-    ref = [tuple(r) for r in reference(docs).orderBy("lang", F.desc("share"), "word").take(LANGUAGES * TOP)]
+    ref = _reference_rows(distinct_texts(docs))
     return curves(spectra(docs, ref)).select("doc_id", "bucket", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"), F.round("divergence", 6).alias("divergence"))

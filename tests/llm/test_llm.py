@@ -249,6 +249,16 @@ def test_stuffed(spark):
     assert stuffed.found(docs.limit(0)).count() == 0
 
 
+def test_stuffed_copies_are_no_usual_page(spark):
+    rng = random.Random(6)
+    prose = lambda: "\n".join(f"{rng.choice(['the keeper', 'my sister', 'a captain'])} {rng.choice(['opened', 'carried', 'found'])} {rng.choice(['the old bridge', 'a letter', 'the garden'])} and it was {rng.choice(['late', 'cold'])}." for _ in range(20))
+    lamp = "\n".join("Our lamp is the best lamp for every lamp lover." for _ in range(20))
+    hose = "\n".join(", ".join(["cheap garden hose"] * 5) for _ in range(13))
+    texts = [prose() for _ in range(300)] + [lamp] * 400 + [hose] * 200
+    docs = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in enumerate(texts)], DOCS)
+    assert rows(stuffed.found(docs)) == sorted([(i,) for i in range(300, len(texts))], key=str)
+
+
 def test_curve_is_least_squares(spark):
     docs = spark.createDataFrame([(1, "a a a a b b b c c d", "en", "x", "y")], DOCS)
     got = stuffed.measures(docs).first()
