@@ -16,6 +16,7 @@ a passage shorter than ``LEAST`` words counts where it is found whole; repeated
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ MISSING = 0.2
 FOREIGN = 16
 #: Share of the information in a stretch that must agree: to make a candidate, and after alignment.
 CANDIDATE, CERTAIN = 0.7, 0.78
+#: Diagonals to either side that an alignment may wander.
+BAND = 7
 SHARD_WORDS = 1_500_000
 #: Passages of one pass over the corpus: this many characters at most. More passages take more passes.
 BLOCK_CHARS = 4_000_000
@@ -188,25 +191,49 @@ def same_word(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def aligned(doc: list[str], passage: list[str], weight: list[float], spots: list[tuple[int, int]], memo: dict) -> tuple[int, int, int, int] | None:
-    """The best alignment around spots of one diagonal: document from, to, passage from, to; None if none is good enough."""
+def aligned(doc: list[str], passage: list[str], weight: list[float], spots: list[tuple[int, int]], memo: dict, every: bool = True) -> list[tuple[int, int, int, int]]:
+    """The alignments around spots of one diagonal: document from, to, passage from, to. All of them, or one if there is any.
+
+    Every maximal exact run counts, and every stretch that passes with words missing or miswritten.
+    """
     least = min(LEAST, len(passage))
-    for s, i in spots[:: max(1, len(spots) // 4)]:
+    out: list[tuple[int, int, int, int]] = []
+    seen: dict[int, int] = {}
+    for s, i in spots:
+        if s < seen.get(s - i, 0):
+            continue
         a = b = 0
         while i - a > 0 and s - a > 0 and doc[s - a - 1] == passage[i - a - 1]:
             a += 1
         while i + b < len(passage) and s + b < len(doc) and doc[s + b] == passage[i + b]:
             b += 1
+        seen[s - i] = s + b
         if a + b >= least:
-            return s - a, s + b, i - a, i + b
-    return _banded(doc, passage, weight, spots, least, memo)
+            out.append((s - a, s + b, i - a, i + b))
+            if not every:
+                return out
+    lo = max(0, spots[0][0] - min(3 * LEAST, spots[0][1] + BAND))
+    hi = min(len(doc), spots[-1][0] + min(3 * LEAST, len(passage) - spots[-1][1] + BAND))
+    if not every:
+        return [got] if (got := _banded(doc, passage, weight, spots, least, memo, lo, hi)) else []
+    starts = sorted({s for s, _ in spots})
+    todo = [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < (1 - MISSING) * least:
+            continue
+        if got := _banded(doc, passage, weight, spots, least, memo, lo, hi):
+            out.append(got)
+            todo += [(lo, got[0]), (got[1], hi)]
+        elif (k := bisect.bisect_right(starts, lo)) < len(starts) and starts[k] < hi:
+            # words that go before may have spoilt a stretch: begin again at the next spot
+            todo.append((starts[k], hi))
+    return out
 
 
-def _banded(x: list[str], y: list[str], weight: list[float], spots: list[tuple[int, int]], least: int, memo: dict, band: int = 7) -> tuple[int, int, int, int] | None:
-    """Local alignment within a band around the diagonal of the spots."""
+def _banded(x: list[str], y: list[str], weight: list[float], spots: list[tuple[int, int]], least: int, memo: dict, lo: int, hi: int, band: int = BAND) -> tuple[int, int, int, int] | None:
+    """The best local alignment of document words from lo to hi within a band around the diagonal of the spots."""
     d = spots[0][0] - spots[0][1]
-    lo = max(0, spots[0][0] - min(3 * LEAST, spots[0][1] + band))
-    hi = min(len(x), spots[-1][0] + min(3 * LEAST, len(y) - spots[-1][1] + band))
     # score, first document word, first passage word, matches, their information, foreign words
     zero = (0.0, 0, 0, 0, 0.0, 0)
     sums = [0.0]
@@ -245,8 +272,8 @@ def _banded(x: list[str], y: list[str], weight: list[float], spots: list[tuple[i
 _OUT = "doc_id bigint, passage int, first int, last int, p_first int, p_last int"
 
 
-def scan(documents: DataFrame, passages: Passages, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, passage, first, last, p_first, p_last``: leaked stretches by word position, passages by number."""
+def scan(documents: DataFrame, passages: Passages, key: str = "doc_id", text: str = "text", every: bool = True) -> DataFrame:
+    """``doc_id, passage, first, last, p_first, p_last``: leaked stretches by word position, passages by number. All, or one for each diagonal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[pa.Array] = []
@@ -258,16 +285,16 @@ def scan(documents: DataFrame, passages: Passages, key: str = "doc_id", text: st
             words.append(w)
             n += len(w.values) if len(w) else 0
             if n >= SHARD_WORDS:
-                yield _shard(keys, words, passages)
+                yield _shard(keys, words, passages, every)
                 keys, words, n = [], [], 0
         if keys:
-            yield _shard(keys, words, passages)
+            yield _shard(keys, words, passages, every)
 
     docs = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return docs.mapInArrow(run, _OUT)
 
 
-def _shard(keys: list[pa.Array], words: list[pa.ListArray], p: Passages) -> pa.RecordBatch:
+def _shard(keys: list[pa.Array], words: list[pa.ListArray], p: Passages, every: bool) -> pa.RecordBatch:
     key = pa.concat_arrays(keys)
     lists = pa.concat_arrays(words)
     flat = lists.flatten()
@@ -293,8 +320,7 @@ def _shard(keys: list[pa.Array], words: list[pa.ListArray], p: Passages) -> pa.R
             last, doc = d, flat.slice(start[d], sizes[d]).to_pylist()
         # positions in the spaced sequence to positions in the document
         spots = [(s - int(start[d]) - d, i) for s, i in hits[a:z, 3:].tolist()]
-        if got := aligned(doc, p.words[q], p.weights(q), spots, memo):
-            rows.append((key[d].as_py(), q, *got))
+        rows += [(key[d].as_py(), q, *got) for got in aligned(doc, p.words[q], p.weights(q), spots, memo, every)]
     rows = sorted(set(rows))
     cols = list(zip(*rows, strict=True)) or [[] for _ in range(6)]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
@@ -322,8 +348,8 @@ def word_counts(documents: DataFrame, passages: Passages, key: str = "doc_id", t
     return counts, counts.pop(0, 0)
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, first, last``: word spans of each item's passage in each document."""
+def leaks(documents: DataFrame, items: DataFrame, every: bool = True) -> DataFrame:
+    """``item_id, doc_id, first, last``: word spans of each item's passage in each document. All, or one for each diagonal."""
     spark = documents.sparkSession
     per_passage = items.where(F.col("passage").isNotNull()).groupBy("passage").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = None
@@ -334,7 +360,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         nonlocal out
         table = spark.createDataFrame([(k, i) for k, r in enumerate(rows) for i in r[1]], "passage int, item_id bigint").coalesce(1)
         p = Passages([r[0] for r in rows])
-        hits = scan(documents, p.weigh(*word_counts(documents, p))).join(table, "passage").select("item_id", "doc_id", "first", "last")
+        hits = scan(documents, p.weigh(*word_counts(documents, p)), every=every).join(table, "passage").select("item_id", "doc_id", "first", "last")
         out = hits if out is None else out.unionByName(hits)
 
     for r in per_passage.orderBy("passage").toLocalIterator():
@@ -349,7 +375,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    return leaks(documents, items).select("item_id", "doc_id").distinct()
+    return leaks(documents, items, every=False).select("item_id", "doc_id").distinct()
 
 
 def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:

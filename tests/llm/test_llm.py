@@ -228,6 +228,18 @@ def test_leaks(spark):
     assert leaks.found(d, it.limit(0)).count() == 0 and leaks.found(d.limit(0), it).count() == 0
 
 
+def test_every_stretch_of_a_leak(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6)) for _ in range(400)]
+    passage = rng.sample(vocab, 60)
+    noise = ["river", "stone", "bridge", "market"]
+    miswritten = [*passage[:20], "qqqqqqqq", *passage[21:]]
+    apart = [*passage[:15], *(rng.choice(noise) for _ in range(25)), *passage[40:]]
+    d = spark.createDataFrame([(1, " ".join(noise + miswritten + noise)), (2, " ".join(noise + apart + noise))], "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, passage string")
+    assert rows(leaks.removal_spans(d, it)) == [(1, 4, 64), (2, 4, 19), (2, 44, 64)]
+
+
 # problem 8
 
 
