@@ -21,23 +21,22 @@ def dedupe(df: DataFrame, content: list[str], key: str) -> DataFrame:
     return d.join(keep, "_digest").select(key, "keep")
 
 
-def dedupe_structure(objects: DataFrame, most_rounds: int = 16) -> DataFrame:
+def dedupe_structure(objects: DataFrame) -> DataFrame:
     """``id, keep`` for objects ``id, content, refs array<id>``: objects are equal if content and the objects they refer to are.
 
-    Each round replaces references by what they were merged into; rounds end when nothing more merges.
+    Each round replaces references by what they were merged into; rounds end when nothing more merges, so there are as
+    many as the longest equal chains are deep.
     """
-    spark = objects.sparkSession
     now = objects.select("id", F.col("id").alias("keep"))
     merged = -1
-    for _ in range(most_rounds):
+    while True:
         flat = objects.select("id", "content", F.posexplode_outer("refs").alias("at", "ref")).join(now.select(F.col("id").alias("ref"), F.col("keep").alias("to")), "ref", "left")
         form = flat.groupBy("id", "content").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("refs"))
         now = stored(dedupe(form, ["content", "refs"], "id"), "dedupe-structure")
         count = now.where("id <> keep").count()
         if count == merged:
-            break
+            return now
         merged = count
-    return now if merged >= 0 else spark.createDataFrame([], "id bigint, keep bigint")
 
 
 def unreferenced(targets: DataFrame, references: DataFrame, key: str) -> DataFrame:
@@ -79,13 +78,15 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return paths
 
 
-def claims(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``id, owner``: every node goes to the root of smallest priority that reaches it; roots are ``id, priority``."""
+def claims(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, owner``: every node goes to the root of smallest priority that reaches it; roots are ``id, priority``.
+
+    Each round walks one hop and rounds end when nothing changes: owners only get smaller, so that comes to an end.
+    """
     owner = stored(roots.select("id", F.col("priority").alias("owner")), "claims")
-    for _ in range(most_rounds):
+    while True:
         step = owner.join(edges, owner["id"] == edges["src"]).select(F.col("dst").alias("id"), "owner")
         new = stored(owner.unionByName(step).groupBy("id").agg(F.min("owner").alias("owner")), "claims")
         if new.exceptAll(owner).isEmpty():
             return new
         owner = new
-    return owner

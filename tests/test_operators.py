@@ -120,6 +120,14 @@ def test_graph(spark):
     assert rows(sets.claims(e.where("src is not null"), r)) == [(1, 7), (2, 7), (3, 7), (4, 3), (5, 3)]
 
 
+def test_deep_graphs(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)], "src bigint, dst bigint").coalesce(1)
+    r = spark.createDataFrame([(0, 1), (68, 5)], "id bigint, priority int").coalesce(1)
+    assert rows(sets.claims(e, r)) == sorted(((i, 1) for i in range(71)), key=str)
+    o = spark.createDataFrame([(2 * i + k, "x", [2 * i + k - 2] if i else []) for i in range(20) for k in (0, 1)], "id bigint, content string, refs array<bigint>").coalesce(1)
+    assert rows(sets.dedupe_structure(o)) == sorted(((i, i - i % 2) for i in range(40)), key=str)
+
+
 def test_threads(spark):
     cols = "doc_id bigint, page int, index int, subtype string, author string, contents string, modified string, name string, in_reply_to string, state string, intent string, color string"
     a = spark.createDataFrame(
