@@ -1,72 +1,67 @@
-"""Word-level comparison of two texts: common ends, anchors that occur once, shortest edit scripts between them."""
+"""Word-level comparison of two texts: common ends, a shortest edit script between them, at any length."""
 
 from __future__ import annotations
 
-import bisect
-from collections import Counter
+from collections import defaultdict
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Between anchors, longer stretches than this become one replacement.
-STRETCH = 3000
+#: Positions of a word from which on its bits are kept instead of put together for each row.
+_OFTEN = 8
 
 
 def matching(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of equal words of a shortest edit script (greedy furthest-reaching paths, O((n + m) d))."""
+    """Pairs of equal words of a shortest edit script.
+
+    A longest common subsequence by bit vectors: a row for each word of ``a``, a bit for each word of ``b``, so time is
+    n m over the size of a machine word. Rows are kept at every sqrt(n), those between are computed again on the way back.
+    """
     n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    furthest = {1: 0}
-    trace = []
-    for d in range(n + m + 1):
-        trace.append(dict(furthest))
-        for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or (k != d and furthest.get(k - 1, -1) < furthest.get(k + 1, -1)) else furthest[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            furthest[k] = x
-            if x >= n and y >= m:
-                pairs = []
-                for depth in range(d, -1, -1):
-                    v, k = trace[depth], x - y
-                    up = k == -depth or (k != depth and v.get(k - 1, -1) < v.get(k + 1, -1))
-                    px = v[k + 1] if up else v[k - 1] + 1 if depth else 0
-                    sx = px
-                    while x > max(sx, 0) and y > 0 and a[x - 1] == b[y - 1] and x > sx:
-                        x, y = x - 1, y - 1
-                        pairs.append((x, y))
-                    if depth:
-                        pk = k + 1 if up else k - 1
-                        x = v[pk]
-                        y = x - pk
-                return pairs[::-1]
-    return []
-
-
-def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Words that occur once in either text, the longest run of them in order."""
-    ca, cb = Counter(a), Counter(b)
-    at = {w: j for j, w in enumerate(b) if cb[w] == 1}
-    pairs = [(i, at[w]) for i, w in enumerate(a) if ca[w] == 1 and w in at]
-    tails: list[int] = []
-    ends: list[int] = []
-    back: list[int | None] = []
-    for k, (_, j) in enumerate(pairs):
-        p = bisect.bisect_left(tails, j)
-        back.append(ends[p - 1] if p else None)
-        if p == len(tails):
-            tails.append(j)
-            ends.append(k)
-        else:
-            tails[p], ends[p] = j, k
-    out, k = [], ends[-1] if ends else None
-    while k is not None:
-        out.append(pairs[k])
-        k = back[k]
-    return out[::-1]
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(b):
+        places[w].append(j)
+    kept: dict[str, int] = {}
+
+    def row(v: int, w: str) -> int:
+        at = places.get(w)
+        if at is None:
+            return v
+        bits = kept.get(w)
+        if bits is None:
+            bits = sum(1 << j for j in at)
+            if len(at) >= _OFTEN:
+                kept[w] = bits
+        u = v & bits
+        return ((v + u) | (v - u)) & full
+
+    full = (1 << m) - 1
+    step = isqrt(n) + 1
+    marks = []
+    v = full
+    for i, w in enumerate(a):
+        if i % step == 0:
+            marks.append(v)
+        v = row(v, w)
+    pairs = []
+    i, j = n, m
+    while marks and i and j:
+        # rows[k] is what stands after first + k words; a zero bit is a word more in common
+        first = (len(marks) - 1) * step
+        rows = [marks.pop()]
+        for w in a[first:i]:
+            rows.append(row(rows[-1], w))
+        while i > first and j:
+            if rows[i - first] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i - first] >> (j - 1) & 1:
+                    j -= 1
+                    pairs.append((i, j))
+    return pairs[::-1]
 
 
 def changes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
@@ -78,15 +73,7 @@ def changes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    cuts = [*anchors(x, y), (len(x), len(y))] if max(len(x), len(y)) > STRETCH else [(len(x), len(y))]
-    same: list[tuple[int, int]] = []
-    i = j = 0
-    for p, q in cuts:
-        if max(p - i, q - j) <= STRETCH:
-            same += [(i + s, j + t) for s, t in matching(x[i:p], y[j:q])]
-        if p < len(x):
-            same.append((p, q))
-        i, j = p + 1, q + 1
+    same = matching(x, y)
     out = []
     i = j = 0
     for p, q in [*same, (len(x), len(y))]:

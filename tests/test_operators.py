@@ -181,6 +181,18 @@ def test_diff(spark):
     assert rows(diff.change_counts(d)) == [(1, 1, 1, 0), (2, 0, 1, 0)] and "+ here" in rows(diff.report(d))[0][1]
 
 
+def test_diff_of_long_stretches():
+    rng = random.Random(8)
+    for n in (30, 100, 400):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(n))] for _ in range(2))
+        got = diff.matching(a, b)
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got) and all(i < p and j < q for (i, j), (p, q) in zip(got, got[1:], strict=False))
+    # no word occurs once in both: nothing to hold on to
+    a = [w for i in range(4000) for w in ("the", f"a{i % 1500}")]
+    b = [w for i in range(4000) for w in ("the", f"b{i % 1500}")]
+    assert len(diff.changes(a, b)) == 4000
+
+
 ELEMS = "doc_id bigint, id bigint, parent_id bigint, preorder int, type string, alt string, page int, summary string, colspan int, rowspan int, has_content boolean, has_annots boolean"
 
 
