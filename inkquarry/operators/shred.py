@@ -8,9 +8,10 @@ the record's key, their own id (preorder within the record), and the table and i
 ``schema_graph`` reads the graph off the data (pre-aggregated in each task, so only edges are shuffled), ``plan_tables``
 decides on the tables, and ``shred`` makes the rows of one table.
 
-Defined results: null or empty text, and text that is not complete JSON, give no rows. A key delivered again with the
-same content counts once. An optional field that is missing is null. Keys are folded to lower case. JSON kept as text
-inside a containing field is read as if it stood there. A single object counts as a list of one.
+Defined results: null or empty text, and text that is not complete JSON, give no rows. A key delivered again counts once:
+the latest of its complete copies. An optional field that is missing is null. Keys are folded to lower case. JSON kept as
+text inside a containing field is read as if it stood there. A single object counts as a list of one; lists inside a
+list, at any depth, are read as if their objects stood in it, in order, with nulls left out.
 """
 
 from __future__ import annotations
@@ -81,9 +82,23 @@ def _objects(value, may_be_text: bool) -> list[dict] | None:
         value = parse(value)
     if type(value) is dict:
         return [value]
-    if type(value) is list:
-        return [x for x in value if type(x) is dict] if not value or any(type(x) is dict for x in value) else None
-    return None
+    if type(value) is not list:
+        return None
+    found: list[dict] = []
+    plain = False
+    stack = value[::-1]
+    while stack:
+        x = stack.pop()
+        if type(x) is dict:
+            found.append(x)
+        elif type(x) is list:
+            stack += reversed(x)
+        elif type(x) is str and may_be_text and x[:1] in ("[", "{") and (inner := _objects(x, True)):
+            found += inner
+        else:
+            plain = plain or x is not None
+    # a list without objects holds plain values, if it holds anything
+    return found if found or not plain else None
 
 
 def fold(obj: dict) -> dict:
@@ -239,7 +254,9 @@ def rows(value, elements: Elements, plan: Plan, path_type: str | None = None) ->
                         named[seg] += 1
                     stack.append(row)
             else:
-                for x in inner[:1]:
+                if len(inner) > 1:
+                    raise ValueError(f"{prefix}{key} repeats, but the plan folds it into its parent: it was made from other data")
+                for x in inner:
                     attach(owner, child, fold(x), target, f"{prefix}{key}_")
 
     named: Counter = Counter()
@@ -268,21 +285,29 @@ def _text(v) -> str | None:
     return v if v is None or type(v) is str else json.dumps(v, ensure_ascii=False)
 
 
-def once(df: DataFrame, key: str, raw: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(raw).isNotNull()).select(F.col(key).alias("_key"), F.col(raw).alias("_raw")).dropDuplicates(["_key"])
+def once(df: DataFrame, key: str, raw: str, latest: str | None = None) -> DataFrame:
+    """``_key, _raw``: one text for each key. Of several copies a complete one, of these the latest, of these the largest text."""
+    d = df.where(F.col(key).isNotNull() & F.col(raw).isNotNull())
+    at = F.col(latest) if latest else F.lit(None).cast("timestamp")
+    copy = F.struct(F.try_parse_json(raw).isNotNull().alias("whole"), at.alias("at"), F.col(raw).alias("raw"))
+    return d.groupBy(F.col(key).alias("_key")).agg(F.max(copy)["raw"].alias("_raw"))
 
 
-def shred(df: DataFrame, key: str, raw: str, elements: Elements, plan: Plan, table: str, path_type: str | None = None) -> DataFrame:
+def shred(df: DataFrame, key: str, raw: str, elements: Elements, plan: Plan, table: str, path_type: str | None = None, columns: list[str] | None = None, latest: str | None = None) -> DataFrame:
     """One table: ``key, id, parent_table, parent_id, ord``, with ``path, parent_path`` for the path type, and its fields as text.
 
-    Fields whose names clash with those columns get the prefix ``f_``.
+    Fields whose names clash with those columns get the prefix ``f_``. ``columns`` leaves out all other fields, ``latest`` is
+    the time of delivery by which of several copies of a key one is taken.
     """
     paths = table == path_type
     fixed = ["id", "parent_table", "parent_id", "ord"] + ["path", "parent_path"] * paths
-    columns = plan.columns[table]
+    columns = plan.columns[table] if columns is None else [c for c in plan.columns[table] if c in columns]
     named = [f"f_{c}" if c in {key, *fixed} else c for c in columns]
     types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()] + [pa.string()] * (2 * paths + len(columns))
 
+    def batch(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[key, *fixed, *named])
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in types]
@@ -300,32 +325,9 @@ def shred(df: DataFrame, key: str, raw: str, elements: Elements, plan: Plan, tab
                     for cell, col in zip(line, out, strict=True):
                         col.append(cell)
                 if len(out[0]) >= _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[key, *fixed, *named])
+                    yield batch(out)
                     out = [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[key, *fixed, *named])
+            yield batch(out)
 
     ddl = f"`{key}` bigint, id int, parent_table string, parent_id int, ord int" + ", path string, parent_path string" * paths
-    return once(df, key, raw).mapInArrow(make, ddl + "".join(f", `{c}` string" for c in named))
-
-
-def node_paths(df: DataFrame, key: str, raw: str, elements: Elements, plan: Plan, path_type: str) -> DataFrame:
-    """``(key, path, parent_path)`` of the path type's table only: the same rows as ``shred``, without the other columns."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, path, up = [], [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                value = parse(text)
-                if value is None:
-                    continue
-                for r in rows(value, elements, plan, path_type):
-                    if r.table == path_type:
-                        keys.append(k)
-                        path.append(r.path)
-                        up.append(r.parent_path)
-                if len(keys) >= _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(path, pa.string()), pa.array(up, pa.string())], names=[key, "path", "parent_path"])
-                    keys, path, up = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(path, pa.string()), pa.array(up, pa.string())], names=[key, "path", "parent_path"])
-
-    return once(df, key, raw).mapInArrow(make, f"`{key}` bigint, path string, parent_path string")
+    return once(df, key, raw, latest).mapInArrow(make, ddl + "".join(f", `{c}` string" for c in named))

@@ -17,31 +17,31 @@ def _records(spark, d):
 @R.query("p1_found")
 def p1_found(spark, d):
     x, plan = _records(spark, d)
-    return S.node_paths(x, "rec_id", "raw", S.XFA, plan, "node").select("rec_id", F.col("path").alias("som"), F.col("parent_path").alias("parent_som"))
+    return S.shred(x, "rec_id", "raw", S.XFA, plan, "node", "node", [], "received_at").select("rec_id", F.col("path").alias("som"), F.col("parent_path").alias("parent_som"))
 
 
 @R.query("p1_nodes")
 def p1_nodes(spark, d):
     x, plan = _records(spark, d)
-    return S.shred(x, "rec_id", "raw", S.XFA, plan, "node", "node")
+    return S.shred(x, "rec_id", "raw", S.XFA, plan, "node", "node", latest="received_at")
 
 
 @R.query("p1_items")
 def p1_items(spark, d):
     x, plan = _records(spark, d)
-    return S.shred(x, "rec_id", "raw", S.XFA, plan, "items", "node")
+    return S.shred(x, "rec_id", "raw", S.XFA, plan, "items", "node", latest="received_at")
 
 
 @R.query("p1_events")
 def p1_events(spark, d):
     x, plan = _records(spark, d)
-    return S.shred(x, "rec_id", "raw", S.XFA, plan, "events", "node")
+    return S.shred(x, "rec_id", "raw", S.XFA, plan, "events", "node", latest="received_at")
 
 
 @R.query("p1_record_headers")
 def p1_record_headers(spark, d):
     x, plan = _records(spark, d)
-    return S.shred(x, "rec_id", "raw", S.XFA, plan, S.RECORD, "node")
+    return S.shred(x, "rec_id", "raw", S.XFA, plan, S.RECORD, "node", latest="received_at")
 
 
 @R.query("p1_schema_graph")

@@ -42,8 +42,14 @@ def brute_paths(raw):
         kids = node.get("children")
         kids = json.loads(kids) if isinstance(kids, str) and kids[:1] in ("[", "{") else kids
         below = {}
-        for k in [kids] if isinstance(kids, dict) else kids if isinstance(kids, list) else []:
-            walk(k, path, below)
+
+        def each(x):
+            if isinstance(x, dict):
+                walk(x, path, below)
+            for y in x if isinstance(x, list) else []:
+                each(y)
+
+        each(kids)
 
     try:
         v = json.loads(raw or "")
@@ -66,20 +72,33 @@ def test_shred(spark):
         json.dumps({"xfa": {"template": {"locale": "de"}, "form": [{"name": "g", "children": json.dumps([leaf])}]}}),
         json.dumps({"name": "h", "kind": "form", "children": {"name": "one", "value": '[{"x": 1}]'}}),
         json.dumps({"name": "cut", "children": [leaf]})[:-5], "", None, "[]",
+        # lists in lists: some, all, with nulls between, as text, empty
+        json.dumps({"name": "m", "kind": "form", "children": [leaf, [leaf, None, [{"name": "b"}]], None, leaf, [], [[]]]}),
+        json.dumps({"name": "n", "kind": "form", "children": [[leaf], [{"name": "s", "children": [[[{"kind": "draw"}], leaf]]}], [None]]}),
+        json.dumps({"name": "o", "kind": "form", "children": json.dumps([[leaf], {"name": "t", "children": [[]]}])}),
+        json.dumps({"name": "q", "kind": "form", "children": [None, []], "value": ["1", "2"]}),
     ]
-    data = [(i, r, "clash") for i, r in enumerate(raws)]
-    df = spark.createDataFrame(data + data[:2], "rec_id bigint, raw string, path string").repartition(2)
+    data = [(i, r, "clash", 1) for i, r in enumerate(raws)]
+    # a later copy that is cut off, and a later complete one, do not and do win
+    again = [(0, raws[0][:-3], "clash", 2), (2, json.dumps({"name": "later", "kind": "form"}), "clash", 3), (2, raws[2][:-1], "clash", 4)]
+    df = spark.createDataFrame(data + data[:2] + again, "rec_id bigint, raw string, path string, received int").repartition(2)
+    raws[2] = again[1][1]
     plan = shred.collect_plan(df, "raw", shred.XFA)
     assert plan.tables == {"record", "node", "items", "events"} and ("events", "script") in plan.inlined
-    got = rows(shred.node_paths(df, "rec_id", "raw", shred.XFA, plan, "node"))
+    got = rows(shred.shred(df, "rec_id", "raw", shred.XFA, plan, "node", "node", [], "received"), "rec_id", "path", "parent_path")
     assert got == sorted(((i, p, up) for i, r in enumerate(raws) for p, up in brute_paths(r)), key=str)
-    node = shred.shred(df, "rec_id", "raw", shred.XFA, plan, "node", "node")
-    items = shred.shred(df, "rec_id", "raw", shred.XFA, plan, "items", "node")
-    assert rows(items.join(node, [items.rec_id == node.rec_id, items.parent_id == node.id], "left_anti")) == []
-    assert rows(shred.shred(df, "rec_id", "raw", shred.XFA, plan, "events", "node"), "script_lang") == [("js",)] * 3
-    assert ("1", None) in rows(shred.shred(df, "rec_id", "raw", shred.XFA, plan, "record", "node"), "version", "xfa_template_locale")
+    node, items, events, record = (shred.shred(df, "rec_id", "raw", shred.XFA, plan, t, "node", latest="received") for t in ("node", "items", "events", "record"))
+    leaves = sum(".a[" in p for _, p, _ in got)
+    for child in (items, events):
+        # every row finds the node it hangs on, which is a leaf
+        up = child.join(node, [child.rec_id == node.rec_id, child.parent_id == node.id]).select(node.rec_id, node.id, node.name)
+        assert {r[2] for r in rows(up)} == {"a"} and up.count() == child.count() == leaves
+    up = node.alias("c").join(node.alias("p"), F.expr("c.rec_id = p.rec_id and c.parent_id = p.id and c.parent_table = 'node'"))
+    assert up.where("c.parent_path = p.path").count() == node.where("parent_table = 'node'").count() == sum(x[2] != "" for x in got)
+    assert set(rows(events, "script_lang")) == {("js",)}
+    assert ("1", None) in rows(record, "version", "xfa_template_locale")
     none = spark.createDataFrame([], "rec_id bigint, raw string")
-    assert shred.node_paths(none, "rec_id", "raw", shred.XFA, plan, "node").count() == 0 and shred.schema_graph(none, "raw", shred.XFA).count() == 0
+    assert shred.shred(none, "rec_id", "raw", shred.XFA, plan, "node", "node").count() == 0 and shred.schema_graph(none, "raw", shred.XFA).count() == 0
 
 
 def test_ranges():
