@@ -1,14 +1,18 @@
 """Problem 8: pages of repeated keywords, links, tags and word lists instead of sentences.
 
 Method: the rank-frequency curve of every page, fitted with SQL windows (log frequency over log rank: slope and
-residual), and the divergence of its commonest words from prose of the same language (``measures``). Which pages are
-found is decided by an exact check alone: the share of the text whose lines are keywords, tags, links or lists. It runs
-on every distinct text. A spread over the pages of a table clears none of them, since what most pages have in common
-may be the spam.
+residual), and the divergence of its words from prose of the same language. What is usual at a length is learnt from all
+distinct texts (``usual``); a page whose slope, residual or divergence is extreme for its length is flagged, all others
+are cleared. On the flagged texts an exact check follows: the share of the text whose lines are keywords, tags, links or
+lists.
+
+What is usual must not be what a hot group of pages is: every distinct text has one vote, and a length is held against
+the lengths around it, so near-copies of one page, which have one length, are outvoted (``usual``).
 
 The words of a page are counted where the page is read, so only its frequency spectrum (how many words occur how often)
 is shuffled. Reference words are computed over all distinct texts, one vote for each text and language, so copies of a
-page don't make its keywords common; their table has a proven bound (``LANGUAGES`` x ``TOP`` words).
+page don't make its keywords common; their table has a proven bound (``LANGUAGES`` x ``TOP`` words). Pages in a language
+that is not among the ``LANGUAGES`` largest are held against the one they diverge least from, as all pages are.
 
 Defined results: null, empty and wordless pages are never found; the language label is only a hint, a page is held
 against the language it diverges least from; repeated rows and copies of a text count once.
@@ -16,6 +20,7 @@ against the language it diverges least from; repeated rows and copies of a text
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -31,6 +36,14 @@ from .leaks import plain_words
 
 TOP, LANGUAGES = 50, 40
 SHARE = 0.5
+#: What is extreme, in median deviations from the usual at that length: slope to either side, residual and divergence above.
+EXTREME = {"slope": 2.5, "residual": 3.0, "divergence": 1.25}
+#: A text is cleared only as far as the usual is known: so many standard errors of the median of its length are taken off
+#: what is extreme. 1.86 median deviations over the root of their number is that error for a normal distribution.
+DOUBT = 3 * 1.86
+#: Lengths (powers of two) on each side that a length is held against.
+AROUND = 2
+_SALTS = 64
 
 
 def language(label):
@@ -63,15 +76,18 @@ def reference(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // v)), flat.dictionary.take(pa.array(key % v)), pa.array(n)], names=["lang", "word", "n"])
 
     counts = texts.select(F.explode("langs").alias("lang"), "text").mapInArrow(count, "lang string, word string, n bigint").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts.createOrReplaceTempView("stuffed_counts")
-    return texts.sparkSession.sql(f"""
-        WITH r AS (SELECT lang, word, n, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM stuffed_counts),
-             l AS (SELECT lang, total, row_number() OVER (ORDER BY total DESC, lang) AS size FROM (SELECT lang, max(total) AS total FROM r WHERE lang <> 'und' GROUP BY lang))
-        SELECT r.lang, r.word, r.n / r.total AS share FROM r JOIN l USING (lang) WHERE r.k <= {TOP} AND l.size <= {LANGUAGES}""")
-
-
-def spectra(documents: DataFrame, ref: list[tuple[str, str, float]]) -> DataFrame:
-    """``(doc_id, n_words, divergence, freq, words)``: frequency spectrum and divergence of every page."""
+    # the top of each part of a language first, then of the language: no task sees a whole vocabulary
+    counts = stored(counts, "stuffed-counts")
+    part = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "word")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(_SALTS))).withColumn("k", F.row_number().over(part)).where(F.col("k") <= TOP)
+    top = top.withColumn("k", F.row_number().over(whole)).where(F.col("k") <= TOP)
+    largest = counts.where("lang <> 'und'").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    return top.join(F.broadcast(largest), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
+
+
+def spectra(texts: DataFrame, ref: list[tuple[str, str, float]]) -> DataFrame:
+    """``(digest, n_words, divergence, freq, words)``: frequency spectrum and divergence of every distinct text."""
     langs = sorted({r[0] for r in ref})
     tables = []
     for lang in langs:
@@ -103,27 +119,82 @@ def spectra(documents: DataFrame, ref: list[tuple[str, str, float]]) -> DataFram
             rows = key // deep
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows)), pa.array(n[rows]), pa.array(np.where(np.isfinite(best), best, 0.0)[rows]), pa.array(key % deep), pa.array(many)],
-                names=["doc_id", "n_words", "divergence", "freq", "words"],
+                names=["digest", "n_words", "divergence", "freq", "words"],
             )
 
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(make, "doc_id bigint, n_words bigint, divergence double, freq bigint, words bigint")
+    return texts.select("digest", "text").mapInArrow(make, "digest string, n_words bigint, divergence double, freq bigint, words bigint")
 
 
 def curves(spectrum: DataFrame) -> DataFrame:
-    """``(doc_id, bucket, slope, residual, divergence)``: the fitted rank-frequency curve of every page."""
+    """``(digest, bucket, slope, residual, divergence)``: the fitted rank-frequency curve of every text."""
     spectrum.createOrReplaceTempView("stuffed_spectrum")
     return spectrum.sparkSession.sql("""
         WITH ranked AS (
-          SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY freq DESC ROWS UNBOUNDED PRECEDING) - (words - 1) / 2.0D AS rank FROM stuffed_spectrum),
-        logs AS (SELECT doc_id, n_words, divergence, words AS w, ln(rank) AS x, ln(freq) AS y FROM ranked),
-        sums AS (SELECT doc_id, max(n_words) AS n_words, max(divergence) AS divergence, sum(w) AS sw, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM logs GROUP BY doc_id),
+          SELECT *, sum(words) OVER (PARTITION BY digest ORDER BY freq DESC ROWS UNBOUNDED PRECEDING) - (words - 1) / 2.0D AS rank FROM stuffed_spectrum),
+        logs AS (SELECT digest, n_words, divergence, words AS w, ln(rank) AS x, ln(freq) AS y FROM ranked),
+        sums AS (SELECT digest, max(n_words) AS n_words, max(divergence) AS divergence, sum(w) AS sw, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, sum(w*y*y) AS syy FROM logs GROUP BY digest),
         fit AS (SELECT *, coalesce(try_divide(sw*sxy - sx*sy, sw*sxx - sx*sx), 0) AS slope FROM sums)
-        SELECT doc_id, cast(floor(log2(n_words)) AS int) AS bucket, slope, divergence,
+        SELECT digest, cast(floor(log2(n_words)) AS int) AS bucket, slope, divergence,
                sqrt(greatest(0, (syy - sy*sy/sw) - slope * (sxy - sx*sy/sw)) / sw) AS residual
         FROM fit WHERE n_words > 0""")
 
 
+
+def usual(measured: DataFrame) -> dict[str, dict[int, tuple[float, float, float]]]:
+    """For each measure and length (bucket): the usual value, the usual deviation from it, and from how many of those a text is extreme.
+
+    Medians of each bucket over all texts (sketches, merged in the tasks), at most 64 buckets. Their trend over the buckets
+    is the median of all slopes between two of them; a bucket's value is the trend plus the median of what the ``AROUND``
+    buckets on either side and it itself stand off the trend. So half of the lengths around would have to be stuffed
+    before stuffing is the usual. Deviations are medians over the same neighbourhood.
+    """
+    found: dict[str, dict[int, tuple[float, float, float]]] = {}
+    flat = _on_trend(measured)
+    mid = flat.groupBy("bucket").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in EXTREME), F.count("*").alias("n")).orderBy("bucket").take(64)
+    n = {r["bucket"]: r["n"] for r in mid}
+    centre = {c: _smooth({r["bucket"]: r[c] for r in mid}, trend=True) for c in EXTREME}
+    if not mid:
+        return {c: {} for c in EXTREME}
+    off = [F.abs(F.col(c) - F.element_at(F.create_map(*(F.lit(x) for kv in centre[c].items() for x in kv)), F.col("bucket"))) for c in EXTREME]
+    spread = flat.groupBy("bucket").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(c) for c, x in zip(EXTREME, off, strict=True))).orderBy("bucket").take(64)
+    for c in EXTREME:
+        wide = _smooth({r["bucket"]: r[c] for r in spread}, trend=False)
+        found[c] = {b: (centre[c][b], max(wide[b], 1e-3), EXTREME[c] - DOUBT / math.sqrt(n[b])) for b in centre[c]}
+    return found
+
+
+def _on_trend(measured: DataFrame) -> DataFrame:
+    """Measures that follow a straight line over the bucket: a divergence falls by a factor for each doubling of the length."""
+    return measured.withColumn("divergence", F.log2(F.greatest("divergence", F.lit(1e-4))))
+
+
+def _smooth(at: dict[int, float], trend: bool) -> dict[int, float]:
+    xs = sorted(at)
+    steep = [(at[b] - at[a]) / (b - a) for i, a in enumerate(xs) for b in xs[i + 1 :]] if trend else []
+    k = float(np.median(steep)) if steep else 0.0
+    level = {x: at[x] - k * x for x in xs}
+    return {x: k * x + float(np.median([level[y] for y in xs if abs(y - x) <= AROUND])) for x in xs}
+
+
+def flagged(measured: DataFrame, ref: list[tuple[str, str, float]]) -> DataFrame:
+    """``digest`` of the texts whose curve is extreme for their length, or that have no word of any language's commonest."""
+    known = usual(measured)
+    if not any(known.values()):
+        return measured.select("digest").limit(0)
+    extreme = F.lit(False)
+    for c, at in known.items():
+        mid, wide, most = (F.element_at(F.create_map(*(F.lit(x) for b in at for x in (b, at[b][k]))), F.col("bucket")) for k in range(3))
+        z = (F.col(c) - mid) / wide
+        extreme = extreme | ((F.abs(z) if c == "slope" else z) > most)
+    rest: dict[str, float] = {}
+    for lang, _, share in ref:
+        rest[lang] = rest.get(lang, 1.0) - share
+    if rest:
+        # the divergence of a page without any of these words, whatever its length
+        extreme = extreme | (F.col("divergence") >= math.log2(-math.log(min(1 - 1e-4, max(1e-4, *rest.values())))) - 1e-9)
+    return _on_trend(measured).where(extreme).select("digest")
+
+
 # the exact check
 
 _CUE = re.compile(r"(?m)^\d+\r?$|^[\d:., ]+-->.*$|^\{\d+\}\{\d+\}|^[\d:.]+,[\d:.]+\r?$|^WEBVTT.*$|^NOTE\b.*$")
@@ -217,24 +288,35 @@ def _reference_rows(texts: DataFrame) -> list[tuple[str, str, float]]:
     return [tuple(r) for r in reference(texts).orderBy("lang", F.desc("share"), "word").take(LANGUAGES * TOP)]
 
 
+def _measured(texts: DataFrame) -> tuple[DataFrame, list[tuple[str, str, float]]]:
+    ref = _reference_rows(texts)
+    return stored(curves(spectra(texts, ref)), "stuffed-curves"), ref
+
+
+def _pages(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest("text").alias("digest"))
+
+
 def found(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of the pages that are keywords, links, tags or lists for more than ``SHARE`` of their text."""
+    """``doc_id`` of the flagged pages that are keywords, links, tags or lists for more than ``SHARE`` of their text."""
     docs = documents.select("doc_id", "lang", "text")
     texts = distinct_texts(docs)
-    common = frozenset(w for _, w, s in _reference_rows(texts) if s > 0.004)
+    measured, ref = _measured(texts)
+    common = frozenset(w for _, w, s in ref if s > 0.004)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [k for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if spam_share(t, common) > SHARE]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], names=["digest"])
 
-    spam = texts.select("digest", "text").mapInArrow(check, "digest string")
-    pages = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest("text").alias("digest"))
-    return pages.join(spam, "digest", "left_semi").select("doc_id").distinct()
+    suspects = texts.select("digest", "text").join(flagged(measured, ref), "digest", "left_semi")
+    spam = suspects.mapInArrow(check, "digest string")
+    return _pages(docs).join(spam, "digest", "left_semi").select("doc_id").distinct()
 
 
 def measures(documents: DataFrame) -> DataFrame:
     """``doc_id, bucket, slope, residual, divergence`` of every page."""
     docs = documents.select("doc_id", "lang", "text")
-    ref = _reference_rows(distinct_texts(docs))
-    return curves(spectra(docs, ref)).select("doc_id", "bucket", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"), F.round("divergence", 6).alias("divergence"))
+    measured, _ = _measured(distinct_texts(docs))
+    per = _pages(docs).distinct().join(measured, "digest")
+    return per.select("doc_id", "bucket", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"), F.round("divergence", 6).alias("divergence"))

@@ -271,6 +271,26 @@ def test_stuffed_copies_are_no_usual_page(spark):
     assert rows(stuffed.found(docs)) == sorted([(i,) for i in range(300, len(texts))], key=str)
 
 
+def test_stuffed_near_copies_are_no_usual_page(spark):
+    # every copy differs a little, so each is a text of its own and they are the most of their length
+    rng = random.Random(8)
+    subject, verb, thing = ["the keeper", "my sister", "a captain"], ["opened", "carried", "found"], ["the old bridge", "a letter", "the garden"]
+    prose = lambda n: "\n".join(f"{rng.choice(subject)} {rng.choice(verb)} {rng.choice(thing)} and it was {rng.choice(['late', 'cold'])} on day {rng.randrange(99)}." for _ in range(n))
+    good = [prose(rng.choice([4, 8, 16, 32, 64])) for _ in range(300)]
+    spam = ["\n".join(", ".join(["cheap garden hose"] * 5) for _ in range(13)) + f"\nhose {i}, hose, garden hose, cheap hose" for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in enumerate(good + spam)], DOCS)
+    assert rows(stuffed.found(docs)) == sorted([(i,) for i in range(300, 450)], key=str)
+
+
+def test_stuffed_is_decided_by_the_curve(spark, monkeypatch):
+    # the exact check sees flagged pages only: without extreme curves nothing is found
+    texts = ["the keeper opened a letter and it was late on a cold day.\n" * 5] * 20 + ["\n".join(", ".join(["cheap garden hose"] * 5) for _ in range(13))]
+    docs = spark.createDataFrame([(i, t + str(i), "en", "x", "y") for i, t in enumerate(texts)], DOCS)
+    assert rows(stuffed.found(docs)) == [(20,)]
+    monkeypatch.setattr(stuffed, "flagged", lambda measured, ref: measured.select("digest").limit(0))
+    assert rows(stuffed.found(docs)) == []
+
+
 def test_curve_is_least_squares(spark):
     docs = spark.createDataFrame([(1, "a a a a b b b c c d", "en", "x", "y")], DOCS)
     got = stuffed.measures(docs).first()
