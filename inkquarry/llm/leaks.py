@@ -11,7 +11,8 @@ A shard is what one task holds of the corpus at a time (about ``SHARD_WORDS`` wo
 hits, and memory doesn't grow with the corpus. The passages go to all tasks in blocks whose size is checked.
 
 Defined results: null or empty documents and passages have no words and never match; items with one passage all count;
-a passage shorter than ``LEAST`` words counts where it is found whole; repeated documents count once.
+a passage shorter than ``LEAST`` words counts where it is found whole, one of fewer than ``SEED`` words by its own phrase;
+repeated documents count once. Spans are given by word number and by character, so that texts can be cut (``cut_out``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,32 @@ def plain_words(texts: pa.Array, markup: bool = False) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(t, " "), " ")
 
 
+_NOISE_SEEN = tuple((regex.compile(a), b == " ") for a, b in _NOISE)
+_BLANKED = re.compile(r"[^\n]")
+_WORDS_SEEN = regex.compile(r"[\pL\pM\pN]+")
+
+
+def word_places(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Where each of the words of a text (as ``plain_words`` gives them) begins and ends in the raw text.
+
+    What isn't spoken is blanked out in place, so positions and lines stay.
+    """
+    t = text
+    for pattern, whole in _NOISE_SEEN:
+        t = pattern.sub(lambda m: _BLANKED.sub(" ", m[0] if whole else m[0][: m.start(1) - m.start()]) + ("" if whole else m[1]), t)  # noqa: B023
+    places = [m.span() for m in _WORDS_SEEN.finditer(t)]
+    if len(places) == len(words):
+        return places
+    # the two ways of reading differ (a letter that one of them doesn't know): find the words one after the other
+    places, low, at = [], text.lower() if len(text.lower()) == len(text) else text, 0
+    for w in words:
+        k = low.find(w, at)
+        a = k if k >= 0 else at
+        at = min(len(text), a + len(w))
+        places.append((a, at))
+    return places
+
+
 class Passages:
     """Words of the passages as symbols, and all phrases of SEED words with the places they come from."""
 
@@ -75,6 +103,9 @@ class Passages:
         rows = [(p, i, tuple(ids[i : i + SEED])) for p, ids in enumerate(self.ids) for i in range(len(ids) - SEED + 1)]
         distinct = sorted({r[2] for r in rows})
         self.patterns = np.array(distinct, np.int64).reshape(len(distinct), SEED)
+        # passages too short for a seed, by length: the phrase is the passage
+        self.short = {n: [p for p, x in enumerate(self.ids) if len(x) == n] for n in range(1, SEED)}
+        self.shortest = min((n for n in self.short if self.short[n]), default=SEED)
         at = {d: k for k, d in enumerate(distinct)}
         places: list[list[tuple[int, int]]] = [[] for _ in distinct]
         for p, i, d in rows:
@@ -103,13 +134,13 @@ class Passages:
         return self
 
 
-def _indexed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols that some phrase could cover, runs of at least SEED, with one separator between; and where they stand."""
+def _indexed(symbols: np.ndarray, shortest: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that some phrase could cover, runs of at least the shortest, with one separator between; and where they stand."""
     n = len(symbols)
     known = symbols != 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
     first, end = edge[::2], edge[1::2]
-    long = end - first >= SEED
+    long = end - first >= shortest
     first, end = first[long], end[long]
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -122,19 +153,31 @@ def _indexed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known[at], symbols[at], 0), at
 
 
-def _hits(symbols: np.ndarray, doc_of: np.ndarray, p: Passages) -> np.ndarray:
-    """(document row, passage, diagonal, position, place) of occurrences around which words agree enough, in order."""
-    text, at = _indexed(symbols)
-    if not len(text):
-        return np.zeros((0, 5), np.int64)
-    index = FMIndex(text, len(p.vocab) + 1)
-    lo, hi = index.search(p.patterns)
+def _occurrences(index: FMIndex, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, position) of every occurrence of every pattern."""
+    lo, hi = index.search(patterns)
     counts = hi - lo
     which = np.repeat(np.arange(len(counts)), counts)
     rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-    if not len(rows):
+    return which, index.locate(rows) if len(rows) else rows
+
+
+def _short_hits(index: FMIndex, at: np.ndarray, doc_of: np.ndarray, p: Passages) -> list[tuple[int, int, int, int]]:
+    """(document row, passage, position, words) of whole passages of fewer than SEED words."""
+    found = []
+    for n, passages in p.short.items():
+        if passages:
+            which, spot = _occurrences(index, np.array([p.ids[q] for q in passages], np.int64).reshape(-1, n))
+            found += [(int(doc_of[x]), passages[k], int(x), n) for k, x in zip(which, at[spot], strict=True)]
+    return found
+
+
+def _hits(index: FMIndex, at: np.ndarray, symbols: np.ndarray, doc_of: np.ndarray, p: Passages) -> np.ndarray:
+    """(document row, passage, diagonal, position, place) of occurrences around which words agree enough, in order."""
+    which, spot = _occurrences(index, p.patterns)
+    if not len(spot):
         return np.zeros((0, 5), np.int64)
-    spot = at[index.locate(rows)]
+    spot = at[spot]
     # every place of the phrase in the passages
     n_places = (p.place_start[1:] - p.place_start[:-1])[which]
     spot, doc = np.repeat(spot, n_places), np.repeat(doc_of[spot], n_places)
@@ -269,33 +312,39 @@ def _banded(x: list[str], y: list[str], weight: list[float], spots: list[tuple[i
     return best[1:] if best else None
 
 
-_OUT = "doc_id bigint, passage int, first int, last int, p_first int, p_last int"
+_OUT = "doc_id bigint, passage int, first int, last int, p_first int, p_last int, start int, stop int"
 
 
 def scan(documents: DataFrame, passages: Passages, key: str = "doc_id", text: str = "text", every: bool = True) -> DataFrame:
-    """``doc_id, passage, first, last, p_first, p_last``: leaked stretches by word position, passages by number. All, or one for each diagonal."""
+    """``doc_id, passage, first, last, p_first, p_last, start, stop``: leaked stretches by word (first, last) and character (start, stop).
+
+    All of them, or one for each diagonal and then without characters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[pa.Array] = []
+        texts: list[pa.Array] = []
         words: list[pa.ListArray] = []
         n = 0
         for b in batches:
             w = plain_words(b.column(1))
             keys.append(b.column(0))
+            texts.append(b.column(1))
             words.append(w)
             n += len(w.values) if len(w) else 0
             if n >= SHARD_WORDS:
-                yield _shard(keys, words, passages, every)
-                keys, words, n = [], [], 0
+                yield _shard(keys, texts, words, passages, every)
+                keys, texts, words, n = [], [], [], 0
         if keys:
-            yield _shard(keys, words, passages, every)
+            yield _shard(keys, texts, words, passages, every)
 
     docs = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return docs.mapInArrow(run, _OUT)
 
 
-def _shard(keys: list[pa.Array], words: list[pa.ListArray], p: Passages, every: bool) -> pa.RecordBatch:
+def _shard(keys: list[pa.Array], texts: list[pa.Array], words: list[pa.ListArray], p: Passages, every: bool) -> pa.RecordBatch:
     key = pa.concat_arrays(keys)
+    raw = pa.chunked_array(texts)
     lists = pa.concat_arrays(words)
     flat = lists.flatten()
     sizes = np.asarray(pc.list_value_length(lists))
@@ -309,22 +358,31 @@ def _shard(keys: list[pa.Array], words: list[pa.ListArray], p: Passages, every:
     spaced = np.zeros(len(symbols) + n_docs, np.int64)
     spaced[np.arange(len(symbols)) + doc_of] = symbols
     doc_spaced = np.repeat(np.arange(n_docs), sizes + 1)
-    hits = _hits(spaced, doc_spaced, p)
-    rows: list[tuple] = []
-    memo: dict[tuple[str, str], bool] = {}
-    last, doc = -1, []
-    group = np.flatnonzero(np.any(np.diff(hits[:, :3], axis=0, prepend=-9), axis=1)) if len(hits) else []
-    for a, z in zip(group, [*group[1:], len(hits)], strict=False):
-        d, q = int(hits[a, 0]), int(hits[a, 1])
-        if d != last:
-            last, doc = d, flat.slice(start[d], sizes[d]).to_pylist()
+    rows: set[tuple] = set()
+    indexed, at = _indexed(spaced, p.shortest)
+    if len(indexed):
+        index = FMIndex(indexed, len(p.vocab) + 1)
         # positions in the spaced sequence to positions in the document
-        spots = [(s - int(start[d]) - d, i) for s, i in hits[a:z, 3:].tolist()]
-        rows += [(key[d].as_py(), q, *got) for got in aligned(doc, p.words[q], p.weights(q), spots, memo, every)]
-    rows = sorted(set(rows))
-    cols = list(zip(*rows, strict=True)) or [[] for _ in range(6)]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "passage", "first", "last", "p_first", "p_last"])
+        rows |= {(d, q, x - int(start[d]) - d, x - int(start[d]) - d + n, 0, n) for d, q, x, n in _short_hits(index, at, doc_spaced, p)}
+        hits = _hits(index, at, spaced, doc_spaced, p)
+        memo: dict[tuple[str, str], bool] = {}
+        last, doc = -1, []
+        group = np.flatnonzero(np.any(np.diff(hits[:, :3], axis=0, prepend=-9), axis=1)) if len(hits) else []
+        for a, z in zip(group, [*group[1:], len(hits)], strict=False):
+            d, q = int(hits[a, 0]), int(hits[a, 1])
+            if d != last:
+                last, doc = d, flat.slice(start[d], sizes[d]).to_pylist()
+            spots = [(s - int(start[d]) - d, i) for s, i in hits[a:z, 3:].tolist()]
+            rows |= {(d, q, *got) for got in aligned(doc, p.words[q], p.weights(q), spots, memo, every)}
+    out: list[tuple] = []
+    last, places = -1, []
+    for d, q, first, end, *of in sorted(rows):
+        if every and d != last:
+            last, places = d, word_places(raw[d].as_py(), flat.slice(start[d], sizes[d]).to_pylist())
+        out.append((key[d].as_py(), q, first, end, *of, *((places[first][0], places[end - 1][1]) if every else (None, None))))
+    cols = list(zip(*out, strict=True)) or [[] for _ in range(8)]
+    types = (pa.int64(), *[pa.int32()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "passage", "first", "last", "p_first", "p_last", "start", "stop"])
 
 
 def word_counts(documents: DataFrame, passages: Passages, key: str = "doc_id", text: str = "text") -> tuple[dict[int, int], int]:
@@ -349,7 +407,7 @@ def word_counts(documents: DataFrame, passages: Passages, key: str = "doc_id", t
 
 
 def leaks(documents: DataFrame, items: DataFrame, every: bool = True) -> DataFrame:
-    """``item_id, doc_id, first, last``: word spans of each item's passage in each document. All, or one for each diagonal."""
+    """``item_id, doc_id, first, last, start, stop``: spans of each item's passage in each document, by word and by character. All, or one for each diagonal."""
     spark = documents.sparkSession
     per_passage = items.where(F.col("passage").isNotNull()).groupBy("passage").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = None
@@ -360,7 +418,7 @@ def leaks(documents: DataFrame, items: DataFrame, every: bool = True) -> DataFra
         nonlocal out
         table = spark.createDataFrame([(k, i) for k, r in enumerate(rows) for i in r[1]], "passage int, item_id bigint").coalesce(1)
         p = Passages([r[0] for r in rows])
-        hits = scan(documents, p.weigh(*word_counts(documents, p)), every=every).join(table, "passage").select("item_id", "doc_id", "first", "last")
+        hits = scan(documents, p.weigh(*word_counts(documents, p)), every=every).join(table, "passage").select("item_id", "doc_id", "first", "last", "start", "stop")
         out = hits if out is None else out.unionByName(hits)
 
     for r in per_passage.orderBy("passage").toLocalIterator():
@@ -379,10 +437,28 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, first, last``: the stretches to remove, overlapping ones merged. Grouped by document: its own spans only."""
-    spans = leaks(documents, items).select("doc_id", "first", "last").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("s"))
+    """``doc_id, first, last, start, stop``: the stretches to remove, by word and by character, overlapping ones merged.
+
+    Grouped by document: its own spans only.
+    """
+    each = F.struct("first", "last", "start", "stop")
+    spans = leaks(documents, items).select("doc_id", each.alias("x")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("s"))
+    top = lambda acc: F.element_at(acc, -1)
+    both = lambda a, x: F.struct(a["first"].alias("first"), F.greatest(a["last"], x["last"]).alias("last"), a["start"].alias("start"), F.greatest(a["stop"], x["stop"]).alias("stop"))
     merged = F.aggregate(
-        "s", F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
+        "s", F.expr("cast(array() as array<struct<first:int,last:int,start:int,stop:int>>)"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (top(acc)["last"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both(top(acc), x)))).otherwise(F.concat(acc, F.array(x))),
     )
     return spans.select("doc_id", F.inline(merged))
+
+
+def cut_out(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """``doc_id, text, cleaned``: the texts with leaks, without the stretches of ``removal_spans``; a blank stands for each."""
+    s = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
+    kept = F.aggregate(
+        "s", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, x: F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(" ")).alias("out")),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    )
+    one = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return one.join(s, "doc_id").select("doc_id", "text", kept.alias("cleaned")).distinct()

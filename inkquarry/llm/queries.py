@@ -115,6 +115,12 @@ def p7_removal_spans(spark, d):
     return leaks.removal_spans(*_p7(spark, d))
 
 
+@R.query("p7_cleaned")
+def p7_cleaned(spark, d):
+    docs, items = _p7(spark, d)
+    return leaks.cut_out(docs, leaks.removal_spans(docs, items))
+
+
 @R.query("p8_found")
 def p8_found(spark, d):
     return stuffed.found(table(spark, d, "documents"))

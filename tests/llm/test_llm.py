@@ -237,7 +237,24 @@ def test_every_stretch_of_a_leak(spark):
     apart = [*passage[:15], *(rng.choice(noise) for _ in range(25)), *passage[40:]]
     d = spark.createDataFrame([(1, " ".join(noise + miswritten + noise)), (2, " ".join(noise + apart + noise))], "doc_id bigint, text string")
     it = spark.createDataFrame([(1, " ".join(passage))], "item_id bigint, passage string")
-    assert rows(leaks.removal_spans(d, it)) == [(1, 4, 64), (2, 4, 19), (2, 44, 64)]
+    assert rows(leaks.removal_spans(d, it), "doc_id", "first", "last") == [(1, 4, 64), (2, 4, 19), (2, 44, 64)]
+
+
+def test_leaks_are_cut_out_by_character(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghijklmnoprstuvwé") for _ in range(6)) for _ in range(400)]
+    passage = rng.sample(vocab, 30)
+    seen = [*passage[:14], passage[14][:2] + "x" + passage[14][3:], *passage[15:]]
+    marked = "1\n00:00:01,000 --> 00:00:02,000\nОна <i>said</i> İ so: " + ", ".join(seen).upper() + "! (music) 𝐀nd then.\n2\n00:00:03,000 --> 00:00:04,000\nend"
+    plain = "So it was. " + " ".join(passage) + " That is all."
+    d = spark.createDataFrame([(1, marked), (2, plain), (3, "nothing here"), (4, "we met in Paris"), (5, "Rio, at last"), (6, None)], "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(passage)), (2, "paris"), (3, "RIO at"), (4, "rio last"), (5, None)], "item_id bigint, passage string")
+    assert rows(leaks.found(d, it)) == [(1, 1), (1, 2), (2, 4), (3, 5)]
+    spans = leaks.removal_spans(d, it)
+    text = {1: marked, 2: plain, 4: "we met in Paris", 5: "Rio, at last"}
+    assert {r["doc_id"]: text[r["doc_id"]][r["start"] : r["stop"]] for r in spans.collect()} == {1: ", ".join(seen).upper(), 2: " ".join(passage), 4: "Paris", 5: "Rio, at"}
+    got = dict(rows(leaks.cut_out(d, spans), "doc_id", "cleaned"))
+    assert got == {1: marked.replace(", ".join(seen).upper(), " "), 2: "So it was.   That is all.", 4: "we met in  ", 5: "  last"}
 
 
 # problem 8
