@@ -3,7 +3,8 @@
 Method: noisy channel. A seen word is a clean word sent through a channel that confuses characters; the probabilities of
 the confusions are estimated from the corpus (rare forms beside frequent words they are one confusion away from), those
 of the clean words from corpus unigrams and bigrams, and Viterbi picks the most likely words of each line among the
-candidates. Words joined to their neighbour, torn apart, or broken at a line end are told by the same counts.
+candidates; letters for figures are such confusions too. Words joined to their neighbour, torn apart, or broken at a line
+end are told by the same n-gram counts. All limits are ratios of counts, so they mean the same at every size of the corpus.
 
 Steps: page frames (headers, footers, page numbers) by geometry and number sequence; counts over all body words;
 candidates for distinct forms by hash joins on generated spellings; Viterbi for the lines that have candidates; joining
@@ -34,6 +35,9 @@ CONFUSIONS = (
     ("w", "vv"), ("vv", "w"), ("s", "5"), ("S", "5"), ("B", "8"), ("b", "6"), ("G", "6"), ("g", "9"), ("q", "g"), ("f", "ſ"), ("f", "t"), ("t", "f"), ("v", "y"), ("y", "v"), ("ß", "B"), ("é", "6"), ("z", "2"), ("Z", "2"),
     ("ü", "ii"), ("ö", "o"), ("r", "i"), ("in", "m"), ("m", "in"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("E", "F"), ("F", "E"), ("C", "G"), ("D", "O"), ("Q", "O"), ("T", "I"), ("T", "7"), ("s", "ſ"),
 )
+#: After a mark at a line end a word that is at least this share of all words is taken for a word of its own, after a dash and
+#: after a hyphen, where nothing else is known.
+DASHED, HYPHENED = 2e-5, 1e-4
 #: A form with fewer occurrences than this share of a candidate's is taken for the work of the channel.
 SHADOW = 0.05
 BREAKS = "-=‐­–¬—"
@@ -239,20 +243,32 @@ def bigrams(seq: DataFrame) -> DataFrame:
 # candidates
 
 
+#: From this length on two confusions are found from both ends: one undone in the form, one made in the word.
+LONG = 24
+
+
+def _swapped(s: str, pairs) -> Iterator[tuple[str, tuple[str, str]]]:
+    """All strings in which one of the pairs (from, to) is exchanged once."""
+    for old, new in pairs:
+        k = s.find(old)
+        while k >= 0:
+            yield s[:k] + new + s[k + len(old) :], (old, new)
+            k = s.find(old, k + 1)
+
+
+_UNDO = tuple((seen, clean) for clean, seen in CONFUSIONS)
+
+
 def undo(form: str, most: int = 2) -> dict[str, tuple[str, ...]]:
     """Spellings that the form may be a misreading of, with the confusions that lead there."""
     found: dict[str, tuple[str, ...]] = {form: ()}
     layer = {form: ()}
-    for _ in range(most if len(form) < 24 else 1):
+    for _ in range(most):
         new: dict[str, tuple[str, ...]] = {}
         for s, ops in layer.items():
-            for clean, seen in CONFUSIONS:
-                k = s.find(seen)
-                while k >= 0:
-                    t = s[:k] + clean + s[k + len(seen) :]
-                    if t not in found and t not in new:
-                        new[t] = (*ops, f"{clean}>{seen}")
-                    k = s.find(seen, k + 1)
+            for t, (seen, clean) in _swapped(s, _UNDO):
+                if t not in found and t not in new:
+                    new[t] = (*ops, f"{clean}>{seen}")
         found |= new
         layer = new
     del found[form]
@@ -264,7 +280,7 @@ def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], [], []]
         for form, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen: dict[str, tuple[str, ...]] = {}
-            for c, ops in undo(form).items():
+            for c, ops in undo(form, 2 if len(form) < LONG else 1).items():
                 if c.lower() != form.lower():
                     seen.setdefault(c.lower(), ops)
             for c, ops in seen.items():
@@ -273,27 +289,91 @@ def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], names=["form", "n", "candidate", "ops"])
 
 
+def _misread_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long words to what one confusion makes of them: (candidate, n_candidate, between, op)."""
+    for b in batches:
+        cols: list[list] = [[], [], [], []]
+        for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, (clean, seen) in _swapped(word, CONFUSIONS):
+                for col, x in zip(cols, (word, n, t, f"{clean}>{seen}"), strict=True):
+                    col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["candidate", "n_candidate", "between", "op"])
+
+
 def _wild(col: str):
     """One row for each letter of a word, the letter left open: words that differ in one letter share a row."""
     return F.posexplode(F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.concat(F.substring(F.col(col), F.lit(1), i - 1), F.lit("\u0001"), F.substring(F.col(col), i + 1, F.length(col)))))
 
 
+#: Words longer than this share a half instead of all letters but one: the rows for a word stay two, however long it is.
+_HALVES = 40
+
+
+def _one_letter(forms: DataFrame, uni: DataFrame, rarer: float) -> DataFrame:
+    """``form, n, candidate, n_candidate, ops``: words of at least four letters that differ in one, of which one is far rarer.
+
+    Words of one length meet on what they share: all letters but one, or for very long ones the first or the second half.
+    """
+    # a form counts in all its cases: a capital at the beginning of a sentence makes no rare word
+    lows = uni.select(F.col("form").alias("low"), F.col("n").alias("n_low"))
+    odd = forms.where(F.length("form") > 3).withColumn("low", F.lower("form")).join(lows, "low", "left").select("form", F.greatest("n", F.coalesce("n_low", F.lit(0))).alias("n"), "low")
+    words = uni.where(F.length("form") > 3).select(F.col("form").alias("candidate"), F.col("n").alias("n_candidate"))
+    # a form that is no rarer than all that share its letters has no candidate: found before any pair is made
+    short = F.length("low") < _HALVES
+    left = odd.where(short).select("form", "n", "low", _wild("low").alias("at", "open"))
+    right = words.where(F.length("candidate") < _HALVES).select("candidate", "n_candidate", _wild("candidate").alias("at_c", "open"))
+    top = right.groupBy("open").agg(F.max("n_candidate").alias("most"))
+    left = left.join(top, "open").where(F.col("n") * rarer < F.col("most")).drop("most")
+    some = left.join(right.where(F.col("n_candidate") > rarer), "open").where((F.col("n") * rarer < F.col("n_candidate")) & (F.col("low") != F.col("candidate")))
+    op = lambda at: F.array(F.concat(F.substring("candidate", at + 1, F.lit(1)), F.lit(">"), F.substring("low", at + 1, F.lit(1))))
+    near = some.select("form", "n", "candidate", "n_candidate", op(F.col("at")).alias("ops"))
+
+    def halves(col: str):
+        k = F.floor(F.length(col) / 2).cast("int")
+        return F.posexplode(F.array(F.substring(F.col(col), F.lit(1), k), F.substring(F.col(col), k + 1, F.length(col))))
+
+    far = odd.where(~short).select("form", "n", "low", F.length("low").alias("length"), halves("low").alias("side", "half"))
+    far = far.join(words.where(F.length("candidate") >= _HALVES).select("candidate", "n_candidate", F.length("candidate").alias("length"), halves("candidate").alias("side", "half")), ["length", "side", "half"])
+    far = far.where((F.col("n") * rarer < F.col("n_candidate")) & (F.col("low") != F.col("candidate")))
+    wrong = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.substring("low", i + 1, F.lit(1)) != F.substring("candidate", i + 1, F.lit(1)))
+    far = far.withColumn("wrong", wrong).where(F.size("wrong") == 1)
+    return near.unionByName(far.select("form", "n", "candidate", "n_candidate", op(F.col("wrong")[0]).alias("ops")))
+
+
+def _figures(forms: DataFrame, uni: DataFrame) -> DataFrame:
+    """``form, n, candidate, n_candidate, ops``: numbers, and codes of a letter and figures, read with letters in place of figures.
+
+    A number needn't be attested itself: what counts is how many words are numbers, or such codes.
+    """
+    classes = uni.groupBy(F.when(F.col("form").rlike("^[0-9]+$"), "number").when(F.col("form").rlike("^[a-z][0-9]+$"), "code").alias("class")).agg(F.sum("n").alias("n_candidate"))
+    f = forms.where(_misread_figures("form"))
+    number = F.col("form").rlike("^[0-9OolI]+$") & F.col("form").rlike("^[0-9]")
+    tail = F.translate(F.when(number, F.col("form")).otherwise(F.expr("substring(form, 2)")), "OolI", "0011")
+    clean = F.when(number, tail).otherwise(F.concat(F.lower(F.substring("form", 1, 1)), tail))
+    wrong = F.filter(F.split("form", ""), lambda x: x.isin("O", "o", "l", "I"))
+    first = F.col("form").substr(1, 1)
+    wrong = F.when(~number & first.isin("O", "I"), F.slice(wrong, 2, F.greatest(F.size(wrong) - 1, F.lit(0)))).otherwise(wrong)
+    ops = F.transform(wrong, lambda x: F.concat(F.translate(x, "OolI", "0011"), F.lit(">"), x))
+    return f.select("form", "n", clean.alias("candidate"), ops.alias("ops"), F.when(number, "number").otherwise("code").alias("class")).join(classes, "class").select("form", "n", "candidate", "n_candidate", "ops")
+
+
 def candidates(seq: DataFrame, uni: DataFrame, rarer: float = 10.0) -> DataFrame:
     """``(form, n, candidate, n_candidate, ops)``: clean words that distinct forms may be misreadings of.
 
-    Known confusions up to twice, or any single letter for another. A candidate must be far more frequent than the form.
+    Known confusions up to twice, or any single letter for another, or letters for figures. A candidate must be ``rarer``
+    times as frequent as the form, at every size of the corpus.
     """
     forms = seq.where((F.length("word") > 1) & ~F.col("word").rlike("^[IVXLCDM]+$")).groupBy(F.col("word").alias("form")).agg(F.count("*").alias("n"))
-    known = forms.mapInArrow(_generate, "form string, n bigint, candidate string, ops array<string>").join(uni.select(F.col("form").alias("candidate"), F.col("n").alias("n_candidate")), "candidate")
-    rare = forms.join(uni.select(F.col("form").alias("low"), F.col("n").alias("n_low")), F.lower("form") == F.col("low"), "left")
-    odd = rare.where((F.coalesce("n_low", F.lit(0)) < 50) & (F.length("form") > 3) & (F.length("form") < 40)).select("form", "n", F.lower("form").alias("low"))
-    left = odd.select("form", "n", "low", _wild("low").alias("at", "open"))
-    right = uni.where((F.col("n") > 20) & (F.length("form") > 3) & (F.length("form") < 40)).select(F.col("form").alias("candidate"), F.col("n").alias("n_candidate"), _wild("form").alias("at_c", "open"))
-    one = left.join(right, "open").where("low <> candidate").select(
-        "form", "n", "candidate", "n_candidate", F.array(F.concat(F.expr("substring(candidate, at + 1, 1)"), F.lit(">"), F.expr("substring(low, at + 1, 1)"))).alias("ops")
-    )
-    every = known.select("form", "n", "candidate", "n_candidate", "ops").unionByName(one)
-    return every.where(F.col("n") * rarer < F.col("n_candidate")).groupBy("form", "candidate").agg(F.max("n").alias("n"), F.max("n_candidate").alias("n_candidate"), F.min_by("ops", F.size("ops")).alias("ops"))
+    undone = stored(forms.mapInArrow(_generate, "form string, n bigint, candidate string, ops array<string>"), "scans-undone")
+    words = uni.select(F.col("form").alias("candidate"), F.col("n").alias("n_candidate"))
+    known = undone.join(words, "candidate").select("form", "n", "candidate", "n_candidate", "ops")
+    # two confusions in a long form: one undone meets one made
+    made = words.where(F.length("candidate") >= LONG - 4).mapInArrow(_misread_once, "candidate string, n_candidate bigint, between string, op string")
+    met = undone.where(F.length("form") >= LONG).withColumnRenamed("candidate", "between").join(made, "between")
+    twice = met.where(F.lower("form") != F.col("candidate")).select("form", "n", "candidate", "n_candidate", F.concat("ops", F.array("op")).alias("ops"))
+    # a listed confusion explains a form before any other letter does
+    every = known.unionByName(twice).unionByName(_figures(forms, uni)).withColumn("way", F.lit(0)).unionByName(_one_letter(forms, uni, rarer).withColumn("way", F.lit(1)))
+    return every.where(F.col("n") * rarer < F.col("n_candidate")).groupBy("form", "candidate").agg(F.max("n").alias("n"), F.max("n_candidate").alias("n_candidate"), F.min_by("ops", F.struct(F.size("ops"), "way", "ops")).alias("ops"))
 
 
 def channel(cands: DataFrame, uni: DataFrame) -> DataFrame:
@@ -327,27 +407,41 @@ def breaks(seq: DataFrame, uni: DataFrame) -> DataFrame:
     pairs = joins.groupBy("a", "b", "ab", "a_b").agg(F.count("*").alias("n_all"), F.sum((F.col("mark") == "").cast("int")).alias("n_pair"))
     for key in ("a", "b", "ab", "a_b"):
         pairs = count(pairs, key)
-    marked = (F.col("mark") != "") & ((F.col("n_ab") > 1) | ((F.col("n_a_b") > 1) & F.col("mark").isin("-", "‐", "­", "=", "¬", "–", "—")) | (F.col("n_b") * 1.0 < 8) & (F.col("n_b") <= F.col("n_all") + 4))
-    torn = (F.col("mark") == "") & ~F.col("next.text").rlike("[" + re.escape(BREAKS) + "]$") & (F.col("n_ab") > 4) & (F.least("n_a", "n_b") * 20 < F.col("n_ab")) & (F.col("n_pair") * 3 < F.col("n_ab") + 3)
+    # a mark at a line end is a break, unless what follows is a usual word and neither spelling of the whole is attested
+    usual = F.when(F.col("mark").isin("–", "—"), DASHED).otherwise(HYPHENED)
+    marked = (F.col("mark") != "") & ((F.col("n_ab") > 1) | (F.col("n_a_b") > 1) | (F.col("n_b") < 2) | (F.col("n_b") <= F.col("n_all")) | (F.col("n_b") < usual * F.col("total")))
+    torn = (F.col("mark") == "") & ~F.col("next.text").rlike("[" + re.escape(BREAKS) + "]$") & (F.least("n_a", "n_b") * 20 < F.col("n_ab")) & (F.col("n_pair") * 3 < F.col("n_ab") + 3)
     kind = F.when(marked, "hyphen").when(torn & F.col("ends"), "hyphen").when(torn, "misread")
+    pairs = pairs.crossJoin(F.broadcast(uni.agg(F.sum("n").alias("total"))))
     got = joins.join(pairs, ["a", "b", "ab", "a_b"]).withColumn("kind", kind).where("kind is not null")
     compound = (F.col("mark") != "") & (F.col("n_ab") < 2) & (F.col("n_a_b") > 1)
     return got.select("doc_id", "page", "ord", "kind", F.when(compound, F.concat("word", F.lit("-"), "next.text")).otherwise(F.concat("word", "next.text")).alias("joined"), F.col("next.ord").alias("next_ord"))
 
 
-def run_together(seq: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
-    """``(form, parts)``: forms that are two words written as one, told by the bigram they would make."""
-    forms = seq.where((F.length("word") > 3) & (F.length("word") < 60)).groupBy(F.lower("word").alias("form")).agg(F.count("*").alias("n"))
-    cut = forms.select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("k")).select("form", "n", F.expr("substring(form, 1, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
-    # the bigram is attested, or both words are long enough not to meet by chance in a form seen hardly ever
-    long = (F.length("a") > 3) & (F.length("b") > 3) & (F.col("n") < 3)
-    hit = cut.join(bi.withColumnRenamed("n", "n_bi"), ["a", "b"], "left").fillna(0, ["n_bi"]).where(((F.col("n_bi") > 1) & (F.col("n_bi") > 2 * F.col("n"))) | long)
-    solid = hit.join(uni.select(F.col("form").alias("a"), F.col("n").alias("n_a")), "a").join(uni.select(F.col("form").alias("b"), F.col("n").alias("n_b")), "b")
-    solid = solid.where(F.least("n_a", "n_b") > F.when(F.col("n_bi") > 1, 10 * F.col("n")).otherwise(30 * F.col("n")))
-    return solid.groupBy("form").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.col("n_bi")).alias("parts"))
+#: From this length on the parts of a form are looked up by this many letters at its ends, instead of cutting it everywhere.
+_LONG_FORM = 60
 
 
-_FIGURES = r"(?i)^(?=.*[0-9])(?=.*[olisbz|])[0-9olisbz|]{2,6}$|^[A-Z][0-9olIiSB]{1,3}$"
+def run_together(seq: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+    """``(form, parts)``: forms that are two words written as one, told by the bigram they would make.
+
+    The bigram is attested and more frequent than the form; or it is hardly attested, and then both words must be long and
+    the form no more frequent than chance makes of such a bigram. Both words are far more frequent than the form.
+    """
+    forms = seq.where(F.length("word") > 3).groupBy(F.lower("word").alias("form")).agg(F.count("*").alias("n"))
+    cut = forms.where(F.length("form") < _LONG_FORM).select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("k"))
+    # of a very long form one part has half its letters: such words meet it by its first or last letters
+    half = _LONG_FORM // 2
+    long_forms, long_words = forms.where(F.length("form") >= _LONG_FORM), uni.where(F.length("form") >= half).select(F.col("form").alias("word"))
+    head = long_forms.withColumn("end", F.substring("form", 1, half)).join(long_words.withColumn("end", F.substring("word", 1, half)), "end").where(F.startswith("form", "word") & (F.length("word") < F.length("form"))).select("form", "n", F.length("word").alias("k"))
+    tail = long_forms.withColumn("end", F.expr(f"right(form, {half})")).join(long_words.withColumn("end", F.expr(f"right(word, {half})")), "end").where(F.endswith("form", "word") & (F.length("word") < F.length("form"))).select("form", "n", (F.length("form") - F.length("word")).alias("k"))
+    cut = cut.unionByName(head).unionByName(tail).distinct().select("form", "n", F.expr("substring(form, 1, k)").alias("a"), F.expr("substring(form, k + 1)").alias("b"))
+    solid = cut.join(uni.select(F.col("form").alias("a"), F.col("n").alias("n_a")), "a").join(uni.select(F.col("form").alias("b"), F.col("n").alias("n_b")), "b")
+    solid = solid.where(F.least("n_a", "n_b") > 10 * F.col("n")).join(bi.withColumnRenamed("n", "n_bi"), ["a", "b"], "left").fillna(0, ["n_bi"])
+    attested = (F.col("n_bi") > 1) & (F.col("n_bi") > 2 * F.col("n"))
+    long = (F.length("a") > 3) & (F.length("b") > 3) & (F.col("n") < F.col("n_bi") + 3)
+    solid = solid.where(attested | (long & (F.least("n_a", "n_b") > F.when(F.col("n_bi") > 1, 10 * F.col("n")).otherwise(30 * F.col("n")))))
+    return solid.groupBy("form").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct("n_bi", "a")).alias("parts"))
 
 
 def _misread_figures(word):
@@ -364,7 +458,7 @@ def decode(seq: DataFrame, uni: DataFrame, bi: DataFrame, cands: DataFrame) -> D
     total = uni.agg(F.sum("n").alias("total"))
     # what the channel makes of more frequent words is no evidence for a form
     expected = cands.groupBy("form").agg(F.sum(F.col("n_candidate") * F.exp("lp")).alias("expected"), F.max("n").alias("n_form"))
-    listed = cands.groupBy("form").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.log("n_candidate") - F.col("lp")).alias("cost"), "candidate", "n_candidate", "lp"))), 1, 12).alias("c")).join(expected, "form")
+    listed = cands.groupBy("form").agg(F.array_sort(F.collect_list(F.struct((-F.log("n_candidate") - F.col("lp")).alias("cost"), "candidate", "n_candidate", "lp"))).alias("c")).join(expected, "form")
     ws = seq.where(F.length("word") > 0).select("doc_id", "page", "line", "at", "ord", "word", F.lower("word").alias("low"), F.lower("before.word").alias("prev"), F.lower("next.word").alias("nxt"))
     ws = ws.join(listed, ws["word"] == listed["form"], "left").drop("form")
     line = ws.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("at", "ord", "word", "low", "c", "expected", "n_form"))).alias("w"), F.max(F.col("c").isNotNull()).alias("any"), F.min_by("prev", "at").alias("prev"), F.max_by("nxt", "at").alias("nxt"))
@@ -457,13 +551,11 @@ def analyse(words: DataFrame) -> dict[str, DataFrame]:
 def found(words: DataFrame) -> DataFrame:
     """``doc_id, page, ord, kind`` of every word that is not plain body text as it should read."""
     a = analyse(words)
-    figures = a["alone"].where(_misread_figures("word")).select("doc_id", "page", "ord", F.lit("misread").alias("kind"))
     joined = a["alone"].join(a["together"], F.lower("word") == F.col("form"), "left_semi").select("doc_id", "page", "ord", F.lit("misread").alias("kind"))
     parts = [
         a["tokens"].where("kind is not null").select("doc_id", "page", "ord", "kind"),
         a["breaks"].select("doc_id", "page", "ord", "kind"),
         a["fixed"].select("doc_id", "page", "ord", F.lit("misread").alias("kind")),
-        figures,
         joined,
     ]
     out = parts[0]

@@ -156,6 +156,34 @@ def test_scans(spark):
     assert scans.found(spark.createDataFrame([], WORDS)).count() == 0
 
 
+def test_scans_mean_the_same_at_ten_times_the_size(spark):
+    body = ["the stone bridge was measured before the", "winter began and the harbour was counted", "in 1904 because the weather had turned again", "and 37 boats of 1881 were bought for 250"]
+    odd = ["tbe stone brid-", "ge was mea sured and thestone was stonc", "in 19O4 the harbour was countcd", "in 1904 and 37 boats of 188l were bought"]
+    found = []
+    for times in (1, 10):
+        data = [x for k in range(times) for n in range(1, 41) for x in page(10 * k + 1, n, body)] + [x for k in range(times) for x in page(10 * k + 2, 1, [*body, *odd])]
+        w = spark.createDataFrame(data, WORDS).repartition(4)
+        text = {(r["doc_id"], r["page"], r["ord"]): r["text"] for r in w.collect()}
+        found.append(sorted((r["kind"], text[r["doc_id"], r["page"], r["ord"]]) for r in scans.found(w).where("doc_id % 10 = 2 and doc_id < 10").collect()))
+    assert found[0] == found[1] and {t for _, t in found[0]} == {"tbe", "brid-", "mea", "thestone", "stonc", "countcd", "19O4", "188l"}
+
+
+def test_scans_of_very_long_words(spark):
+    # past the lengths at which words are cut everywhere, the same is found by other ways
+    long, longer = "electroencephalographically", "pneumonoultramicroscopicsilicovolcanoconiosis"
+    body = [f"the {long} measured {longer} was here"] * 6
+    data = [x for n in range(1, 31) for x in page(1, n, body)]
+    seen = [long.replace("c", "e", 1).replace("ph", "pb", 1), longer.replace("k", "x").replace("m", "w", 1), longer + long, long + longer, "x" * 20000]
+    data += page(2, 1, ["the " + " ".join(seen) + " was here"])
+    w = spark.createDataFrame(data, WORDS)
+    got = {r["ord"] for r in scans.found(w).where("doc_id = 2 and kind = 'misread'").collect()}
+    assert got == {2, 3, 4}
+    # two confusions that occur nowhere else are too unlikely to be taken, but they are weighed
+    seq = scans.follow(scans.tokens(w).where("kind is null").drop("kind"))
+    pairs = {(r["form"], r["candidate"], tuple(r["ops"])) for r in scans.candidates(seq, scans.unigrams(seq)).collect()}
+    assert (seen[0], long, ("h>b", "c>e")) in pairs or (seen[0], long, ("c>e", "h>b")) in pairs
+
+
 def test_numbers():
     assert [scans.roman_value(scans.roman(n)) for n in range(1, 400)] == list(range(1, 400))
     assert scans.frame_kinds("Papers, Vol. IV".split(), 4, 0) == ["running"] * 3
