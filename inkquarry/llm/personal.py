@@ -1,17 +1,18 @@
 """Problem 3: personal information in free text.
 
-Method: generators with high recall propose overlapping spans of five kinds; boosted trees score each span by the format
-of the item and the words around it; thresholds on calibrated probabilities select the spans, and of overlapping ones the
-most certain stays. One model for each kind.
+Method: generators with high recall propose overlapping spans of five kinds, names in any script; boosted trees score each
+span by the format of the item and the words around it; thresholds on calibrated probabilities, for each kind the best one
+on held-out rows, select the spans, and of overlapping ones the most certain stays. One model for each kind.
 
 There are no labelled rows, so the trees learn from weak labels on a bounded sample (``SAMPLE`` spans of each kind, a
 documented parameter): spans whose format is checkable, that an introducing word names, or that fill a form field whose
 own name says what it holds are positive; spans after words of serial numbers, prices, versions and the like are
-negative; all other spans are unlabelled and only scored. Which words are names of persons is learnt from name fields,
-over all data, by a join. Everything else covers every row.
+negative; all other spans are unlabelled and only scored. A few made-up sentences of each kind (``EXAMPLES``) are always
+among the labelled rows, so every kind has a model, however small the table. Which words are names of persons is learnt
+from name fields, over all data, by a join. Everything else covers every row.
 
 Text is read across line ends within a page, with the last line of the page before and the first two of the page after,
-so an item that runs on is seen whole; it counts in the line where it begins. Look-alike and ignorable characters are
+so an item that runs on is seen whole; it counts in the line where it begins, and is redacted on both pages. Look-alike and ignorable characters are
 read through, and positions lead back to the raw text.
 
 Defined results: null and empty text has no items; a page or field that comes twice counts once; elements of one field
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,13 @@ from .lookalikes import _BLANK, _IGNORED, PLAIN, TO_LATIN, script_of
 
 KINDS = ("email", "address", "id_number", "phone", "person_name")
 SAMPLE = 6000
-CUT = 0.5
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 # Words that introduce items, in the languages of the corpus.
 _PHONE_CUES = "phone tel telephone call ring mobile fax llamar telefone telefono teléfono téléphone téléphoner телефон τηλέφωνο rückfragen unter telefon anruf kontakt fon cell".split()
 _ID_CUES = "ssn dni nie nif passport licence license identity insurance steuer-id ausweis pasaporte reisepass passeport passaporte insee cpf tax nino паспорт".split()
 _NOT_CUES = "serial reference order build version price section table row page chapter invoice isbn item model number room article step figure plot fläche höhe pieces".split()
-_TITLES = "Ms Mr Mrs Miss Dr Prof Mme Mlle Frau Herr Sr Sra Señor Señora Srta Dra Dott Sir".split()
+_TITLES = "Ms Mr Mrs Miss Dr Prof Mme Mlle Frau Herr Sr Sra Señor Señora Srta Dra Dott Sir Pan Pani Fru г-н г-жа Г-н Г-жа господин госпожа Господин Госпожа Κύριος Κυρία κύριος κυρία Κος Κα".split()
 _STREET = "street road avenue lane drive close terrace row way court crescent place square boulevard hill gardens grove st rd ave ln dr blvd".split()
 _STREET_BEFORE = "calle rue avenida rua via avenue boulevard plaza praça travessa chemin allée place quai улица ул οδός camino paseo".split()
 _CLOSED = frozenset(
@@ -70,15 +72,39 @@ ADDRESS = re.compile(
     rf")(?:, (?:Apt|Flat|Unit|Suite) \w+)?(?:, (?:\d{{4,6}} )?{_CAP}(?: {_CAP})?)?(?:(?:,? [A-Z]{{2}} \d{{4,6}})|(?: [A-Z]{{2}}\d[\dA-Z]? \d[A-Z]{{2}}))?"
 )
 _TITLE = rf"(?:(?:{'|'.join(_TITLES)})\.? )"
-_NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’-][A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})*)"
-_INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
+
+
+def letters(test: Callable[[str], bool]) -> str:
+    """The letters of all scripts that pass a test, as ranges for a character class."""
+    out, first, last = [], -1, -2
+    for k in range(sys.maxunicode + 1):
+        if test(chr(k)):
+            if k != last + 1:
+                if first >= 0:
+                    out.append((first, last))
+                first = k
+            last = k
+    return "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in [*out, (first, last)])
+
+
+_UP, _LOW = letters(lambda c: c.isupper() or c.istitle()), letters(str.islower)
+#: Letters of scripts without capitals, and the marks that belong to them.
+_NO_CASE = letters(lambda c: (c.isalpha() and not (c.isupper() or c.istitle() or c.islower()) and not c.isascii()) or unicodedata.category(c) in ("Mn", "Mc"))
+_NAME_WORD = rf"(?:[{_UP}][{_LOW}]+(?:['’-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})*)"
+#: A word without capitals is a name where something says so: a title before it, or the name of its field.
+_CASELESS = rf"[{_NO_CASE}]+(?:[·-][{_NO_CASE}]+)*"
+_ANY_NAME = rf"(?:{_NAME_WORD}|{_CASELESS})"
+_INITIAL = rf"[{_UP}]\."
 NAMES = (
-    re.compile(rf"(?<![\w@.-]){_TITLE}(?:{_INITIAL} ?)?{_NAME_WORD}(?: {_INITIAL})?(?: {_NAME_WORD})?(?![\w@])"),
-    re.compile(rf"(?<![\w@.-]){_TITLE}(?:{_INITIAL} ?)?{_NAME_WORD}(?![\w@])"),
+    re.compile(rf"(?<![\w@.-]){_TITLE}(?:{_INITIAL} ?)?{_ANY_NAME}(?: {_INITIAL})?(?: {_ANY_NAME})?(?![\w@])"),
+    re.compile(rf"(?<![\w@.-]){_TITLE}(?:{_INITIAL} ?)?{_ANY_NAME}(?![\w@])"),
     re.compile(rf"(?<![\w@.-]){_NAME_WORD} (?:{_INITIAL} )?{_NAME_WORD}(?![\w@])"),
     re.compile(rf"(?<![\w@.-]){_INITIAL} ?(?:{_INITIAL} ?)?{_NAME_WORD}(?![\w@])"),
     re.compile(rf"(?<![\w@.-]){_NAME_WORD}, {_NAME_WORD}(?: {_INITIAL})?(?![\w@])"),
 )
+_CASELESS_NAME = re.compile(rf"\s*({_CASELESS}(?:[ ・·]{_CASELESS}){{0,3}})\s*")
+_WORDS_OF_NAME = re.compile(_ANY_NAME)
+_TITLED = re.compile(_TITLE)
 _DIGITS = re.compile(r"\d+")
 _CONTEXT = re.compile(r"[^\W\d_][\w'-]*|[^\w\s]")
 
@@ -190,31 +216,61 @@ def propose(text: str, first: int, last: int, cue_field: int) -> Iterator[tuple[
             if span in seen or not first <= m.start() < last:
                 continue
             seen.add(span)
-            titled = re.match(_TITLE, m[0])
-            words = [w.lower() for w in re.findall(_NAME_WORD, m[0][titled.end() if titled else 0 :])]
+            titled = _TITLED.match(m[0])
+            words = [w.lower() for w in _WORDS_OF_NAME.findall(m[0][titled.end() if titled else 0 :])]
             if not words or words[0] in _CLOSED or words[-1] in _CLOSED:
                 continue
             left, right = _context(text, *span)
             whole = span[1] - span[0] >= len(text.strip()) - 1
             yield "person_name", *span, words, _features("person_name", m[0], left, right, whole, cue_field), _label("person_name", m[0], left, whole, cue_field)
+    if cue_field == KINDS.index("person_name") + 1 and (m := _CASELESS_NAME.fullmatch(text, first, last)) and m.span(1) not in seen:
+        words = _WORDS_OF_NAME.findall(m[1])
+        yield "person_name", *m.span(1), words, _features("person_name", m[1], [], [], True, cue_field), 1
 
 
-#: Parts of field names that say what a field holds: index into KINDS plus 1.
+# Words of field names that say what a field holds, in the languages of forms; by index into KINDS plus 1.
 FIELD_CUES = {
-    1: ("email", "mail", "kontakt"), 2: ("street", "address", "deliverto"), 3: ("document", "idnumber", "ref2"), 4: ("phone", "mobile", "tel"),
-    5: ("name", "familyname", "signedby"), 9: ("quantity", "amount", "item", "date", "code", "box", "price", "total"),
+    1: "email mail kontakt courriel correo", 2: "street address addr adresse anschrift straße strasse rue dirección direccion endereço endereco indirizzo deliver delivery ship residence domicile",
+    3: "document id ssn passport licence license identity ausweis tax insurance dni nie nif cpf", 4: "phone mobile tel telephone telefon telefono teléfono telefone fax cell handy portable",
+    5: "name surname forename lastname firstname nom prénom nombre apellido apellidos nome sobrenome nachname vorname signed signatory signature applicant contact",
+    9: "quantity amount item date code box price total number count sum",
 }
-_CUE_OF = {n: k for k, names in FIELD_CUES.items() for n in names}
+_CUE_OF = {n: k for k, names in FIELD_CUES.items() for n in names.split()}
+_NAME_PARTS = re.compile(r"[^\W\d_]+?(?=[A-Z_\W\d]|$)")
 
 
 def field_cue(name: str) -> int:
-    return _CUE_OF.get(re.sub(r"\[\d+\]$", "", name.rpartition(".")[2]).lower(), 0)
+    """What the last part of a field's name says it holds. Of its words the first that says something counts, an id before a number."""
+    parts = [w.lower() for w in _NAME_PARTS.findall(re.sub(r"\[\d+\]$", "", name.rpartition(".")[2]))]
+    return next((_CUE_OF[w] for w in parts if w in _CUE_OF), 0)
+
+
+#: Made-up sentences, each with an item and whether it is one of the kind: what training always has, at every size of table.
+EXAMPLES = {
+    "email": [("Please write to jane.roe@mail.example today.", "jane.roe@mail.example", 1), ("Contact: tom (at) house.example for more.", "tom (at) house.example", 1), ("Thanks @riverside for the photo.", "@riverside", 0), ("Seen with @oldbridge and others.", "@oldbridge", 0)],
+    "phone": [("Call +44 20 7946 0958 before noon.", "+44 20 7946 0958", 1), ("Phone: (212) 555-0142 or write.", "(212) 555-0142", 1), ("Tel. 030 23125 014 in Berlin.", "030 23125 014", 1), ("The serial 4471 220 998 was stamped.", "4471 220 998", 0), ("See build 2024.118.0093 of the tool.", "2024.118.0093", 0), ("Order 118-2207-4431 has shipped.", "118-2207-4431", 0)],
+    "id_number": [("Her passport no. L8812047 was shown.", "L8812047", 1), ("SSN 987-65-4320 on file.", "987-65-4320", 1), ("Steuer-ID 12 345 678 903 liegt vor.", "12 345 678 903", 1), ("Invoice 123456789 is paid.", "123456789", 0), ("Item C4412077 of the list.", "C4412077", 0), ("Call 555-01-4233 for help.", "555-01-4233", 0)],
+    "address": [("Deliver to 14 Orchard Lane, Westby.", "14 Orchard Lane, Westby", 1), ("Lieferung an Lindenweg 7, 12345 Altstadt.", "Lindenweg 7, 12345 Altstadt", 1), ("We met on Orchard Lane.", "Orchard Lane", 0), ("A walk down Mill Street was nice.", "Mill Street", 0)],
+    "person_name": [("Signed by Dr. Anna Lindqvist.", "Dr. Anna Lindqvist", 1), ("Ask Mr Tobias Reed about it.", "Mr Tobias Reed", 1), ("The Northern Railway was closed.", "Northern Railway", 0), ("They visited Grand Harbour twice.", "Grand Harbour", 0)],
+}
+
+
+def examples() -> list[tuple[str, int, list[float]]]:
+    """(kind, label, features) of the made-up sentences."""
+    out = []
+    for kind, rows in EXAMPLES.items():
+        for text, item, label in rows:
+            a = text.index(item)
+            left, right = _context(text, a, a + len(item))
+            known = [float(label) * 2, 0.0, 0.0, float(label) * 2] if kind == "person_name" else [0.0] * 4
+            out.append((kind, label, _features(kind, item, left, right, False, 0) + known))
+    return out
 
 
 _SPANS = (
-    "src string, doc_id bigint, page int, name string, kind string, first int, last int, words array<string>, features array<float>, label int, parts array<struct<line:int,a:int,b:int>>, text string"
+    "src string, doc_id bigint, page int, name string, kind string, first int, last int, words array<string>, features array<float>, label int, parts array<struct<page:int,line:int,a:int,b:int>>, text string"
 )
-_PART = pa.struct([("line", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+_PART = pa.struct([("page", pa.int32()), ("line", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
 _SPAN_TYPES = (
     pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float32()), pa.int32(), pa.list_(_PART), pa.string(),
 )
@@ -226,17 +282,16 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in _SPAN_NAMES]
         for src, doc, page, name, before, lines, after in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
             cue = field_cue(name) if src == "fields" else 0
-            text, starts, nums, maps, raws = "", [], [], [], []
-            for own, group in ((False, before or []), (True, lines or []), (False, after or [])):
+            text, starts, nums, maps = "", [], [], []
+            for step, group in ((-1, before or []), (0, lines or []), (1, after or [])):
                 for x in group:
                     s, at = read_through(x["text"] or "")
                     starts.append(len(text))
-                    nums.append(x["line"] if own else None)
+                    nums.append((page + step, x["line"]))
                     maps.append(at)
-                    raws.append(x["text"] or "")
                     # elements of a field stand apart, lines of a page run on
                     text += s + ("\n" if src == "fields" else " ")
-            mine = [k for k, n in enumerate(nums) if n is not None]
+            mine = [k for k, (p, _) in enumerate(nums) if p == page]
             if not mine:
                 continue
             lo, hi = starts[mine[0]], starts[mine[-1] + 1] if mine[-1] + 1 < len(starts) else len(text)
@@ -246,8 +301,8 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while k < len(starts) and starts[k] < z:
                     at = maps[k]
                     i, j = max(a - starts[k], 0), min(z - starts[k], len(at))
-                    if i < j and nums[k] is not None:
-                        parts.append({"line": nums[k], "a": at[i], "b": at[j - 1] + 1})
+                    if i < j:
+                        parts.append({"page": nums[k][0], "line": nums[k][1], "a": at[i], "b": at[j - 1] + 1})
                     k += 1
                 if not parts:
                     continue
@@ -317,35 +372,36 @@ def fit(proposed: DataFrame, sample: int = SAMPLE) -> dict[str, Boosted]:
     for (kind, label), n in sizes.items():
         keep = keep | ((F.col("kind") == kind) & (F.col("label") == label) & (F.col("h") < int(1_000_000 * min(1.0, sample / n))))
     rows = labelled.where(keep).orderBy("kind", "h", "label").collect() if sizes else []
+    made = examples()
     models = {}
     for kind in KINDS:
-        mine = [r for r in rows if r[0] == kind]
-        y = np.array([r[1] for r in mine], float)
-        if len(mine) >= 20 and 0 < y.mean() < 1:
-            models[kind] = Boosted().fit(np.array([r[2] for r in mine], float), y, np.array([r[3] % 10 < 3 for r in mine]))
+        mine = [(r[1], r[2], r[3] % 10 < 3) for r in rows if r[0] == kind]
+        # the made-up rows train and are held out
+        mine += [(label, x, held) for k, label, x in made if k == kind for held in (False, True)]
+        models[kind] = Boosted().fit(np.array([x for _, x, _ in mine], float), np.array([y for y, _, _ in mine], float), np.array([h for _, _, h in mine]))
     return models
 
 
-def select(proposed: DataFrame, models: dict[str, Boosted], cut: float = CUT) -> DataFrame:
-    """The spans above the threshold, of overlapping ones the most certain: ``src, doc_id, page, name, kind, parts``."""
+def select(proposed: DataFrame, models: dict[str, Boosted]) -> DataFrame:
+    """The spans above the threshold of their kind, of overlapping ones the most certain: ``src, doc_id, page, name, kind, parts``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds = np.array(b.column("kind").to_pylist(), object)
-            labels = np.asarray(b.column("label"))
             x = np.array(b.column("features").to_pylist(), float).reshape(len(kinds), -1)
-            # without enough labelled spans of both sorts a kind is decided by its weak label alone
-            p = np.where(labels == 1, 0.9, 0.0)
+            p, keep = np.zeros(len(kinds)), np.zeros(len(kinds), bool)
             for kind, model in models.items():
                 if (rows := kinds == kind).any():
                     p[rows] = model.probability(x[rows])
+                    keep[rows] = p[rows] >= model.threshold
+            b, p = b.filter(pa.array(keep)), p[keep]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("src", "doc_id", "page", "name", "kind", "first", "last", "parts")), pa.array(p)], names=["src", "doc_id", "page", "name", "kind", "first", "last", "parts", "p"])
 
-    ddl = "src string, doc_id bigint, page int, name string, kind string, first int, last int, parts array<struct<line:int,a:int,b:int>>, p double"
-    scored = proposed.select("src", "doc_id", "page", "name", "kind", "first", "last", "parts", "label", "features").mapInArrow(score, ddl).where(F.col("p") >= cut)
+    ddl = "src string, doc_id bigint, page int, name string, kind string, first int, last int, parts array<struct<page:int,line:int,a:int,b:int>>, p double"
+    scored = proposed.select("src", "doc_id", "page", "name", "kind", "first", "last", "parts", "features").mapInArrow(score, ddl)
     # the best span of a text stays, then the best that doesn't overlap it, and so on
     per = scored.groupBy("src", "doc_id", "page", "name").agg(F.collect_list(F.struct("kind", "first", "last", "parts", "p")).alias("s"))
-    return per.mapInArrow(_resolve, "src string, doc_id bigint, page int, name string, kind string, parts array<struct<line:int,a:int,b:int>>")
+    return per.mapInArrow(_resolve, "src string, doc_id bigint, page int, name string, kind string, parts array<struct<page:int,line:int,a:int,b:int>>")
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +421,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def detect(line_units: DataFrame, field_units: DataFrame) -> DataFrame:
-    """All items: ``src, doc_id, page, name, kind, parts`` (parts: line and raw positions, the line of the first is where it begins)."""
+    """All items: ``src, doc_id, page, name, kind, parts`` (parts: page, line and raw positions, the line of the first is where it begins)."""
     proposed = stored(with_names(stored(spans(texts(line_units, field_units)), "p3-spans")), "p3-named")
     return select(proposed, fit(proposed))
 
@@ -373,15 +429,16 @@ def detect(line_units: DataFrame, field_units: DataFrame) -> DataFrame:
 def redacted(units: DataFrame, items: DataFrame) -> DataFrame:
     """``src, doc_id, page, line, name, text, redacted``: every text with an item, each item replaced by its placeholder.
 
-    An item that runs over a line end leaves its placeholder in its first line and nothing in the next.
+    An item that runs over a line or page end leaves its placeholder in its first line and nothing in the next.
     """
-    p = items.select("src", "doc_id", "page", "name", "kind", F.posexplode("parts").alias("k", "part")).select(
-        "src", "doc_id", "page", "name", F.col("part.line").alias("line"), F.struct(F.col("part.a").alias("a"), F.col("part.b").alias("b"), F.when(F.col("k") == 0, F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).otherwise("").alias("by")).alias("cut")
+    p = items.select("src", "doc_id", "name", "kind", F.posexplode("parts").alias("k", "part")).select(
+        "src", "doc_id", F.col("part.page").alias("page"), "name", F.col("part.line").alias("line"), F.struct(F.col("part.a").alias("a"), F.col("part.b").alias("b"), F.when(F.col("k") == 0, F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).otherwise("").alias("by")).alias("cut")
     )
     cuts = p.groupBy("src", "doc_id", "page", "line", "name").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     done = F.aggregate(
         "cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, c: F.struct(c["b"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, c["a"] - acc["at"]), c["by"]).alias("out")),
+        # the end of an item of the page before may lie over one of this page
+        lambda acc, c: F.struct(F.greatest(acc["at"], c["b"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(c["a"] - acc["at"], F.lit(0))), c["by"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
     return units.join(cuts, ["src", "doc_id", "page", "line", "name"]).select("src", "doc_id", "page", "line", "name", "text", done.alias("redacted"))

@@ -101,6 +101,41 @@ def test_read_through():
     assert s == "ab@x.org  ок" and len(at) == len(s) and at[1] == 2
 
 
+def test_personal_over_page_ends_in_any_script(spark):
+    names = ["Łukasz Żak", "Šimon Novák", "Иван Петров", "Ελένη Δούκα", "Petra Navarell", "Jory Marwick"]
+    fields = [(i, "f.name[0]", [names[i % 6]]) for i in range(60)] + [(99, "f.name[0]", ["山田 太郎"]), (98, "f.name[0]", ["see file"])]
+    probe = ["Reply by Petra Navarell or Łukasz", "Żak soon.", "Signed by Mr Šimon Novák here.", "Это пишет Иван Петров нам.", "Witnessed by Dr. Jory"]
+    after = ["Marwick on the first day.", "write to jory", "@mail.example now"]
+    data = [("glyphs", 9, 1, i, "", t) for i, t in enumerate(probe)] + [("glyphs", 9, 2, i, "", t) for i, t in enumerate(after)]
+    lu = spark.createDataFrame(data, UNITS)
+    fu = units.field_units(spark.createDataFrame(fields, "doc_id bigint, name string, value array<string>"), number_elements=True)
+    items = personal.detect(lu, fu)
+    assert items.where("src = 'fields' and doc_id = 99").count() == 1 and items.where("src = 'fields' and doc_id = 98").count() == 0
+    red = {(r["page"], r["line"]): r["redacted"] for r in personal.redacted(lu.unionByName(fu), items).where("src = 'glyphs'").collect()}
+    assert red[1, 0] == "Reply by [PERSON_NAME] or [PERSON_NAME]" and red[1, 1] == " soon." and red[1, 2] == "Signed by [PERSON_NAME] here." and red[1, 3] == "Это пишет [PERSON_NAME] нам."
+    # the item counts on the page where it begins, and its end on the next page goes too
+    assert red[1, 4] == "Witnessed by [PERSON_NAME]" and red[2, 0] == " on the first day."
+    assert {(r["page"], r["parts"][0]["line"]) for r in items.where("src = 'glyphs'").collect()} == {(1, 0), (1, 2), (1, 3), (1, 4)} | {(r["page"], r["parts"][0]["line"]) for r in items.where("kind = 'email'").collect()}
+
+
+def test_personal_on_a_few_rows(spark):
+    # every kind has a model without any labelled row of the table
+    lu = spark.createDataFrame([("glyphs", 1, 1, 0, "", "Call +44 20 7946 0321 or write to ann@mail.example."), ("glyphs", 1, 1, 1, "", "Serial 4471 220 998 is on it.")], UNITS)
+    none = units.field_units(spark.createDataFrame([], "doc_id bigint, name string, value array<string>"), number_elements=True)
+    assert {(r["kind"], r["parts"][0]["line"]) for r in personal.detect(lu, none).collect()} == {("phone", 0), ("email", 0)}
+    assert personal.detect(lu.limit(0), none).count() == 0
+
+
+def test_threshold_by_kind():
+    m = Boosted()
+    m._choose(np.array([0.1, 0.2, 0.7, 0.9]), np.array([0.0, 0, 1, 1]))
+    assert m.threshold == 0.5
+    m._choose(np.array([0.1, 0.2, 0.3, 0.9]), np.array([0.0, 0, 1, 1]))
+    assert 0.2 < m.threshold <= 0.3
+    m._choose(np.array([0.6, 0.6, 0.8, 0.8]), np.array([0.0, 0, 1, 1]))
+    assert 0.6 < m.threshold <= 0.8
+
+
 def test_personal(spark):
     rng = random.Random(1)
     first, last = ["Petra", "Ruben", "Odile", "Jory", "Sabine"], ["Navarell", "Marwick", "Trevane", "Ormesher", "Fennick"]
@@ -119,6 +154,7 @@ def test_personal(spark):
     assert got == {(0, "address"), (1, "person_name"), (2, "email")}
     red = {r["line"]: r["redacted"] for r in personal.redacted(lu.unionByName(fu), items).where("doc_id = 9 and src = 'glyphs'").collect()}
     assert red[0] == "The box went to [ADDRESS]" and red[1] == " and [PERSON_NAME]" and red[2] == " wrote to [EMAIL]" and red[3] == " about it."
+    assert all(0 < m.threshold < 1 for m in personal.fit(personal.with_names(personal.spans(personal.texts(lu, fu)))).values())
     notes = items.where("name = 'f.notes[0]'").count()
     assert notes == 0 and items.where("name = 'f.tel[0]'").count() == 120 and items.where("name = 'f.document[0]' and kind = 'id_number'").count() == 120
 
