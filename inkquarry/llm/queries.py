@@ -98,7 +98,7 @@ def p6_packed(spark, d):
 
 @R.query("p6_fill")
 def p6_fill(spark, d):
-    return packing.fill(_p6(spark, d), table(spark, d, "pack_specs"))
+    return packing.fill(stored(_p6(spark, d), "p6-packed"), table(spark, d, "pack_specs"))
 
 
 def _p7(spark, d):

@@ -253,6 +253,27 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), specs).count() == 0
 
 
+def test_packing_within_every_limit(spark):
+    # 40 documents of ten tokens, half of them cue numbers that bear no loss: what a container holds is decided by the limit that is given
+    cue, said = "12\n\n34\n\n\n"[:9], "abcdefghi"
+    assert len(cue) == len(said) == 9
+    docs = spark.createDataFrame([(i, cue if i % 2 else said, None, "x", "y") for i in range(40)], DOCS)
+    loss = {r["doc_id"]: r["loss"] for r in packing.sizes(docs).collect()}
+    assert loss[0] == 10 and loss[1] < 10
+    shape = "spec_id int, capacity_tokens int, max_segments int, max_loss int"
+    got = packing.pack(docs, spark.createDataFrame([(1, 100, None, 100), (2, 100, 4, 100), (3, 100, None, 30)], shape), segments_per_1000=1000).collect()
+    per: dict = {}
+    for r in got:
+        per.setdefault((r["spec_id"], r["container"]), []).append(r)
+    for (spec, _), v in per.items():
+        assert sum(r["tokens"] for r in v) <= 100 and len(v) <= (4 if spec == 2 else 100) and sum(r["loss"] for r in v) <= (30 if spec == 3 else 100)
+    count = {k: sum(s == k for s, _ in per) for k in (1, 2, 3)}
+    # 400 tokens; 40 pieces by 4; the loss by 30
+    assert count[1] == 4 and count[2] == 10 and count[3] >= -(-sum(loss.values()) // 30) > 4
+    fill = {r["spec_id"]: r for r in packing.fill(packing.pack(docs, spark.createDataFrame([(1, 100, None, 100)], shape), segments_per_1000=1000), spark.createDataFrame([(1, 100, None, 100)], shape)).collect()}
+    assert fill[1]["containers"] == 4 and fill[1]["full_tokens"] == 4 and fill[1]["filled"] == 1.0
+
+
 # problem 7
 
 
