@@ -9,7 +9,10 @@ Every chain leaves ASCII as it is, so a garbled word is garbled only in its maxi
 UTF-8 are therefore joined by stretch, which also finds words whose clean spelling occurs nowhere; chains between
 one-byte encodings, where a stretch alone proves nothing, and chains that lose characters are joined by whole word.
 
-Nothing is collected: words, forms and hits stay tables, all counts are over all text.
+Verified are originals whose stretches, or which as whole words, clean words of the corpus have. Forms of single letters of
+the alphabets are in the table as well, so that a garbled word is found even if no clean word has its letters; it is then
+given back as it is. Nothing is collected or broadcast: words, forms and hits stay tables that meet by sorted shuffles, all
+counts are over all text.
 
 Defined results: null and empty text has no tokens and is never found; extra columns are ignored; repeated rows count
 once; text in which the lost characters cannot be told is found but given back as it is.
@@ -156,7 +159,14 @@ def suspicious(text):
 def tokens(units: DataFrame) -> DataFrame:
     """``UNIT`` and ``token``: the blank-separated tokens that hold more than ASCII, or a question mark."""
     t = F.explode(F.split("text", r"[ \t\r\n\f]+")).alias("token")
-    return units.where(suspicious(F.col("text"))).select(*UNIT, t).where(F.col("token").rlike(r"[^\x00-\x7F]|\?"))
+    return units.where(suspicious(F.col("text"))).select(*UNIT, "text", t).where(F.col("token").rlike(r"[^\x00-\x7F]|\?"))
+
+
+def home_script(text):
+    """The script of most letters of a text: C for Cyrillic, G for Greek, L for all others, nothing without letters."""
+    n = {s: F.length(F.regexp_replace(text, f"[^{of}]", "")) for s, of in (("C", r"\p{IsCyrillic}"), ("G", r"\p{IsGreek}"), ("L", r"\p{L}"))}
+    latin = n["L"] - n["C"] - n["G"]
+    return F.when(n["L"] == 0, "").when(n["C"] > F.greatest(n["G"], latin), "C").when(n["G"] > F.greatest(n["C"], latin), "G").otherwise("L")
 
 
 _FORM = "form string, by string, original string, chain string, n bigint"
@@ -257,7 +267,9 @@ def _restore_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             known = {h["form"]: h for h in hits if h["by"] == "part" and len(h["form"]) > len(h["original"]) and "�" not in h["form"] and not LOOK_ALIKE.issuperset(h["form"])}
             # a form is longer than its original: too regular for chance, unless the token reads as an ordinary word
             if known and (len(known) == len(set(stretches(token))) or clean_word(core(token)) is None):
-                rows.append((token, n, _NON_ASCII.sub(lambda m: known[m[0]]["original"] if m[0] in known else m[0], token), next(iter(known.values()))["chain"]))  # noqa: B023
+                back = _NON_ASCII.sub(lambda m: known[m[0]]["original"] if m[0] in known else m[0], token)  # noqa: B023
+                verified = all(h["n_original"] > 0 or all(c in SIGNS for c in h["original"]) for h in known.values())
+                rows.append((token, n, back if verified else None, next(iter(known.values()))["chain"]))
             elif signs and clean_word(core(token)) is None or any(h["by"] != "pair" for h in signs):
                 s = signs[0]
                 if s["by"] == "pair":
@@ -276,21 +288,21 @@ def garbled_tokens(words: DataFrame) -> DataFrame:
     ``restored`` is null where characters are lost for good. ``weak`` marks forms of one or two characters, which prove
     nothing by themselves.
     """
-    hits = words.mapInArrow(_part_lookups, _LOOKUP).join(part_forms(words), ["form", "by"])
+    hits = words.mapInArrow(_part_lookups, _LOOKUP).join(part_forms(words).hint("merge"), ["form", "by"])
     by_part = (
         hits.groupBy("token")
-        .agg(F.max("n").alias("n"), F.collect_list(F.struct("form", "by", "original", "chain")).alias("hits"))
+        .agg(F.max("n").alias("n"), F.collect_list(F.struct("form", "by", "original", "chain", "n_original")).alias("hits"))
         .mapInArrow(_restore_parts, "token string, n bigint, restored string, chain string")
     )
     # what was restored so far is attested as well: it may be garbled by other chains elsewhere
     by_part = stored(by_part, "encodings-parts")
-    left = words.join(by_part, "token", "left_anti")
-    attested = left.unionByName(by_part.select(F.col("restored").alias("token"), "n"))
+    left = words.join(by_part.hint("merge"), "token", "left_anti")
+    attested = left.unionByName(by_part.where("restored is not null").select(F.col("restored").alias("token"), "n"))
     core_of = F.regexp_replace("token", "^[" + _EDGE_CLASS + "]+|[" + _EDGE_CLASS + "]+$", "")
     looked = left.withColumn("form", core_of)
     counts = looked.groupBy("form").agg(F.sum("n").alias("n_form"))
     known = word_forms(attested.groupBy(core_of.alias("token")).agg(F.sum("n").alias("n"))).drop("by")
-    by_word = looked.join(counts, "form").join(known, "form").mapInArrow(_restore_words, "token string, restored string, chain string, weak boolean")
+    by_word = looked.join(counts.hint("merge"), "form").join(known.hint("merge"), "form").mapInArrow(_restore_words, "token string, restored string, chain string, weak boolean")
     lost = left.where(F.col("token").rlike("�|\\w\\?\\?|\\?\\?\\w|\\?\\?\\?")).select("token", F.lit(None).cast("string").alias("restored"), F.lit("lost").alias("chain"), F.lit(False).alias("weak"))
     every = by_part.select("token", "restored", "chain", F.lit(False).alias("weak")).unionByName(by_word).unionByName(lost)
     best = F.max_by(F.struct("restored", "chain", "weak"), F.struct(F.col("restored").isNotNull(), ~F.col("weak")))
@@ -311,13 +323,18 @@ def _restore_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def garbled(units: DataFrame) -> DataFrame:
     """``UNIT, token, restored, chain``: every occurrence of a garbled token.
 
-    Weak tokens count where the same chain garbled something else in the same text.
+    Weak tokens count where the same chain garbled something else in the same text, and where the original is in the
+    script of the text's other letters but the form isn't.
     """
     # each step reads a written table: without that the plan repeats itself at every join
-    toks = stored(tokens(units), "encodings-tokens")
+    toks = stored(tokens(units).withColumn("home", home_script(F.col("text"))).drop("text"), "encodings-tokens")
     words = stored(toks.groupBy("token").agg(F.count("*").alias("n")), "encodings-words")
-    hits = toks.join(garbled_tokens(words), "token")
+    hits = toks.join(garbled_tokens(words).hint("merge"), "token")
     of_chain = F.collect_set(F.struct("chain", "token"))
+    at_home = F.col("weak") & F.col("restored").isNotNull() & (home_script(F.col("restored")) == F.col("home")) & (home_script(F.col("token")) != F.col("home"))
+    # signs in common use, and letters that look like those of the text's script, stand anywhere
+    at_home &= ~F.col("token").rlike("[" + re.escape(SIGNS) + "".join(sorted(LOOK_ALIKE)) + "]")
+    hits = hits.withColumn("weak", F.col("weak") & ~at_home)
     strong = F.max(~F.col("weak"))
     per = hits.groupBy(*UNIT).agg(strong.alias("any_strong"), F.size(of_chain).alias("n_hits"), F.size(F.collect_set("chain")).alias("n_chains"), F.collect_list(F.struct("token", "restored", "chain", "weak")).alias("t"))
     sure = per.where(F.col("any_strong") | (F.col("n_hits") > F.col("n_chains")))
@@ -335,4 +352,4 @@ def restored(units: DataFrame) -> DataFrame:
     swaps = g.groupBy(*UNIT).agg(F.map_from_entries(F.collect_list(F.struct("token", "restored"))).alias("swap"))
     words = F.split("text", r"(?<=[ \t\r\n\f])|(?=[ \t\r\n\f])")
     back = F.array_join(F.transform(words, lambda w: F.coalesce(F.col("swap")[w], w)), "")
-    return units.join(swaps, list(UNIT)).select(*UNIT, "text", back.alias("restored"))
+    return units.join(swaps.hint("merge"), list(UNIT)).select(*UNIT, "text", back.alias("restored"))

@@ -82,6 +82,20 @@ def test_encodings_found(spark):
     assert encodings.found(lines(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_encodings_verify_the_original(spark):
+    # found without any clean word that has the letters, but given back only where the corpus attests them
+    bad = "ein " + "Müller".encode().decode("latin_1") + " da"
+    alone, attested = ({r["text"]: r["restored"] for r in encodings.restored(lines(spark, [bad, *more])).collect()} for more in ((), ("über die Brücke",)))
+    assert encodings.found(lines(spark, [bad])).count() == 1 and alone == {} and attested == {bad: "ein Müller da"}
+
+
+def test_encodings_of_a_lone_letter(spark):
+    # a letter of another script stands for one of the text's own
+    text = ["Ο ναυτικός βρήκε τη βάρκα", "Ο ψαράς άνοιξε το παλιό γεφύρι"] * 3
+    got = {r["text"]: r["restored"] for r in encodings.restored(lines(spark, [*text, "Ï ναυτικός βρήκε τη βάρκα", "it cost 5 € and ½ of it", "naïve Ï"])).collect()}
+    assert got == {"Ï ναυτικός βρήκε τη βάρκα": "Ο ναυτικός βρήκε τη βάρκα"}
+
+
 # problem 3
 
 
