@@ -91,7 +91,7 @@ def test_encodings_verify_the_original(spark):
 
 def test_encodings_of_a_lone_letter(spark):
     # a letter of another script stands for one of the text's own
-    text = ["Ο ναυτικός βρήκε τη βάρκα", "Ο ψαράς άνοιξε το παλιό γεφύρι"] * 3
+    text = ["Ο ναυτικός βρήκε τη βάρκα", "Ο ψαράς άνοιξε το παλιό γεφύρι"] * 8
     got = {r["text"]: r["restored"] for r in encodings.restored(lines(spark, [*text, "Ï ναυτικός βρήκε τη βάρκα", "it cost 5 € and ½ of it", "naïve Ï"])).collect()}
     assert got == {"Ï ναυτικός βρήκε τη βάρκα": "Ο ναυτικός βρήκε τη βάρκα"}
 
