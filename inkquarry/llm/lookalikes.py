@@ -1,12 +1,14 @@
 """Problem 2: text that looks the same but differs in its characters.
 
 Method: the vocabulary of the corpus (usual spellings with their counts) is put into tries, and every unusual token is
-run through them by a weighted edit automaton in which look-alikes and ignorable characters cost nothing and everything
-else costs more than the limit. Of the spellings that are reached the best attested one in the script of the line is
-canonical. Tokens that reach none are normalised by table.
+run through them by a weighted edit automaton in which look-alikes, composition and ignorable characters cost nothing,
+letters that nearly look alike (``NEAR``) cost less than the limit and everything else more. Of the spellings that are
+reached the cheapest, and of these the best attested one in the script of the line, is canonical. Tokens that reach none,
+and what stands between words, are normalised by table.
 
-The tries are sharded by the first letters of the look-alike skeleton, which free edits never change, so vocabulary and
-tokens meet in the same task and no vocabulary is broadcast or collected. Only distinct tokens are compared.
+The tries are sharded by a hash of the whole look-alike skeleton, which affordable edits never change, so vocabulary and
+tokens meet in the same task, no prefix is a hot group, and no vocabulary is broadcast or collected. Only distinct tokens
+are compared.
 
 Defined results: null and empty text is its own consistent form; control characters are kept; repeated rows count once;
 an empty table gives no rows. Marks that change what is seen (raised digits, fractions, typographic quotes and dashes)
@@ -51,7 +53,12 @@ _JOINED = re.compile("[؀-ࣿऀ-෿က-႟ក-៿᠀-᢯←-⯿\U0001f000-\U000
 _PLAIN_TAGS = ("<font>", "<wide>", "<narrow>", "<noBreak>")
 _LIGATURES = frozenset(map(chr, (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3)))
 _EAST_ASIAN = re.compile("[぀-ヿ㐀-鿿가-힯]")
-_SHARD = 3
+#: Distinct tokens in one shard of tries, about.
+SHARD_TOKENS = 2000
+#: Letters that nearly look alike, by one of them; an edit between them costs ``NEAR_COST``, and ``LIMIT`` is what a token can pay.
+NEAR = {"O": "o", "I": "l", "ı": "i"}
+NEAR_COST, OTHER_COST, LIMIT = 0.4, 1.0, 0.5
+_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff"
 
 
 class Memo(dict):
@@ -94,16 +101,20 @@ def by_table(token: str) -> str:
     return t
 
 
-def skeleton(word: str) -> str:
-    """One representative for all that looks the same: accents stay, scripts don't."""
-    d = unicodedata.normalize("NFD", word)
-    return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in d))
-
-
 def main_script(scripts: dict[str, int]) -> str:
     return max(scripts, key=lambda s: (scripts[s], s)) if scripts else ""
 
 
+def drawn(word: str) -> str:
+    """The letters and marks that a word is drawn with, one for one: signs drawn like letters as these, accents apart, ignorables out."""
+    return unicodedata.normalize("NFD", "".join(PLAIN[c] for c in word if not _IGNORED.match(c)))
+
+
+def shape(word: str) -> str:
+    """What all spellings that an affordable edit can lead to have in common."""
+    return "".join(NEAR.get(x := TO_LATIN.get(c, c), x) for c in drawn(word))
+
+
 class Trie:
     """Usual spellings, with an automaton that follows a token at a given cost for each kind of edit."""
 
@@ -112,50 +123,49 @@ class Trie:
 
     def add(self, word: str, n: int) -> None:
         node = self.root
-        for c in word:
+        for c in drawn(word):
             node = node.setdefault(c, {})
-        node[""] = node.get("", 0) + n
-
-    def reach(self, token: str, limit: float = 0.5, other: float = 1.0) -> list[tuple[float, str, int]]:
-        """(cost, spelling, count) of all spellings within the limit. Look-alikes and ignorables cost 0, other edits ``other``."""
-        states: dict[tuple[int, str], tuple[float, dict]] = {(0, ""): (0.0, self.root)}
-        found = []
-        todo = [(0, "", 0.0, self.root)]
+        here = node.setdefault("", {})
+        here[word] = here.get(word, 0) + n
+
+    def reach(self, token: str, limit: float = LIMIT, other: float = OTHER_COST) -> list[tuple[float, str, int]]:
+        """(cost, spelling, count) of all spellings within the limit, the cheapest way to each."""
+        token = unicodedata.normalize("NFD", "".join(PLAIN[c] for c in token))
+        best: dict[tuple[int, int], float] = {}
+        found: dict[str, tuple[float, str, int]] = {}
+        todo = [(0, 0.0, self.root)]
         while todo:
-            i, spelling, cost, node = todo.pop()
+            i, cost, node = todo.pop()
+            if best.get((i, id(node)), 9e9) <= cost:
+                continue
+            best[i, id(node)] = cost
             if i == len(token):
-                if "" in node:
-                    found.append((cost, spelling, node[""]))
-                if cost + other > limit:
-                    continue
+                for spelling, n in node.get("", {}).items():
+                    if spelling not in found or found[spelling][0] > cost:
+                        found[spelling] = cost, spelling, n
             for c, below in node.items():
-                if not c:
-                    continue
-                steps = []
-                if i < len(token) and alike(token[i], c):
-                    steps.append((i + 1, cost))
-                elif cost + other <= limit:
-                    steps += [(i + 1, cost + other), (i, cost + other)]
-                for j, k in steps:
-                    if j <= len(token) and states.get((j, spelling + c), (9e9,))[0] > k:
-                        states[j, spelling + c] = (k, below)
-                        todo.append((j, spelling + c, k, below))
-            if i < len(token) and (_IGNORED.match(token[i]) or cost + other <= limit):
+                if c:
+                    if i < len(token) and (k := cost + swap_cost(token[i], c, other)) <= limit:
+                        todo.append((i + 1, k, below))
+                    if cost + other <= limit:
+                        todo.append((i, cost + other, below))
+            if i < len(token):
                 k = cost + (0.0 if _IGNORED.match(token[i]) else other)
-                if states.get((i + 1, spelling), (9e9,))[0] > k:
-                    states[i + 1, spelling] = (k, node)
-                    todo.append((i + 1, spelling, k, node))
-        return found
-
+                if k <= limit:
+                    todo.append((i + 1, k, node))
+        return sorted(found.values())
 
-_CLASS = Memo(lambda c: "".join(TO_LATIN.get(x, x) for x in unicodedata.normalize("NFD", PLAIN[c])))
 
-
-def alike(a: str, b: str) -> bool:
-    return a == b or _CLASS[a] == _CLASS[b]
+def swap_cost(a: str, b: str, other: float = OTHER_COST) -> float:
+    """What it costs to read one drawn letter as another."""
+    a, b = TO_LATIN.get(a, a), TO_LATIN.get(b, b)
+    return 0.0 if a == b else NEAR_COST if NEAR.get(a, a) == NEAR.get(b, b) else other
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+#: A word as it stands in the text: with what shows nothing, and with accents apart.
+_LETTER = rf"[^\W\d_][{_MARKS}{IGNORABLE}]*"
+_RAW_WORD = re.compile(rf"(?:{_LETTER})+(?:[-'’](?:{_LETTER})+)*")
 
 
 def unusual(text):
@@ -196,50 +206,52 @@ def _sure_script(word: str) -> str:
 
 
 def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unusual lines to (UNIT, text, table, suspects): the text after the table, and the words that look-alikes may be in."""
-    word = pa.struct([("word", pa.string()), ("script", pa.string()), ("shard", pa.string())])
+    """Unusual lines to (UNIT, text, suspects): the words that are spelt with anything unusual, or that look-alikes may be in."""
+    word = pa.struct([("word", pa.string()), ("script", pa.string()), ("shape", pa.string())])
     for b in batches:
-        text = b.column(len(UNIT)).to_pylist()
-        table, suspects = [], []
-        for t in text:
-            plain_text = by_table(t)
+        suspects = []
+        for t in b.column(len(UNIT)).to_pylist():
+            raw = [m[0] for m in _RAW_WORD.finditer(t)]
+            words = [by_table(w) for w in raw]
             scripts: dict[str, int] = {}
-            for c in plain_text:
-                if s := script_of(c):
-                    scripts[s] = scripts.get(s, 0) + 1
+            for w in words:
+                for c in w:
+                    if s := script_of(c):
+                        scripts[s] = scripts.get(s, 0) + 1
             line = main_script(scripts)
+            foreign = len(scripts) > 1 or any(c in TO_LATIN and script_of(c) == "LATIN" for w in words for c in w)
+            home = [_sure_script(w) for w in words] if foreign else []
             own = {}
-            if len(scripts) > 1 or any(c in TO_LATIN and script_of(c) == "LATIN" for c in plain_text):
-                words = [w for _, _, w in pieces(plain_text)]
-                home = [_sure_script(w) for w in words]
-                for k, w in enumerate(words):
-                    if w in own or not any(c in TO_LATIN or c.isascii() for c in w):
-                        continue
+            for k, (r, w) in enumerate(zip(raw, words, strict=True)):
+                if r in own:
+                    continue
+                take = r != w
+                if foreign and not take and any(c in TO_LATIN or c.isascii() for c in w):
                     mine = {script_of(c) for c in w} - {""}
                     odd = any(c in TO_LATIN and script_of(c) == "LATIN" for c in w)
                     # a word of one script is at home beside an unmistakable word of its script, whatever most of the line is
                     beside = len(mine) == 1 and (home[max(0, k - 1)] in mine or home[min(k + 1, len(words) - 1)] in mine)
                     # one letter at the end of a line begins a sentence that goes on in the next: nothing tells its script
                     beside |= len(w) == 1 and k == len(words) - 1
-                    if odd or len(mine) > 1 or (line not in mine and not beside):
-                        own[w] = {"word": w, "script": line, "shard": skeleton(w)[:_SHARD]}
-            table.append(plain_text)
+                    take = odd or len(mine) > 1 or (line not in mine and not beside)
+                if take:
+                    own[r] = {"word": r, "script": line, "shape": shape(r)}
             suspects.append(list(own.values()))
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(k) for k in range(len(UNIT) + 1)), pa.array(table, pa.string()), pa.array(suspects, pa.list_(word))],
-            names=[*UNIT, "text", "table", "suspects"],
-        )
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(UNIT) + 1)), pa.array(suspects, pa.list_(word))], names=[*UNIT, "text", "suspects"])
 
 
 _TO = {"LATIN": lambda w: "".join(TO_LATIN.get(c, c) for c in w), "CYRILLIC": lambda w: "".join(TO_CYRILLIC.get(TO_LATIN.get(c, c), c) for c in w), "GREEK": lambda w: "".join(TO_GREEK.get(TO_LATIN.get(c, c), c) for c in w)}
 
 
-def choose(word: str, script: str, spellings: list[tuple[str, int]]) -> str:
-    """The canonical spelling of a word in a line of that script, given the usual spellings that look the same."""
+def choose(raw: str, script: str, reached: list[tuple[float, str, int]]) -> str:
+    """The canonical spelling of a word in a line of that script, given the usual spellings (cost, spelling, count) that it reaches."""
+    word = by_table(raw)
     mine = {script_of(c) for c in word} - {""}
-    usual = dict(spellings)
+    usual = {w: n for cost, w, n in reached if cost == 0}
+    if word != raw and word in usual and len(mine) == 1:
+        return word
     other = {w: n for w, n in usual.items() if w != word}
-    if len(mine) == 1 and by_table(word) == word and "ɡ" not in word and "ɑ" not in word:
+    if len(mine) == 1 and "ɡ" not in word and "ɑ" not in word:
         # a word of one script in a line of another: at home unless its look-alike is usual in the line's script
         there = {w: n for w, n in other.items() if {script_of(c) for c in w} - {""} == {script}}
         if script not in mine and there:
@@ -249,6 +261,10 @@ def choose(word: str, script: str, spellings: list[tuple[str, int]]) -> str:
         return word
     if other:
         return max(other, key=lambda w: (other[w], w))
+    # letters of two scripts, and no spelling for nothing: the cheapest that it can pay
+    paid = [(cost, -n, w) for cost, w, n in reached if cost > 0]
+    if paid:
+        return min(paid)[2]
     # reached no spelling: the script that most of its unmistakable letters have
     sure: dict[str, int] = {}
     for c in word:
@@ -264,18 +280,21 @@ def _shard_match(key: tuple, suspects: pd.DataFrame, words: pd.DataFrame) -> pd.
     trie = Trie()
     for w, n in zip(words["word"], words["n"], strict=True):
         trie.add(w, int(n))
-    out = [choose(w, s, [(x, n) for _, x, n in trie.reach(w)]) for w, s in zip(suspects["word"], suspects["script"], strict=True)]
+    out = [choose(w, s, trie.reach(w)) for w, s in zip(suspects["word"], suspects["script"], strict=True)]
     return pd.DataFrame({"word": suspects["word"], "script": suspects["script"], "canonical": out})
 
 
 def _canonical(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(word, script, canonical)`` for every distinct suspect."""
-    suspects = prepared.select(F.inline("suspects")).distinct()
-    shards = suspects.select("shard").distinct()
+    suspects = stored(prepared.select(F.inline("suspects")).distinct(), "lookalikes-suspects")
+    shards = max(1, -(-suspects.count() // SHARD_TOKENS))
+    shard = F.pmod(F.xxhash64("shape"), F.lit(shards)).alias("shard")
     # only words that some suspect could reach go into the tries
-    shard_of = F.pandas_udf(lambda w: w.map(lambda x: skeleton(x)[:_SHARD]), T.StringType())
-    words = vocab.withColumn("shard", F.when(F.col("word").rlike(r"[^\x00-\x7F]"), shard_of("word")).otherwise(F.substring("word", 1, _SHARD)))
-    words = words.join(shards, "shard", "left_semi")
+    shape_of = F.pandas_udf(lambda w: w.map(shape), T.StringType())
+    near = "".join(c for c in NEAR if c.isascii())
+    words = vocab.withColumn("shape", F.when(F.col("word").rlike(r"[^\x00-\x7F]"), shape_of("word")).otherwise(F.translate("word", near, "".join(NEAR[c] for c in near))))
+    words = words.join(suspects.select("shape").distinct().hint("merge"), "shape", "left_semi").select("word", "n", shard)
+    suspects = suspects.select("word", "script", shard)
     return suspects.groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_shard_match, "word string, script string, canonical string")
 
 
@@ -284,20 +303,25 @@ def consistent(units: DataFrame) -> DataFrame:
     lines = units.where(unusual(F.col("text")))
     prepared = lines.select(*UNIT, "text").mapInArrow(
         _line_words,
-        "src string, doc_id bigint, page int, line int, name string, text string, table string, suspects array<struct<word:string,script:string,shard:string>>",
+        "src string, doc_id bigint, page int, line int, name string, text string, suspects array<struct<word:string,script:string,shape:string>>",
     )
     prepared = stored(prepared, "lookalikes-lines")
     canon = _canonical(prepared, vocabulary(units)).where("canonical <> word")
-    hits = prepared.select(*UNIT, F.inline("suspects")).join(canon, ["word", "script"]).groupBy(*UNIT).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "canonical")))).alias("swap"))
-    joined = prepared.select(*UNIT, "text", "table").join(hits, list(UNIT), "left").where(F.col("swap").isNotNull() | (F.col("table") != F.col("text")))
+    hits = prepared.select(*UNIT, F.inline("suspects")).join(canon.hint("merge"), ["word", "script"]).groupBy(*UNIT).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "canonical")))).alias("swap"))
+    joined = prepared.select(*UNIT, "text").join(hits.hint("merge"), list(UNIT), "left")
     return joined.mapInArrow(_swap, "src string, doc_id bigint, page int, line int, name string, text string, consistent string")
 
 
 def _swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their words in canonical spelling and all else by table, where that changes them."""
     k = len(UNIT)
     for b in batches:
-        out = []
-        for table, swap in zip(b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist(), strict=True):
+        keep, out = [], []
+        for i, (text, swap) in enumerate(zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True)):
             swap = dict(swap or ())
-            out.append(_WORD.sub(lambda m: swap.get(m[0], m[0]), table))  # noqa: B023
-        yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(k + 1)), pa.array(out, pa.string())], names=[*UNIT, "text", "consistent"])
+            now = by_table(_RAW_WORD.sub(lambda m: swap.get(m[0], m[0]), text))  # noqa: B023
+            if now != text:
+                keep.append(i)
+                out.append(now)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(k + 1)), pa.array(out, pa.string())], names=[*UNIT, "text", "consistent"])

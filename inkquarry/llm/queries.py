@@ -37,7 +37,7 @@ def _p2(spark, d) -> DataFrame:
     lines = _lines(spark, d, "p2-lines")
     fields = units.field_units(table(spark, d, "fields"))
     bad = stored(encodings.found(lines.unionByName(fields).where(encodings.suspicious(F.col("text")))), "p2-garbled")
-    return lookalikes.consistent(lines.join(bad.where("src = 'glyphs'"), list(units.UNIT), "left_anti"))
+    return lookalikes.consistent(lines.join(bad.where("src = 'glyphs'").hint("merge"), list(units.UNIT), "left_anti"))
 
 
 @R.query("p2_found")

@@ -54,6 +54,23 @@ def test_trie_costs():
     assert {x[1] for x in t.reach("stone", limit=1.0)} == {"stone", "store", "tone"}
 
 
+def test_affordable_edits():
+    t = lookalikes.Trie()
+    for w in ("paypol", "café", "fine"):
+        t.add(w, 3)
+    assert t.reach("раурol") == [(0.0, "paypol", 3)] and t.reach("cafe\u0301") == [(0.0, "café", 3)] and t.reach("ﬁne") == [(0.0, "fine", 3)]
+    # a letter that nearly looks alike costs something, two of them or any other letter too much
+    assert t.reach("pаypoI") == [(0.4, "paypol", 3)] and t.reach("pаypOI") == [] and t.reach("paypal") == [] and t.reach("cafe") == []
+    assert lookalikes.shape("pаypOI") == lookalikes.shape("paypol") and lookalikes.shape("ca\u200bfe\u0301") == lookalikes.shape("café")
+
+
+def test_tries_come_before_the_table(spark):
+    # what is attested decides the spelling; what is not is read by table
+    texts = ["new music at paypol"] * 3 + ["pаypoI is new", "ｐａｙｐｏｌ at", "ｑｕｕｘ at", "cafe\u0301 at", "a\u00a0b"]
+    got = {r["text"]: r["consistent"] for r in lookalikes.consistent(lines(spark, texts)).collect()}
+    assert got == {"pаypoI is new": "paypol is new", "ｐａｙｐｏｌ at": "paypol at", "ｑｕｕｘ at": "quux at", "cafe\u0301 at": "café at", "a\u00a0b": "a b"}
+
+
 # problem 4
 
 
