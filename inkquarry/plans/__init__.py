@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from . import core, nested
+    from . import core, edits, nested
 
-    return [core.R, nested.R]
+    return [core.R, edits.R, nested.R]
