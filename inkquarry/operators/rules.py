@@ -2,8 +2,8 @@
 
 Tables: ``docs`` has one row for each document, ``pages`` one for each page, ``elems`` the structure elements
 (doc_id, id, parent_id, preorder, type, alt, page, summary, colspan, rowspan, has_content, has_annots). Findings are
-``(doc_id, rule, page, message)``; a document without findings of a rule passed it. A rule whose table is not given is
-skipped.
+``(doc_id, rule, page, message)``; a document without findings of a rule passed it. A rule whose table or columns are not
+given, or whose facts are null for a document, is skipped: nothing is made up.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sets import closure
+from ..session import stored
 
 #: Rules in their order, with their category. Manual ones only ask for a look.
 RULES = (
@@ -32,21 +32,26 @@ def _finding(df: DataFrame, rule: str, message: str, page: Column | None = None)
     return df.select("doc_id", F.lit(rule).alias("rule"), (page if page is not None else F.lit(None)).cast("int").alias("page"), F.lit(message).alias("message"))
 
 
-def document_rules(docs: DataFrame) -> dict[str, DataFrame]:
-    """Over docs(doc_id, permissions, has_text, has_images, tagged, lang, title, display_title, page_count, has_outline)."""
-    c = F.col
+#: What each document rule must know.
+_NEEDS = {"permission-flag": ("permissions",), "image-only": ("has_text", "has_images"), "tagged-pdf": (), "primary-language": (), "title": (), "bookmarks": ("page_count", "has_outline")}
+_COLUMNS = {"tagged-pdf": ("tagged",), "primary-language": ("lang",), "title": ("title",)}
 
-    def blank(x: str) -> Column:
-        return F.trim(F.coalesce(c(x), F.lit(""))) == ""
 
-    return {
-        "permission-flag": _finding(docs.where(c("permissions").isNotNull() & (c("permissions").bitwiseAND(1 << 9) == 0)), "permission-flag", "extraction for accessibility is not allowed"),
-        "image-only": _finding(docs.where(~c("has_text") & c("has_images")), "image-only", "pages are images without text"),
-        "tagged-pdf": _finding(docs.where(~F.coalesce("tagged", F.lit(False))), "tagged-pdf", "the document is not tagged"),
-        "primary-language": _finding(docs.where(blank("lang")), "primary-language", "no language"),
-        "title": _finding(docs.where(blank("title") | ~F.coalesce("display_title", F.lit(False))), "title", "no title, or it is not shown"),
-        "bookmarks": _finding(docs.where((c("page_count") > 20) & ~c("has_outline")), "bookmarks", "more than 20 pages without bookmarks"),
+def document_rules(docs: DataFrame) -> dict[str, DataFrame]:
+    """Over docs(doc_id, permissions, has_text, has_images, tagged, lang, title, display_title, page_count, has_outline), as far as they are there."""
+    c = F.col
+    blank = lambda x: F.trim(F.coalesce(c(x), F.lit(""))) == ""
+    hidden = ~F.coalesce("display_title", F.lit(False)) if "display_title" in docs.columns else F.lit(False)
+    bad = {
+        "permission-flag": (lambda: c("permissions").bitwiseAND(1 << 9) == 0, "extraction for accessibility is not allowed"),
+        "image-only": (lambda: ~c("has_text") & c("has_images"), "pages are images without text"),
+        "tagged-pdf": (lambda: ~F.coalesce("tagged", F.lit(False)), "the document is not tagged"),
+        "primary-language": (lambda: blank("lang"), "no language"),
+        "title": (lambda: blank("title") | hidden, "no title, or it is not shown"),
+        "bookmarks": (lambda: (c("page_count") > 20) & ~c("has_outline"), "more than 20 pages without bookmarks"),
     }
+    known = {r for r in bad if {*_NEEDS[r], *_COLUMNS.get(r, ())} <= set(docs.columns)}
+    return {r: _finding(docs.where(f()), r, message) for r, (f, message) in bad.items() if r in known}
 
 
 def page_rules(pages: DataFrame | None, annotations: DataFrame | None, fonts: DataFrame | None, fields: DataFrame | None) -> dict[str, DataFrame]:
@@ -73,26 +78,49 @@ def _has_alt() -> Column:
     return F.trim(F.coalesce("alt", F.lit(""))) != ""
 
 
+def nearest(elems: DataFrame, goal: Column) -> DataFrame:
+    """``doc_id, id, above``: the nearest element above each one for which ``goal`` holds, where there is one.
+
+    Pointers double their reach each round, so a round has one row for each element and depth n takes log n rounds.
+    """
+    up = elems.select("doc_id", F.col("id").alias("parent_id"), F.coalesce(goal, F.lit(False)).alias("found"))
+    now = elems.where("parent_id is not null").select("doc_id", "id", "parent_id").join(up, ["doc_id", "parent_id"]).select("doc_id", "id", F.col("parent_id").alias("above"), "found")
+    now = stored(now, "rules-above")
+    while not now.where("not found").isEmpty():
+        there = now.select("doc_id", F.col("id").alias("above"), F.col("above").alias("next"), F.col("found").alias("hit"))
+        step = now.where("not found").join(there, ["doc_id", "above"]).select("doc_id", "id", F.col("next").alias("above"), F.col("hit").alias("found"))
+        now = stored(now.where("found").unionByName(step), "rules-above")
+    return now.select("doc_id", "id", "above")
+
+
 def structure_rules(elems: DataFrame) -> dict[str, DataFrame]:
     e, page = elems, F.col("page")
-    key = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("id").cast("string"))
-    up = e.where(F.col("parent_id").isNotNull()).select(key.alias("src"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("parent_id").cast("string")).alias("dst"))
-    above = closure(up)
-    k = e.withColumn("_k", key)
-    alt = k.where(_has_alt())
-    below_alt = above.join(alt.select(F.col("_k").alias("dst")), "dst", "left_semi").select(F.col("src").alias("_k")).distinct()
-    inside = above.join(k.select(F.col("_k").alias("src"), "has_content", "has_annots"), "src").groupBy(F.col("dst").alias("_k")).agg(F.max("has_content").alias("c"), F.max("has_annots").alias("n"))
-    whole = alt.join(inside, "_k", "left").withColumn("c", F.coalesce("c", F.lit(False)) | F.coalesce("has_content", F.lit(False))).withColumn("n", F.coalesce("n", F.lit(False)) | F.coalesce("has_annots", F.lit(False)))
+    ids = ["doc_id", "id"]
+    alt = e.where(_has_alt())
+    over = nearest(e, _has_alt())
+    below_alt = over.select(*ids)
+
+    def covered(what: str) -> DataFrame:
+        """Elements with alternate text that have it themselves or anywhere below."""
+        has = e.where(F.coalesce(what, F.lit(False)))
+        fresh = stored(has.join(alt.select(*ids), ids, "left_semi").select(*ids).unionByName(has.join(over, ids).select("doc_id", F.col("above").alias("id"))).distinct(), "rules-covered")
+        every = fresh
+        # from one alternate text to the next above: as many rounds as these are nested
+        while not fresh.isEmpty():
+            fresh = stored(fresh.join(over, ids).select("doc_id", F.col("above").alias("id")).distinct().join(every, ids, "left_anti"), "rules-covered")
+            every = every.unionByName(fresh)
+        return every
+
     parent = e.select(F.col("doc_id"), F.col("id").alias("parent_id"), F.col("type").alias("parent_type"))
     p = e.join(parent, ["doc_id", "parent_id"], "left").withColumn("parent_type", F.coalesce("parent_type", F.lit("")))
 
     def lacks(types: tuple[str, ...], rule: str) -> DataFrame:
-        return _finding(k.where(F.col("type").isin(*types) & ~_has_alt()).join(below_alt, "_k", "left_anti"), rule, "no alternate text", page)
+        return _finding(e.where(F.col("type").isin(*types) & ~_has_alt()).join(below_alt, ids, "left_anti"), rule, "no alternate text", page)
 
     tables = e.where("type = 'Table'")
     cells = p.where(F.col("type").isin("TH", "TD")).select("doc_id", F.col("parent_id").alias("row_id"), "type", "preorder", F.coalesce("colspan", F.lit(1)).alias("cs"), F.coalesce("rowspan", F.lit(1)).alias("rs"))
-    row_up = e.where("type = 'TR'").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("id").cast("string")).alias("src"), F.col("id").alias("row_id"), F.col("preorder").alias("row_at"))
-    of_table = above.join(row_up, "src").join(k.where("type = 'Table'").select(F.col("_k").alias("dst"), "doc_id", F.col("id").alias("table_id"), F.col("page").alias("table_page")), "dst")
+    of_table = e.where("type = 'TR'").select("doc_id", "id", F.col("preorder").alias("row_at")).join(nearest(e, F.col("type") == "Table"), ids)
+    of_table = of_table.select("doc_id", F.col("id").alias("row_id"), "row_at", F.col("above").alias("table_id")).join(tables.select("doc_id", F.col("id").alias("table_id"), F.col("page").alias("table_page")), ["doc_id", "table_id"])
     rows = of_table.join(cells, ["doc_id", "row_id"], "left")
     heads = rows.groupBy("doc_id", "table_id").agg(F.max(F.col("type") == "TH").alias("h"))
     no_heads = tables.join(heads.withColumnRenamed("table_id", "id"), ["doc_id", "id"], "left").where(~F.coalesce("h", F.lit(False)))
@@ -102,9 +130,9 @@ def structure_rules(elems: DataFrame) -> dict[str, DataFrame]:
     return {
         "figures-alt-text": lacks(("Figure",), "figures-alt-text"),
         "other-elements-alt-text": lacks(("Formula",), "other-elements-alt-text"),
-        "nested-alt-text": _finding(alt.join(below_alt, "_k", "left_semi"), "nested-alt-text", "alternate text inside alternate text is never read", page),
-        "alt-text-associated": _finding(whole.where(~F.col("c")), "alt-text-associated", "alternate text without content", page),
-        "alt-text-hides-annotation": _finding(whole.where("n"), "alt-text-hides-annotation", "alternate text hides an annotation", page),
+        "nested-alt-text": _finding(alt.join(below_alt, ids, "left_semi"), "nested-alt-text", "alternate text inside alternate text is never read", page),
+        "alt-text-associated": _finding(alt.join(covered("has_content"), ids, "left_anti"), "alt-text-associated", "alternate text without content", page),
+        "alt-text-hides-annotation": _finding(alt.join(covered("has_annots"), ids, "left_semi"), "alt-text-hides-annotation", "alternate text hides an annotation", page),
         "table-rows": _finding(p.where((F.col("type") == "TR") & ~F.col("parent_type").isin("Table", "THead", "TBody", "TFoot")), "table-rows", "row outside a table", page),
         "table-cells": _finding(p.where(F.col("type").isin("TH", "TD") & (F.col("parent_type") != "TR")), "table-cells", "cell outside a row", page),
         "table-headers": _finding(no_heads, "table-headers", "table without headers", page),
@@ -140,11 +168,18 @@ def check(docs: DataFrame, pages=None, annotations=None, fonts=None, fields=None
     every = None
     for f in found.values():
         every = f if every is None else every.unionByName(f)
+    if every is None:
+        every = _finding(docs.where("false"), "", "")
     ranked = every.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy("page", "message")))
     per = ranked.groupBy("doc_id", "rule").agg(F.array_sort(F.collect_list(F.when(F.col("k") <= MOST, F.struct("page", "message")))).alias("findings"), F.greatest(F.count("*") - MOST, F.lit(0)).alias("more"))
     rules = docs.sparkSession.createDataFrame([(i, r, c, r in MANUAL, r in found) for i, (r, c) in enumerate(RULES)], "n int, rule string, category string, manual boolean, run boolean")
-    j = docs.select("doc_id").crossJoin(F.broadcast(rules)).join(per, ["doc_id", "rule"], "left")
-    status = F.when(F.col("manual"), "Manual").when(~F.col("run"), "Skipped").when(F.col("findings").isNotNull(), "Failed").otherwise("Passed")
+    j = docs.crossJoin(F.broadcast(rules)).join(per, ["doc_id", "rule"], "left")
+    unknown = F.lit(False)
+    for rule, needs in _NEEDS.items():
+        for x in needs:
+            if x in docs.columns:
+                unknown = unknown | ((F.col("rule") == rule) & F.col(x).isNull())
+    status = F.when(F.col("manual"), "Manual").when(~F.col("run") | unknown, "Skipped").when(F.col("findings").isNotNull(), "Failed").otherwise("Passed")
     return j.select("doc_id", "n", "rule", "category", status.alias("status"), "findings", F.coalesce("more", F.lit(0)).alias("more"))
 
 
@@ -234,3 +269,46 @@ def changed_objects(signed: DataFrame, current: DataFrame, allowed: Callable[[Co
     kind = F.when(F.col("s.digest").isNull(), "added").when(F.col("c.digest").isNull(), "removed").when(F.col("s.digest") != F.col("c.digest"), "changed")
     kinds = F.coalesce("c.type", "s.type")
     return j.select("doc_id", "num", kinds.alias("type"), kind.alias("kind"), allowed(kinds).alias("allowed")).where("kind is not null")
+
+
+def figures(elems: DataFrame) -> DataFrame:
+    """``doc_id, id, alt, page`` of all figures; blank texts are none."""
+    return elems.where("type = 'Figure'").select("doc_id", "id", F.when(_has_alt(), F.trim("alt")).alias("alt"), "page")
+
+
+#: What the bits of the permission number of an encrypted file allow, by their value.
+PERMISSIONS = (("print", 4), ("change", 8), ("copy", 16), ("comment", 32), ("fill", 256), ("extract_for_access", 512), ("assemble", 1024), ("print_well", 2048))
+
+
+def permission_flags(permissions: Column) -> Column:
+    """One flag for each permission; a null number, that is no encryption, allows all."""
+    return F.struct(*(F.coalesce(permissions.bitwiseAND(bit) != 0, F.lit(True)).alias(name) for name, bit in PERMISSIONS))
+
+
+def certificate_chains(certificates: DataFrame) -> DataFrame:
+    """``id, root, length, complete`` over certificates ``id, subject, issuer``: the last certificate that is found above each one.
+
+    A chain is complete if it ends in a certificate that is its own issuer. Subjects are unique. Pointers double their reach
+    each round; a chain that runs in a circle ends nowhere and is not complete.
+    """
+    top = F.col("subject") == F.col("issuer")
+    now = stored(certificates.select("id", F.col("subject").alias("root"), F.col("issuer").alias("next"), F.lit(1).alias("length"), top.alias("complete")), "rules-chains")
+    start = certificates.select("subject", "id")
+    seen = -1
+    while True:
+        open_ = now.where(~F.col("complete"))
+        there = start.withColumnRenamed("id", "t").join(now.select(F.col("id").alias("t"), F.col("root").alias("root2"), F.col("next").alias("next2"), F.col("length").alias("length2"), F.col("complete").alias("complete2")), "t").drop("t").withColumnRenamed("subject", "next")
+        step = open_.join(there, "next", "left").select("id", F.coalesce("root2", "root").alias("root"), F.coalesce("next2", "next").alias("next"), (F.col("length") + F.coalesce("length2", F.lit(0))).cast("int").alias("length"), F.coalesce("complete2", "complete").alias("complete"), F.col("root2").isNotNull().alias("moved"))
+        step = stored(step, "rules-chains")
+        moved = step.where("moved").count()
+        now = stored(now.where("complete").unionByName(step.drop("moved")), "rules-chains")
+        if moved in (0, seen):
+            return now.select("id", "root", "length", "complete")
+        # the same number moves again and again only in circles
+        seen = moved if step.where("moved and length > 1048576").count() else -1
+
+
+def revoked(certificates: DataFrame, lists: DataFrame) -> DataFrame:
+    """``id, revoked`` over certificates ``id, issuer, serial, at`` and revocation lists ``issuer, serial, revoked_at``: revoked by that time."""
+    first = lists.groupBy("issuer", "serial").agg(F.min("revoked_at").alias("revoked_at"))
+    return certificates.join(first, ["issuer", "serial"], "left").select("id", F.coalesce(F.col("revoked_at") <= F.col("at"), F.lit(False)).alias("revoked"))

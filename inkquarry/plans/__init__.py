@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from . import core, edits, nested
+    from . import checks, core, edits, nested
 
-    return [core.R, edits.R, nested.R]
+    return [core.R, checks.R, edits.R, nested.R]
