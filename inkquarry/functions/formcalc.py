@@ -106,8 +106,17 @@ def fc_round(n, places=0) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
 
 
+class Many:
+    """All values of a repeated field, as an argument of an aggregate."""
+
+    def __init__(self, values: Column) -> None:
+        self.values = values
+
+
 def _present(args) -> Column:
-    return F.filter(F.array(*(col(a).cast("string") for a in args)), lambda v: v.isNotNull())
+    texts = "array<string>"
+    parts = [a.values.cast(texts) if isinstance(a, Many) else F.array(col(a).cast("string")) for a in args]
+    return F.filter(F.concat(*(F.coalesce(p, F.array().cast(texts)) for p in parts)), lambda v: v.isNotNull())
 
 
 def fc_count(*args) -> Column:
@@ -308,6 +317,34 @@ def fc_num2date(n, picture: str = "MMM D, YYYY") -> Column:
     return F.when(day >= 1, F.date_format(F.date_add(F.lit("1899-12-31").cast("date"), day), p)).otherwise("")
 
 
+def _shown_date(day: Column, picture: str) -> Column:
+    p = "".join({"YYYY": "yyyy", "YY": "yy", "DD": "dd", "D": "d"}.get(t, t) for t in re.findall(r"YYYY|YY|DD|D|[^YD]+", picture.upper() if picture.islower() else picture))
+    return F.date_format(F.date_add(F.lit("1899-12-31").cast("date"), day.cast("int")), p)
+
+
+def fc_format(picture: str, v) -> Column:
+    """A number or date shown by a picture: 9 and z are digits, a comma groups, a point begins the decimals, $ is put before; YY or DD make it a date.
+
+    A date is a day number or an ISO date; other text stays as it is.
+    """
+    upper = picture.upper()
+    if "YY" in upper or "DD" in upper:
+        iso = fc_isodate2num(v)
+        number = fc_is_numeric(v) & (F.abs(fc_num(v)) < 3_000_000)
+        return F.when(number, _shown_date(fc_num(v), picture)).when(iso > 0, _shown_date(iso, picture)).otherwise(fc_str(v))
+    places = min(20, sum(c in "9zZ" for c in picture.partition(".")[2]))
+    size = F.format_string(f"%,.{places}f" if "," in picture else f"%.{places}f", F.abs(fc_num(v)))
+    return F.concat(F.when(fc_num(v) < 0, "-").otherwise(""), F.lit("$" if "$" in picture else ""), size)
+
+
+def fc_parse(picture: str, s) -> Column:
+    """The inverse: a date after the picture as ISO text, otherwise the number that the figures, points and signs make; null where there is none."""
+    if "YY" in picture.upper():
+        day = fc_date2num(s, picture)
+        return F.when(day > 0, F.date_format(F.date_add(F.lit("1899-12-31").cast("date"), day.cast("int")), "yyyy-MM-dd"))
+    return F.regexp_replace(fc_str(s), r"[^0-9.\-]", "").try_cast("double")
+
+
 def fc_datefmt(style=0) -> Column:
     k = fc_num(style).cast("int")
     return F.when(k == 1, "M/D/YY").when(k == 3, "MMMM D, YYYY").when(k == 4, "EEEE, MMMM D, YYYY").otherwise("MMM D, YYYY")
@@ -435,7 +472,7 @@ BUILTINS: Mapping[str, Callable[..., Column]] = {
 
 # compiler: expressions, assignments and if
 
-_TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>\"(?:[^\"]|\"\")*\")|(?P<id>[A-Za-z_$][\w.$]*)|(?P<op><=|>=|<>|==|[-+*/()<>=,;&|]))")
+_TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>\"(?:[^\"]|\"\")*\")|(?P<id>[A-Za-z_$][\w.$]*)|(?P<op><=|>=|<>|==|[-+*/()<>=,;&|\[\]]))")
 _LITERAL = {"null", "true", "false"}
 _DEPTH = 64
 
@@ -444,11 +481,22 @@ class FormCalcError(ValueError):
     pass
 
 
+#: Turns of a loop that is written out, and calls of user functions inside each other.
+MOST_TURNS, MOST_CALLS = 1000, 32
+
+
 class Compiler:
-    """Script text to a Column over the columns named in ``fields``. Loops and user functions are refused."""
+    """Script text to a Column over the columns named in ``fields``; ``lists`` are array columns, for ``name[*]`` and ``name[n]``.
+
+    Loops with fixed bounds are written out and user functions put in where they are called; ``while`` and leaving a loop
+    early depend on values and are refused.
+    """
 
-    def __init__(self, fields: Mapping[str, Column]) -> None:
+    def __init__(self, fields: Mapping[str, Column], lists: Mapping[str, Column] | None = None) -> None:
         self.env = {k.lower(): v for k, v in fields.items()}
+        self.lists = {k.lower(): v for k, v in (lists or {}).items()}
+        self.funcs: dict[str, tuple[list[str], list]] = {}
+        self.calls = 0
 
     def compile(self, script: str) -> Column:
         text = re.sub(r"(?m)(//|;;).*$", "", script)
@@ -484,8 +532,12 @@ class Compiler:
 
     def statement(self) -> Column:
         word = self.peek()
-        if word in ("for", "foreach", "while", "func", "break", "continue", "return", "exit", "throw"):
+        if word in ("while", "break", "continue", "return", "exit", "throw"):
             raise FormCalcError(f"{word} can't be a Column")
+        if word in ("for", "foreach"):
+            return self.loop()
+        if word == "func":
+            return self.function()
         if word == "if":
             return self.branch()
         if word == "var":
@@ -512,6 +564,89 @@ class Compiler:
                 self.take()
         return value
 
+    def number(self) -> float:
+        sign = 1.0
+        while self.peek() in ("-", "+"):
+            sign *= -1.0 if self.take()[1] == "-" else 1.0
+        kind, text = self.take()
+        if kind != "num":
+            raise FormCalcError("a loop needs fixed bounds")
+        return sign * float(text)
+
+    def loop(self) -> Column:
+        """``for i = a upto|downto b step c do ... endfor`` and ``foreach x in (a, b) do ... endfor``, turn by turn."""
+        word = self.take()[1].lower()
+        name = self.take()[1].lower()
+        if word == "foreach":
+            self.take("in")
+            self.take("(")
+            turns = []
+            while self.peek() != ")":
+                turns.append(self.expression())
+                if self.peek() == ",":
+                    self.take()
+            self.take(")")
+        else:
+            self.take("=")
+            at = self.number()
+            down = self.take()[1].lower() == "downto"
+            end, step = self.number(), 1.0
+            if self.peek() == "step":
+                self.take()
+                step = abs(self.number())
+            if step == 0 or abs(end - at) / step > MOST_TURNS:
+                raise FormCalcError("too many turns")
+            turns = []
+            while (at >= end) if down else (at <= end):
+                turns.append(F.lit(at))
+                at += -step if down else step
+        self.take("do")
+        start, value, env = self.at, F.lit(None).cast("string"), dict(self.env)
+        if not turns:
+            self.block("endfor")
+            self.env = env
+        for x in turns:
+            self.at = start
+            self.env[name] = x
+            value = self.block("endfor")
+        self.take("endfor")
+        return value
+
+    def function(self) -> Column:
+        self.take()
+        name = self.take()[1].lower()
+        self.take("(")
+        params = []
+        while self.peek() != ")":
+            params.append(self.take()[1].lower())
+            if self.peek() == ",":
+                self.take()
+        self.take(")")
+        self.take("do")
+        start, depth = self.at, 1
+        while depth:
+            word = self.take()[1].lower()
+            depth += (word == "func") - (word == "endfunc")
+        self.funcs[name] = params, self.tokens[start : self.at - 1]
+        return F.lit(None).cast("string")
+
+    def call(self, name: str, args: list) -> Column:
+        params, body = self.funcs[name]
+        self.calls += 1
+        if self.calls > MOST_CALLS:
+            raise FormCalcError("functions call each other too deeply")
+        outer = self.tokens, self.at, self.env
+        self.tokens, self.at = body, 0
+        self.env = dict(self.env) | {p: a for p, a in zip(params, [*args, *[F.lit(None).cast("string")] * len(params)], strict=False)}
+        value = F.lit(None).cast("string")
+        while self.at < len(self.tokens):
+            value = self.statement()
+            while self.peek() == ";":
+                self.at += 1
+        self.tokens, self.at, self.env = outer
+        self.calls -= 1
+        return value
+
     def branch(self) -> Column:
         self.take()
         self.take("(")
@@ -595,24 +730,47 @@ class Compiler:
                 args, raw = [], []
                 while self.peek() != ")":
                     raw.append(self.tokens[self.at])
+                    if low == "exists" and self.tokens[self.at][0] == "id":
+                        self.take()
+                        args.append(None)
+                        continue
                     args.append(self.expression())
                     if self.peek() == ",":
                         self.take()
                 self.take(")")
+                if low == "exists":
+                    return F.lit(float(bool(raw) and raw[0][0] == "id" and (raw[0][1].lower() in self.env or raw[0][1].lower() in self.lists)))
+                if low in self.funcs:
+                    return self.call(low, args)
                 if low in ("get", "post", "put"):
                     raise FormCalcError(f"{text} is refused: no network")
                 f = BUILTINS.get(low)
                 if f is None:
                     raise FormCalcError(f"no function {text}")
+                if low in ("format", "parse"):
+                    if raw[0][0] != "str":
+                        raise FormCalcError("a picture must be a text")
+                    return f(raw[0][1].strip('"'), *args[1:])
                 if low in ("num2date", "date2num", "encode", "decode", "unitvalue", "str", "wordnum"):
                     args = [a if i == 0 else (t[1].strip('"') if t[0] == "str" else float(t[1])) for i, (a, t) in enumerate(zip(args, raw, strict=True))]
                 return f(*args)
+            if self.peek() == "[" and low in self.lists:
+                self.take()
+                if self.peek() == "*":
+                    self.take()
+                    self.take("]")
+                    return Many(self.lists[low])
+                at = fc_num(self.expression()).cast("int")
+                self.take("]")
+                return F.get(self.lists[low], at)
+            if low in self.lists:
+                return F.get(self.lists[low], F.lit(0))
             if low in self.env:
                 return self.env[low]
             raise FormCalcError(f"no field {text}")
         raise FormCalcError(f"unexpected {text!r}")
 
 
-def formcalc(script: str, fields: Mapping[str, Column]) -> Column:
-    """A straight-line script over columns, compiled once on the driver."""
-    return Compiler(fields).compile(script)
+def formcalc(script: str, fields: Mapping[str, Column], lists: Mapping[str, Column] | None = None) -> Column:
+    """A script over columns, compiled once on the driver."""
+    return Compiler(fields, lists).compile(script)

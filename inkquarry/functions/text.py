@@ -45,10 +45,10 @@ def phones(text: Column) -> Column:
 
 def cards(text: Column) -> Column:
     """Card numbers with a valid check digit."""
-    return F.filter(_all(text, CARD), lambda m: _luhn(m))
+    return F.filter(_all(text, CARD), lambda m: luhn(m))
 
 
-def _luhn(m: Column) -> Column:
+def luhn(m: Column) -> Column:
     d = F.reverse(F.split(F.regexp_replace(m, r"\D", ""), ""))
     total = F.aggregate(
         F.transform(d, lambda c, i: F.when(i % 2 == 1, (c.cast("int") * 2) - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))), F.lit(0), lambda a, x: a + x

@@ -108,3 +108,59 @@ def change_counts(diff: DataFrame, key: str = "pair_id") -> DataFrame:
 def report(diff: DataFrame, key: str = "pair_id") -> DataFrame:
     line = F.when(F.col("kind") == "inserted", F.concat(F.lit("+ "), "new_text")).when(F.col("kind") == "deleted", F.concat(F.lit("- "), "old_text")).otherwise(F.concat(F.lit("~ "), "old_text", F.lit(" -> "), "new_text"))
     return diff.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def first_changes(diff: DataFrame, most: int = 500, key: str = "pair_id") -> DataFrame:
+    """The first changes of each pair, in order."""
+    return diff.where(F.col("seq") < most)
+
+
+#: Pixels of two pages are compared in cells of this side; cells one apart belong together.
+CELL = 8
+
+
+def visual_regions(pairs: DataFrame, tolerance: int = 16, key: str = "pair_id") -> DataFrame:
+    """``key, x0, y0, x1, y1``: regions in which two images differ by more than the tolerance in some channel.
+
+    ``pairs``: key, width_a, height_a, a, width_b, height_b, b with four bytes for a pixel. Pages of different size are
+    compared where both have pixels, the rest differs. A pair is one row, so an image is the most a task holds.
+    """
+    import numpy as np
+
+    def grid(a: bytes, wa: int, ha: int, b: bytes, wb: int, hb: int) -> np.ndarray:
+        w, h = max(wa, wb), max(ha, hb)
+        x, y = np.frombuffer(a, np.uint8).reshape(ha, wa, 4).astype(np.int16), np.frombuffer(b, np.uint8).reshape(hb, wb, 4).astype(np.int16)
+        differs = np.ones((h, w), bool)
+        hw, hh = min(wa, wb), min(ha, hb)
+        differs[:hh, :hw] = (np.abs(x[:hh, :hw] - y[:hh, :hw]) > tolerance).any(axis=2)
+        rows, cols = -(-h // CELL), -(-w // CELL)
+        padded = np.zeros((rows * CELL, cols * CELL), bool)
+        padded[:h, :w] = differs
+        return padded.reshape(rows, CELL, cols, CELL).any(axis=(1, 3))
+
+    def components(cells: np.ndarray) -> list[tuple[int, int, int, int]]:
+        left = {(int(r), int(c)) for r, c in zip(*np.nonzero(cells), strict=True)}
+        found = []
+        while left:
+            todo = [left.pop()]
+            box = [todo[0][0], todo[0][1], todo[0][0], todo[0][1]]
+            while todo:
+                r, c = todo.pop()
+                box = [min(box[0], r), min(box[1], c), max(box[2], r), max(box[3], c)]
+                for dr in range(-2, 3):
+                    for dc in range(-2, 3):
+                        if (r + dr, c + dc) in left:
+                            left.remove((r + dr, c + dc))
+                            todo.append((r + dr, c + dc))
+            found.append((box[1] * CELL, box[0] * CELL, (box[3] + 1) * CELL, (box[2] + 1) * CELL))
+        return sorted(found)
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for k, wa, ha, a, wb, hb, b in zip(*(f[c] for c in (key, "width_a", "height_a", "a", "width_b", "height_b", "b")), strict=True):
+                w, h = max(wa, wb), max(ha, hb)
+                rows += [(k, x0, y0, min(x1, w), min(y1, h)) for x0, y0, x1, y1 in components(grid(a, wa, ha, b, wb, hb))]
+            yield pd.DataFrame(rows, columns=[key, "x0", "y0", "x1", "y1"])
+
+    return pairs.mapInPandas(run, f"{key} bigint, x0 int, y0 int, x1 int, y1 int")

@@ -14,6 +14,12 @@ def page_text(glyphs: DataFrame) -> DataFrame:
     return glyph_lines(glyphs).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+def text_export(glyphs: DataFrame) -> DataFrame:
+    """``doc_id, text``: pages with a form feed between them, blanks at their ends cut off."""
+    pages = page_text(glyphs).withColumn("text", F.regexp_replace("text", r" +$", ""))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\f").alias("text"))
+
+
 def line_rects(glyphs: DataFrame) -> DataFrame:
     """``doc_id, page, line, x0, y0, x1, y1``: one box for each line; repeated glyphs change nothing."""
     r = F.col("rect")
@@ -130,3 +136,66 @@ def to_html(paragraphs: DataFrame) -> DataFrame:
     tag = F.when(F.col("level").isNotNull(), F.concat(F.lit("h"), F.col("level").cast("string"))).otherwise("p")
     line = F.concat(F.lit("<"), tag, F.lit(">"), t, F.lit("</"), tag, F.lit(">"))
     return paragraphs.groupBy("doc_id").agg(F.concat(F.lit("<!DOCTYPE html><html><body>\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("h")))), lambda x: x["h"]), "\n"), F.lit("\n</body></html>\n")).alias("html"))
+
+
+def glyph_spans(glyphs: DataFrame) -> DataFrame:
+    """``doc_id, page, ord, word_first, word_last, line_first, line_last``: the word and the line around every glyph, by their first and last ord.
+
+    A word ends at a blank before a glyph, at a blank glyph and at the line's end; a blank glyph is a word of its own.
+    Lines are taken apart one by one, so the group is a line.
+    """
+    from pyspark.sql import Window
+
+    g = glyphs.where(F.col("ord").isNotNull() & F.col("line").isNotNull()).dropDuplicates(["doc_id", "page", "ord"])
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    w = Window.partitionBy("doc_id", "page", "line").orderBy("ord")
+    new = F.coalesce("space_before", F.lit(False)) | blank | F.coalesce(F.lag(blank).over(w), F.lit(True))
+    numbered = g.withColumn("_word", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    line, word = Window.partitionBy("doc_id", "page", "line"), Window.partitionBy("doc_id", "page", "line", "_word")
+    return numbered.select("doc_id", "page", "ord", F.min("ord").over(word).alias("word_first"), F.max("ord").over(word).alias("word_last"), F.min("ord").over(line).alias("line_first"), F.max("ord").over(line).alias("line_last"))
+
+
+def text_lines(glyphs: DataFrame) -> DataFrame:
+    """``doc_id, page, line, text, rect, size``: lines with their box and the height most of their glyphs have (half points)."""
+    r = F.col("rect")
+    boxes = line_rects(glyphs).select("doc_id", "page", "line", F.array("x0", "y0", "x1", "y1").alias("rect"))
+    heights = glyphs.where(r.isNotNull() & F.col("line").isNotNull()).dropDuplicates(["doc_id", "page", "ord"]).groupBy("doc_id", "page", "line", (F.round((r[3] - r[1]) * 2) / 2).alias("size")).agg(F.count("*").alias("n"))
+    size = heights.groupBy("doc_id", "page", "line").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("size"))
+    return glyph_lines(glyphs).join(boxes, ["doc_id", "page", "line"]).join(size, ["doc_id", "page", "line"])
+
+
+def text_blocks(lines: DataFrame) -> DataFrame:
+    """``doc_id, page, block, first_line, last_line, text``: paragraphs of ``text_lines``, one page at a time.
+
+    A line goes on with the block above if it has its size, is set at the same left, middle or right, and follows at
+    0.8 to 2.5 times its size, at about the distance of the block's first two lines. A hyphen at a line's end is dropped.
+    """
+    per = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "text", "rect", "size"))).alias("l"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for doc, page, ls in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                block, gap, last = None, None, None
+                for x in ls:
+                    joins = False
+                    if last is not None:
+                        a, z, tol = last["rect"], x["rect"], max(1.0, x["size"])
+                        step = z[3] - a[3]
+                        aligned = abs(a[0] - z[0]) < tol or abs(a[0] + a[2] - z[0] - z[2]) / 2 < tol or abs(a[2] - z[2]) < tol
+                        joins = abs(last["size"] - x["size"]) < 0.01 and aligned and 0.8 * x["size"] < step < 2.5 * x["size"] and (gap is None or abs(step - gap) < 0.2 * gap)
+                    if joins:
+                        gap = gap or step
+                        block[5] = block[5][:-1] + x["text"].strip() if block[5].endswith("-") else f"{block[5]} {x['text'].strip()}"
+                        block[4] = x["line"]
+                    else:
+                        block, gap = [doc, page, 0 if block is None else block[2] + 1, x["line"], x["line"], x["text"].strip()], None
+                        rows.append(block)
+                    last = x
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "page", "block", "first_line", "last_line", "text"])
+
+    return per.mapInArrow(run, "doc_id bigint, page int, block int, first_line int, last_line int, text string")

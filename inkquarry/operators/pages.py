@@ -138,6 +138,22 @@ def combine(sources: list[DataFrame]) -> DataFrame:
     return _numbered(out, [F.col("source"), F.col("page")])
 
 
+def combine_selected(sources: list[tuple[DataFrame, list[int]]]) -> DataFrame:
+    """The chosen pages of each input, in the order of its list, one input after another."""
+    parts = [extract(s, chosen).withColumn("source", F.lit(i)) for i, (s, chosen) in enumerate(sources)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return _numbered(out, [F.col("source"), F.col("pos")]).drop("pos")
+
+
+def by_label(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, wanted, page``: the first page with that label, else the page with that number, for pages ``doc_id, page, label``."""
+    j = wanted.join(pages.select("doc_id", "page", "label"), "doc_id")
+    labelled, number = F.min(F.when(F.col("label") == F.col("wanted"), F.col("page"))), F.min(F.when(F.col("page").cast("string") == F.col("wanted"), F.col("page")))
+    return j.groupBy("doc_id", "wanted").agg(F.coalesce(labelled, number).alias("page")).where("page is not null")
+
+
 # splitting
 
 

@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from . import checks, core, edits, nested
+    from . import checks, core, edits, language, nested, reports
 
-    return [core.R, checks.R, edits.R, nested.R]
+    return [core.R, checks.R, edits.R, language.R, nested.R, reports.R]
