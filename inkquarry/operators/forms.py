@@ -33,16 +33,29 @@ def first_seen(fields: DataFrame, most: int = 5000) -> list[str]:
     return [r[0] for r in rows]
 
 
+def undescribed(fields: DataFrame) -> DataFrame:
+    """``doc_id, name, page``: fields without a description, with their first page."""
+    return fields.where(F.trim(F.coalesce("tooltip", F.lit(""))) == "").groupBy("doc_id", "name").agg(F.min("page").alias("page"))
+
+
 def apply_values(fields: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields with the given values, rejected values). ``values`` is doc_id, name, value; choices must be an option."""
-    v = values.groupBy("doc_id", "name").agg(F.max("value").alias("_new"))
+    """(fields with the given values, rejected values). ``values`` is doc_id, name, value, and ``seq`` where a field has several.
+
+    Choices must be an option, or free text where the field allows it; only lists that allow several values take more than
+    one; texts must not be longer than the field. A field is given all its values or none.
+    """
+    seq = F.col("seq") if "seq" in values.columns else F.lit(0)
+    v = values.groupBy("doc_id", "name").agg(F.array_sort(F.collect_set(F.struct(seq.alias("seq"), "value"))).alias("_given"))
+    v = v.select("doc_id", "name", F.transform("_given", lambda x: x["value"]).alias("_new"))
     j = once(fields).join(v, ["doc_id", "name"], "left")
     codes = F.transform(F.coalesce("options", F.expr("cast(array() as array<struct<export_value:string,display_text:string>>)")), lambda o: o["export_value"])
-    ok = ~F.col("kind").isin("list", "combo") | F.array_contains(codes, F.col("_new")) | (F.col("flags").bitwiseAND(1 << 18) != 0)
-    ok = ok & (F.col("max_len").isNull() | (F.col("max_len") <= 0) | (F.length("_new") <= F.col("max_len")))
-    filled = j.withColumn("value", F.when(F.col("_new").isNotNull() & ok, F.array("_new")).otherwise(F.col("value"))).drop("_new")
-    unknown = v.join(fields, ["doc_id", "name"], "left_anti").select("doc_id", "name", F.col("_new").alias("value"), F.lit("no such field").alias("reason"))
-    bad = j.where(F.col("_new").isNotNull() & ~ok).select("doc_id", "name", F.col("_new").alias("value"), F.lit("not allowed").alias("reason"))
+    free, many = F.col("flags").bitwiseAND(1 << 18) != 0, (F.col("kind") == "list") & (F.col("flags").bitwiseAND(1 << 21) != 0)
+    ok = ~F.col("kind").isin("list", "combo") | free | F.forall("_new", lambda x: F.array_contains(codes, x))
+    ok = ok & (F.col("max_len").isNull() | (F.col("max_len") <= 0) | F.forall("_new", lambda x: F.length(x) <= F.col("max_len"))) & ((F.size("_new") < 2) | many)
+    ok = F.coalesce(ok, F.lit(False))
+    filled = j.withColumn("value", F.when(F.col("_new").isNotNull() & ok, F.col("_new")).otherwise(F.col("value"))).drop("_new")
+    unknown = v.join(fields, ["doc_id", "name"], "left_anti").select("doc_id", "name", F.explode("_new").alias("value"), F.lit("no such field").alias("reason"))
+    bad = j.where(F.col("_new").isNotNull() & ~ok).select("doc_id", "name", F.explode("_new").alias("value"), F.lit("not allowed").alias("reason"))
     return filled, unknown.unionByName(bad)
 
 

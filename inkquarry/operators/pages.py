@@ -244,3 +244,11 @@ def layout(pages: DataFrame, per_sheet: int, booklet: bool = False) -> DataFrame
     front = p <= F.col("n") / 2
     side = F.when(front, p - 1).otherwise(F.col("n") - p)
     return pages.join(n, "doc_id").withColumn("sheet", side.cast("int")).withColumn("cell", F.when(front, F.when(p % 2 == 1, 1).otherwise(0)).otherwise(F.when(p % 2 == 1, 1).otherwise(0)).cast("int")).drop("n")
+
+
+def poster(pages: DataFrame, rows: int, columns: int) -> DataFrame:
+    """One row for each tile of a page that is printed over several sheets: ``tile_row, tile_column, clip`` in page space."""
+    tiles = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(rows) for j in range(columns)))).alias("t")
+    w, h = F.col("width").cast("double") / columns, F.col("height").cast("double") / rows
+    i, j = F.col("t.i"), F.col("t.j")
+    return pages.select("*", tiles).withColumn("clip", F.array(w * j, h * i, w * (j + 1), h * (i + 1))).withColumn("tile_row", i).withColumn("tile_column", j).drop("t")

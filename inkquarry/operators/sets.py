@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 
+#: Parts that the rows of one content are dealt into when they look up what they are merged into.
+_SALTS = 32
+
+
 def dedupe(df: DataFrame, content: list[str], key: str) -> DataFrame:
     """``key, keep``: every row with the smallest key of the rows of equal content.
 
-    Equal content meets by a 256-bit digest, so long texts are not shuffled, and the smallest key of each digest is
-    found by a pre-aggregated group: a content that a third of all rows share is no hot task. Nulls equal nulls.
+    Equal content meets by a 256-bit digest, so long texts are not shuffled, and the smallest key of each digest is found by
+    a pre-aggregated group. Rows look it up by digest and a salt, so a content that a third of all rows share is spread over
+    ``_SALTS`` parts; contents that occur once are not looked up. Nulls equal nulls.
     """
     # nulls and empty texts differ: the text is taken apart as a struct
     digest = F.sha2(F.to_json(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(content))), {"ignoreNullFields": "false"}), 256)
     d = df.select(F.col(key), digest.alias("_digest"))
-    keep = d.groupBy("_digest").agg(F.min(key).alias("keep"))
-    return d.join(keep, "_digest").select(key, "keep")
+    keep = d.groupBy("_digest").agg(F.min(key).alias("keep"), F.count("*").alias("_n")).where("_n > 1")
+    salted = keep.select("_digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    j = d.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int")).join(salted, ["_digest", "_salt"], "left")
+    return j.select(key, F.coalesce("keep", key).alias("keep"))
 
 
 def dedupe_structure(objects: DataFrame) -> DataFrame:

@@ -26,9 +26,10 @@ _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za
         FROM (SELECT source, coalesce(text, '') AS text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1 GROUP BY source""",
 )
 def pattern_counts(spark, d):
-    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    first = sets.dedupe(docs, ["text"], "doc_id").where("doc_id = keep")
-    return docs.join(first, "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.size(text.emails(c("text")))).cast("bigint").alias("emails"))
+    """Read once: of the rows of one text the first stays, with what was counted in it."""
+    t = F.coalesce("text", F.lit(""))
+    counted = table(spark, d, "documents").select(F.sha2(t, 256).alias("digest"), F.struct("doc_id", "source", F.size(text.emails(t)).alias("n")).alias("x"))
+    return counted.groupBy("digest").agg(F.min("x").alias("x")).groupBy("x.source").agg(F.count("*").alias("texts"), F.sum("x.n").cast("bigint").alias("emails"))
 
 
 @R.query("pattern_hits")
@@ -239,11 +240,16 @@ def print_layout(spark, d):
     return pages.layout(pages.once(table(spark, d, "pdf_pages")), 4).select("doc_id", "page", "sheet", "cell")
 
 
-@R.query("booklet_layout")
+@R.query("booklet_layout", f"SELECT p.doc_id, p.page, CAST(CASE WHEN p.page <= n4 // 2 THEN p.page - 1 ELSE n4 - p.page END AS INTEGER) AS sheet, CAST(p.page % 2 AS INTEGER) AS cell FROM {_P} p JOIN (SELECT doc_id, (max(page) + 3) // 4 * 4 AS n4 FROM pdf_pages GROUP BY doc_id) f ON f.doc_id = p.doc_id")
 def booklet_layout(spark, d):
     return pages.layout(pages.once(table(spark, d, "pdf_pages")), 2, booklet=True).select("doc_id", "page", "sheet", "cell")
 
 
+@R.query("poster_layout", f"SELECT doc_id, page, CAST(i AS INTEGER) AS tile_row, CAST(j AS INTEGER) AS tile_column, [width / 3 * j, height / 2 * i, width / 3 * (j + 1), height / 2 * (i + 1)]::DOUBLE[] AS clip FROM (SELECT doc_id, page, width::DOUBLE AS width, height::DOUBLE AS height FROM {_P}), range(2) a(i), range(3) b(j)")
+def poster_layout(spark, d):
+    return pages.poster(pages.once(table(spark, d, "pdf_pages")), 2, 3).select("doc_id", "page", "tile_row", "tile_column", "clip")
+
+
 @R.query("natural_order", "SELECT doc_id, path, list_aggregate(list_transform(regexp_extract_all(lower(path), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END, 20, '0') ELSE p END), 'string_agg', '') AS sort_key FROM (SELECT DISTINCT doc_id, path FROM pdf_files)")
 def natural_order(spark, d):
     return table(spark, d, "pdf_files").select("doc_id", "path").distinct().select("doc_id", "path", text.natural_key(c("path")).alias("sort_key"))
@@ -264,8 +270,8 @@ def anti_unreferenced(spark, d):
 
 @R.query("dangling_pages", "SELECT DISTINCT g.doc_id, g.page FROM glyphs g WHERE NOT EXISTS (SELECT 1 FROM pdf_pages p WHERE p.doc_id = g.doc_id AND p.page = g.page)")
 def dangling_pages(spark, d):
-    g = table(spark, d, "glyphs").select("doc_id", "page").distinct()
-    return g.join(table(spark, d, "pdf_pages"), ["doc_id", "page"], "left_anti")
+    at = lambda t: table(spark, d, t).select("doc_id", "page", F.concat_ws("/", "doc_id", "page").alias("at"))
+    return sets.dangling(at("glyphs").distinct(), at("pdf_pages"), "at").select("doc_id", "page")
 
 
 @R.query("overlap_anti", "SELECT a.doc_id, a.name FROM (SELECT DISTINCT doc_id, name, page, rect FROM fields WHERE rect IS NOT NULL) a WHERE NOT EXISTS (SELECT 1 FROM glyphs g WHERE g.doc_id = a.doc_id AND g.page = a.page AND a.rect[1] < g.rect[3] AND g.rect[1] < a.rect[3] AND a.rect[2] < g.rect[4] AND g.rect[2] < a.rect[4])")
@@ -325,7 +331,9 @@ def latest_status(spark, d):
 
 @R.query("comment_numbers", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS number FROM events")
 def comment_numbers(spark, d):
-    return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("number"))
+    none = F.lit(None).cast("string")
+    a = table(spark, d, "events").select(c("user_id").alias("doc_id"), F.lit(1).alias("page"), c("event_id").alias("index"), c("event_id").cast("string").alias("name"), none.alias("in_reply_to"), none.alias("state"))
+    return comments.threads(a).select(c("index").alias("event_id"), "number")
 
 
 @R.query("group_headers", "SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type, true) AS header FROM events")
@@ -374,7 +382,7 @@ def form_reset(spark, d):
     return forms.reset(forms.once(table(spark, d, "fields"))).select("doc_id", "name", "value")
 
 
-@R.query("option_labels")
+@R.query("option_labels", f"SELECT doc_id, name, list_transform(coalesce(value, []), lambda v: coalesce(list_filter(options, lambda o: o.export_value = v)[1].display_text, v)) AS shown FROM {_F} WHERE kind IN ('list', 'combo')")
 def option_labels(spark, d):
     return forms.display(forms.once(table(spark, d, "fields")).where(c("kind").isin("list", "combo")))
 
@@ -385,7 +393,7 @@ def form_fill_rejects(spark, d):
     return forms.apply_values(f, f.select("doc_id", "name", F.lit("XXX").alias("value")))[1]
 
 
-@R.query("form_xfdf")
+@R.query("form_xfdf", f"""SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>' || string_agg('<field name="' || replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || array_to_string(list_transform(coalesce(value, []), lambda v: '<value>' || replace(replace(replace(replace(coalesce(v, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</value>'), '') || '</field>', '' ORDER BY name) || '</fields></xfdf>' AS xml FROM {_F} WHERE kind IN ('text', 'checkbox', 'radio', 'list', 'combo') GROUP BY doc_id""")
 def form_xfdf(spark, d):
     return forms.to_xfdf(table(spark, d, "fields"))
 
@@ -397,7 +405,9 @@ def form_fdf(spark, d):
 
 @R.query("calc_aggregates", "SELECT l_orderkey, sum(l_quantity) AS total, avg(l_quantity) AS mean, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_orderkey")
 def calc_aggregates(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total"), F.avg("l_quantity").alias("mean"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    q = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
+    script = {"total": "Sum(q[*])", "mean": "Avg(q[*])", "low": "Min(q[*])", "high": "Max(q[*])"}
+    return q.select("l_orderkey", *(fc.formcalc(s, {}, {"q": c("q")}).alias(k) for k, s in script.items()))
 
 
 # form language and formats
@@ -501,10 +511,12 @@ def polygon_area(spark, d):
     return w.select("doc_id", "page", "ord", F.round(geometry.area(corners), 3).alias("area"))
 
 
-@R.query("view_points")
+@R.query("view_points", f"SELECT doc_id, page, CASE r WHEN 90 THEN 200 - y0 WHEN 180 THEN x1 - 100 WHEN 270 THEN y1 - 200 ELSE 100 - x0 END::DOUBLE AS x, CASE r WHEN 90 THEN 100 - x0 WHEN 180 THEN 200 - y0 WHEN 270 THEN x1 - 100 ELSE y1 - 200 END::DOUBLE AS y FROM (SELECT doc_id, page, ((coalesce(rotation, 0) % 360) + 360) % 360 AS r, coalesce(crop[1], 0)::DOUBLE AS x0, coalesce(crop[2], 0)::DOUBLE AS y0, coalesce(crop[3], width)::DOUBLE AS x1, coalesce(crop[4], height)::DOUBLE AS y1 FROM {_P})")
 def view_points(spark, d):
-    p = pages.once(table(spark, d, "pdf_pages")).where("crop is not null")
-    v = geometry.to_view(F.lit(100.0), F.lit(200.0), c("crop"), c("rotation"))
+    # a page without a crop box is shown whole
+    p = pages.once(table(spark, d, "pdf_pages"))
+    whole = F.array(F.lit(0.0), F.lit(0.0), c("width").cast("double"), c("height").cast("double"))
+    v = geometry.to_view(F.lit(100.0), F.lit(200.0), F.coalesce(c("crop").cast("array<double>"), whole), F.coalesce("rotation", F.lit(0)))
     return p.select("doc_id", "page", v["x"].alias("x"), v["y"].alias("y"))
 
 
@@ -539,8 +551,7 @@ def accessibility_report(spark, d):
 
 @R.query("field_descriptions", "SELECT doc_id, name, min(page) AS page FROM fields WHERE trim(coalesce(tooltip, '')) = '' GROUP BY doc_id, name")
 def field_descriptions(spark, d):
-    f = table(spark, d, "fields").where(F.trim(F.coalesce("tooltip", F.lit(""))) == "")
-    return f.groupBy("doc_id", "name").agg(F.min("page").alias("page"))
+    return forms.undescribed(table(spark, d, "fields"))
 
 
 @R.query("heading_nesting", "SELECT doc_id, preorder, level FROM (SELECT doc_id, preorder, level, lag(level, 1, 0) OVER (PARTITION BY doc_id ORDER BY preorder) AS b FROM (SELECT DISTINCT doc_id, page AS preorder, CAST(page * page % 4 + 1 AS INTEGER) AS level FROM pdf_pages)) WHERE level > b + 1")
