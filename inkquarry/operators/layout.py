@@ -147,7 +147,7 @@ def glyph_spans(glyphs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     g = glyphs.where(F.col("ord").isNotNull() & F.col("line").isNotNull()).dropDuplicates(["doc_id", "page", "ord"])
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\s\p{Z}]")
     w = Window.partitionBy("doc_id", "page", "line").orderBy("ord")
     new = F.coalesce("space_before", F.lit(False)) | blank | F.coalesce(F.lag(blank).over(w), F.lit(True))
     numbered = g.withColumn("_word", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

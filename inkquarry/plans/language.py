@@ -106,7 +106,7 @@ def fc_loops(spark, d):
     return _run(table(spark, d, "customer"), ["c_custkey"], scripts, env)
 
 
-@R.query("fc_lists", "SELECT l_orderkey, sum(l_quantity) AS total, max(l_quantity) AS most, count(*)::DOUBLE AS lines, arg_min(l_quantity, l_linenumber * 100000000 + l_partkey) AS first FROM lineitem GROUP BY l_orderkey")
+@R.query("fc_lists", "SELECT l_orderkey, sum(l_quantity) AS total, max(l_quantity) AS most, count(*)::DOUBLE AS lines, arg_min(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS first FROM lineitem GROUP BY l_orderkey")
 def fc_lists(spark, d):
     q = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"]).alias("qty"))
     return _run(q, ["l_orderkey"], {"total": "Sum(qty[*])", "most": "Max(qty[*])", "lines": "Count(qty[*])", "first": "qty[0] + 0"}, {}, {"qty": c("qty")})
