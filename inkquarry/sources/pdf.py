@@ -1,14 +1,19 @@
 """A Spark data source for PDF files: ``spark.read.format("pdf").option("table", "pages").load(paths)``.
 
-Each file is read by one task and gives the rows of one table. A broken file gives what can be read, with its repairs in
-the ``documents`` table; it never fails the job. Objects are found by scanning the file for them, later definitions
-replacing earlier ones, which reads good files, appended revisions and damaged ones alike; object streams are opened.
-Encrypted files give their ``documents`` row only.
+Each file is read by one task and gives the rows of one table. A broken file gives what can be read, with its repairs and
+warnings in the ``documents`` table and what went wrong in the ``errors`` table; it never fails the job. Objects are found
+by scanning the file for them, later definitions replacing earlier ones, in object streams too, which reads good files,
+appended revisions and damaged ones alike; the option ``revision`` reads the file as it stood then. Encrypted files are
+opened with the option ``password``, or an empty one; without the right one they give ``documents``, ``objects``,
+``revisions`` and ``permissions`` only.
+
+Files are listed and read through the file system that their address names, so any store that pyarrow knows will do;
+``from_binary`` reads rows of ``binaryFile`` instead, for stores that only Spark can list, and for streams.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import re
 from collections.abc import Iterator
@@ -16,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import codecs
+from . import codecs, crypt, pdftext
 
 SCHEMAS = {
     "documents": "path string, file_size bigint, pdf_version string, title string, author string, subject string, keywords string, creator string, producer string, encrypted boolean, tagged boolean, has_javascript boolean, xfa string, warnings array<string>, repairs array<string>",
@@ -35,6 +40,14 @@ SCHEMAS = {
     "scripts": "path string, name string, script string",
     "images": "path string, obj_num bigint, width int, height int, filter string, bytes bigint, content binary",
     "xfa_packets": "path string, name string, xml string",
+    "glyphs": "path string, page int, ord int, text string, rect array<float>, line int, space_before boolean",
+    "words": "path string, page int, ord int, text string, rect array<float>, line int",
+    "boxes": "path string, page int, media array<float>, crop array<float>, bleed array<float>, trim array<float>, art array<float>",
+    "structure": "path string, id int, parent_id int, preorder int, type string, alt string, actual_text string, title string, lang string, page int, summary string, colspan int, rowspan int, has_content boolean, has_annots boolean",
+    "xmp": "path string, key string, value string",
+    "permissions": "path string, encrypted boolean, opened boolean, revision int, permissions int",
+    "signatures": "path string, field string, signed boolean, sub_filter string, signer string, reason string, signed_at string, ranges array<bigint>, covers_file boolean",
+    "errors": "path string, `table` string, error string",
 }
 
 _WHITE = b" \t\r\n\f\0"
@@ -180,8 +193,12 @@ class Keyword(str):
     pass
 
 
+# Where the encoding of text strings differs from Latin-1.
+_DOC = dict(zip(range(0x18, 0x20), "˘ˇˆ˙˝˛˚˜", strict=True)) | dict(zip(range(0x80, 0x9F), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž", strict=True)) | {0xA0: "€"}
+
+
 def text(v) -> str | None:
-    """A text string: UTF-16 or UTF-8 after their mark, else Latin."""
+    """A text string: UTF-16 or UTF-8 after their mark, else the encoding of such strings."""
     if isinstance(v, Name):
         return str(v)
     if not isinstance(v, bytes):
@@ -190,7 +207,7 @@ def text(v) -> str | None:
         return v[2:].decode("utf-16-be", "replace")
     if v[:3] == b"\xef\xbb\xbf":
         return v[3:].decode("utf-8", "replace")
-    return v.decode("latin-1")
+    return v.decode("latin-1").translate(_DOC)
 
 
 @dataclass
@@ -201,6 +218,9 @@ class Document:
     trailer: dict = field(default_factory=dict)
     repairs: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    #: Where each object was defined last: that of its stream for one inside an object stream.
+    places: dict[int, int] = field(default_factory=dict)
+    opened: bool = True
 
     def get(self, v, depth: int = 0):
         while isinstance(v, Ref) and depth < 64:
@@ -223,7 +243,10 @@ class Document:
         filters = [str(self.get(x)) for x in (f if isinstance(f, list) else [f] if f else [])]
         p = self.get(s.dict.get("DecodeParms", s.dict.get("DP")))
         parms = [{k: self.get(x) for k, x in self.dict(q).items()} for q in (p if isinstance(p, list) else [p] if p else [])]
-        return codecs.decode(s.raw, filters, parms)[0]
+        out, cut = codecs.decode(s.raw, filters, parms)
+        if cut and "a stream was cut off" not in self.warnings:
+            self.warnings.append("a stream was cut off")
+        return out
 
     @property
     def root(self) -> dict:
@@ -233,7 +256,46 @@ class Document:
 _OBJ = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
 
 
-def parse(data: bytes) -> Document:
+def _decrypt(doc: Document, password: str) -> None:
+    """Strings and streams of an encrypted file in place; ``opened`` says whether the password fits."""
+    ref = doc.trailer.get("Encrypt")
+    plain = lambda v: {k: plain(x) for k, x in v.items()} if isinstance(v := doc.get(v), dict) else v
+    ids = doc.list(doc.trailer.get("ID"))
+    handler = crypt.Handler(plain(ref) or {}, ids[0] if ids and isinstance(ids[0], bytes) else b"", password)
+    doc.opened = handler.key is not None
+    if not doc.opened:
+        return
+
+    def walk(v, num: int, gen: int):
+        if isinstance(v, bytes):
+            return handler.decrypt(v, num, gen, "string")
+        if isinstance(v, dict):
+            return {k: walk(x, num, gen) for k, x in v.items()}
+        return [walk(x, num, gen) for x in v] if isinstance(v, list) else v
+
+    own = ref.num if isinstance(ref, Ref) else None
+    for n, o in doc.objects.items():
+        gen = doc.gens.get(n, 0)
+        if n == own:
+            continue
+        if isinstance(o, Stream):
+            kind = o.dict.get("Type")
+            if kind == "XRef":
+                continue
+            raw = o.raw if kind == "Metadata" and not handler.meta else handler.decrypt(o.raw, n, gen, "stream")
+            doc.objects[n] = Stream(walk(o.dict, n, gen), raw)
+        else:
+            doc.objects[n] = walk(o, n, gen)
+
+
+def revision_ends(data: bytes) -> list[int]:
+    return [m.end() for m in re.finditer(rb"%%EOF[\r\n]*", data)]
+
+
+def parse(data: bytes, password: str = "", revision: int | None = None) -> Document:
+    if revision is not None:
+        ends = revision_ends(data)
+        data = data[: ends[revision - 1]] if 0 < revision <= len(ends) else b""
     doc = Document(data)
     if data[:1024].find(b"%PDF-") < 0:
         doc.repairs.append("no header")
@@ -263,6 +325,7 @@ def parse(data: bytes) -> Document:
             at = end
         doc.objects[int(m[1])] = value
         doc.gens[int(m[1])] = int(m[2])
+        doc.places[int(m[1])] = m.start()
     for m in re.finditer(rb"trailer\s*(?=<<)", data):
         try:
             t = Lexer(data, m.end()).object()
@@ -273,10 +336,11 @@ def parse(data: bytes) -> Document:
     for s in packed:
         if s.dict.get("Type") == "XRef":
             doc.trailer |= {k: v for k, v in s.dict.items() if k in ("Root", "Info", "Encrypt", "ID")}
-    if "Encrypt" not in doc.trailer:
-        for s in packed:
-            if s.dict.get("Type") == "ObjStm":
-                _open_object_stream(doc, s)
+    if "Encrypt" in doc.trailer:
+        _decrypt(doc, password)
+    if doc.opened:
+        for n in sorted((n for n, o in doc.objects.items() if isinstance(o, Stream) and o.dict.get("Type") == "ObjStm"), key=lambda n: doc.places[n]):
+            _open_object_stream(doc, doc.objects[n], doc.places[n])
     if not doc.root:
         found = next((n for n, o in doc.objects.items() if isinstance(o, dict) and o.get("Type") == "Catalog"), None)
         if found is not None:
@@ -285,17 +349,19 @@ def parse(data: bytes) -> Document:
     return doc
 
 
-def _open_object_stream(doc: Document, s: Stream) -> None:
+def _open_object_stream(doc: Document, s: Stream, place: int) -> None:
+    """Objects in a stream replace those defined before it in the file."""
     body = doc.stream(s)
     first, n = doc.get(s.dict.get("First")), doc.get(s.dict.get("N"))
     if not isinstance(first, int) or not isinstance(n, int):
         return
     heads = re.findall(rb"\d+", body[:first])[: 2 * n]
     for num, offset in zip(heads[::2], heads[1::2], strict=False):
-        if int(num) not in doc.objects:
+        if doc.places.get(int(num), -1) < place:
             try:
                 doc.objects[int(num)] = Lexer(body, first + int(offset)).object()
                 doc.gens[int(num)] = 0
+                doc.places[int(num)] = place
             except (Broken, RecursionError):
                 doc.repairs.append(f"object {int(num)}: unreadable in its stream")
 
@@ -455,6 +521,22 @@ def _fields(doc: Document, page_of: dict[int, int]) -> Iterator[tuple]:
         yield from walk(f, {}, "", 0)
 
 
+def _signature_fields(doc: Document) -> Iterator[tuple[str, dict]]:
+    def walk(ref, kind, name: str, depth: int) -> Iterator[tuple[str, dict]]:
+        node = doc.dict(ref)
+        kind = node.get("FT", kind)
+        part = text(doc.get(node.get("T")))
+        full = f"{name}.{part}" if name and part else part or name
+        kids = [k for k in doc.list(node.get("Kids")) if "T" in doc.dict(k)] if depth < 40 else []
+        if kind == "Sig" and not kids:
+            yield full, doc.dict(node.get("V"))
+        for k in kids:
+            yield from walk(k, kind, full, depth + 1)
+
+    for f in doc.list(doc.dict(doc.root.get("AcroForm")).get("Fields")):
+        yield from walk(f, None, "", 0)
+
+
 def _target(doc: Document, dest, page_of: dict[int, int]) -> int | None:
     dest = doc.get(dest)
     if isinstance(dest, dict):
@@ -482,9 +564,82 @@ def _name_tree(doc: Document, ref, depth: int = 0) -> Iterator[tuple[str, object
         yield from _name_tree(doc, kid, depth + 1)
 
 
-def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
+_XMP_PART = re.compile(r"<([A-Za-z][\w.-]*:[A-Za-z][\w.-]*)(?:\s[^>]*)?>([^<]*)</\1>", re.S)
+_XMP_SHORT = re.compile(r"\b((?!xmlns|rdf|xml)[A-Za-z][\w.-]*:[A-Za-z][\w.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_XMP_LIST = re.compile(r"<([A-Za-z][\w.-]*:[A-Za-z][\w.-]*)[^>]*>\s*<rdf:(?:Alt|Bag|Seq)>(.*?)</rdf:(?:Alt|Bag|Seq)>", re.S)
+
+
+def xmp(raw: bytes) -> Iterator[tuple[str, str]]:
+    """Keys and values of a metadata packet; lists give a row for each entry."""
+    from html import unescape
+
+    t = raw.decode("utf-8", "replace")
+    for m in _XMP_LIST.finditer(t):
+        for x in re.findall(r"<rdf:li[^>]*>(.*?)</rdf:li>", m[2], re.S):
+            yield m[1], unescape(x.strip())
+    rest = _XMP_LIST.sub("", t)
+    for m in _XMP_PART.finditer(rest):
+        if not m[1].startswith("rdf:"):
+            yield m[1], unescape(m[2].strip())
+    for m in _XMP_SHORT.finditer(" ".join(re.findall(r"<rdf:Description[^>]*>", rest))):
+        yield m[1], unescape(m[2] if m[2] is not None else m[3])
+
+
+def structure(doc: Document, page_of: dict[int, int]) -> Iterator[tuple]:
+    """Structure elements in preorder; role names are mapped to the standard ones."""
+    tree = doc.dict(doc.root.get("StructTreeRoot"))
+    roles = {k: str(doc.get(v)) for k, v in doc.dict(tree.get("RoleMap")).items()}
+    seen: set[int] = set()
+    n = 0
+    stack = [(tree.get("K"), None, None)]
+    out: list[list] = []
+    while stack:
+        ref, parent, page = stack.pop()
+        v = doc.get(ref)
+        if isinstance(v, list):
+            stack += [(x, parent, page) for x in reversed(v)]
+            continue
+        if isinstance(v, int):
+            if parent is not None:
+                out[parent][-2] = True
+            continue
+        if not isinstance(v, dict) or (isinstance(ref, Ref) and ref.num in seen):
+            continue
+        if isinstance(ref, Ref):
+            seen.add(ref.num)
+        if v.get("Type") in ("MCR", "OBJR"):
+            if parent is not None:
+                out[parent][-2 if v["Type"] == "MCR" else -1] = True
+            continue
+        kind = str(v.get("S", ""))
+        for _ in range(16):
+            if kind not in roles:
+                break
+            kind = roles[kind]
+        at = v.get("Pg")
+        page = page_of.get(at.num, page) if isinstance(at, Ref) else page
+        attrs = [doc.dict(a) for a in (doc.get(v.get("A")) if isinstance(doc.get(v.get("A")), list) else [v.get("A")])]
+        of = lambda k: next((doc.get(a[k]) for a in attrs if k in a), None)  # noqa: B023, E731
+        spans = [x if isinstance(x := of(k), int) else None for k in ("ColSpan", "RowSpan")]
+        out.append([n, parent, n, kind, text(doc.get(v.get("Alt"))), text(doc.get(v.get("ActualText"))), text(doc.get(v.get("T"))), text(doc.get(v.get("Lang"))), page, text(of("Summary")), *spans, False, False])
+        stack.append((v.get("K"), n, page))
+        n += 1
+    yield from map(tuple, out)
+
+
+def rows(path: str, data: bytes, table: str, password: str = "", revision: int | None = None) -> Iterator[tuple]:
     """Rows of one table of one file."""
-    doc = parse(data)
+    if table == "errors":
+        for t in SCHEMAS:
+            if t != "errors":
+                try:
+                    for _ in rows(path, data, t, password, revision):
+                        pass
+                except Exception as e:  # noqa: BLE001 - what is wrong is the result
+                    yield path, t, f"{type(e).__name__}: {e}"
+        return
+    doc = parse(data, password, revision)
+    data = doc.data
     pages = page_list(doc)
     page_of = {p["_ref"].num: i + 1 for i, p in enumerate(pages) if isinstance(p.get("_ref"), Ref)}
     encrypted = "Encrypt" in doc.trailer
@@ -495,7 +650,7 @@ def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
         js = bool(doc.dict(doc.root.get("Names")).get("JavaScript")) or any(isinstance(o, dict) and (o.get("S") == "JavaScript" or "JS" in o or "JS" in doc.dict(o.get("A"))) for o in doc.objects.values())
         marked = doc.get(doc.dict(doc.root.get("MarkInfo")).get("Marked")) is True
         xfa = None if "XFA" not in form else "dynamic" if doc.get(doc.root.get("NeedsRendering")) is True else "static"
-        yield path, len(data), str(doc.get(doc.root.get("Version")) or (version and version[1].decode()) or ""), *(None if encrypted else text(doc.get(info.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")), encrypted, marked, js, xfa, doc.warnings, doc.repairs
+        yield path, len(data), str(doc.get(doc.root.get("Version")) or (version and version[1].decode()) or ""), *(None if not doc.opened else text(doc.get(info.get(k))) for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")), encrypted, marked, js, xfa, doc.warnings, doc.repairs
         return
     if table == "revisions":
         ends = [m.end() for m in re.finditer(rb"%%EOF", data)]
@@ -508,7 +663,45 @@ def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
             d = o.dict if isinstance(o, Stream) else o if isinstance(o, dict) else {}
             yield path, n, doc.gens.get(n, 0), str(d["Type"]) if isinstance(d.get("Type"), Name) else None, repr(d if isinstance(o, Stream) else o), len(o.raw) if isinstance(o, Stream) else None
         return
-    if encrypted:
+    if table == "permissions":
+        e = doc.dict(doc.trailer.get("Encrypt"))
+        yield path, encrypted, doc.opened, doc.get(e.get("R")), doc.get(e.get("P")) if encrypted else None
+        return
+    if not doc.opened:
+        return
+    if table in ("glyphs", "words"):
+        for i, p in enumerate(pages):
+            got = pdftext.page_glyphs(doc, p, content(doc, p), operators)
+            if table == "glyphs":
+                for k, (t, r, line, space) in enumerate(got):
+                    yield path, i + 1, k, t, r, line, space
+                continue
+            words: list[list] = []
+            for t, r, line, space in got:
+                if words and words[-1][2] == line and not space:
+                    w = words[-1]
+                    w[0] += t
+                    w[1] = [min(w[1][0], r[0]), min(w[1][1], r[1]), max(w[1][2], r[2]), max(w[1][3], r[3])]
+                else:
+                    words.append([t, list(r), line])
+            for k, (t, r, line) in enumerate(words):
+                yield path, i + 1, k, t, r, line
+        return
+    if table == "boxes":
+        for i, p in enumerate(pages):
+            yield path, i + 1, *(_numbers([doc.get(x) for x in doc.list(p.get(k))]) or None for k in ("MediaBox", "CropBox", "BleedBox", "TrimBox", "ArtBox"))
+        return
+    if table == "structure":
+        yield from ((path, *r) for r in structure(doc, page_of))
+        return
+    if table == "xmp":
+        yield from ((path, k, v) for k, v in xmp(doc.stream(doc.root.get("Metadata"))))
+        return
+    if table == "signatures":
+        for name, value in _signature_fields(doc):
+            ranges = [x for x in doc.list(value.get("ByteRange")) if isinstance(x, int)]
+            covers = len(ranges) == 4 and ranges[0] == 0 and ranges[2] + ranges[3] == len(data)
+            yield path, name, bool(value), str(value["SubFilter"]) if "SubFilter" in value else None, text(doc.get(value.get("Name"))), text(doc.get(value.get("Reason"))), text(doc.get(value.get("M"))), ranges or None, covers
         return
     if table == "pages":
         labels = _labels(doc, len(pages))
@@ -535,12 +728,15 @@ def rows(path: str, data: bytes, table: str) -> Iterator[tuple]:
             yield path, *f
     elif table == "outline":
         stack = [(doc.dict(doc.root.get("Outlines")).get("First"), [0])]
-        steps = 0
-        while stack and steps < 100_000:
+        visited: set[int] = set()
+        while stack:
             ref, at = stack.pop()
-            node, steps = doc.dict(ref), steps + 1
-            if not node:
+            node = doc.dict(ref)
+            # a bookmark that comes again is a circle
+            if not node or (isinstance(ref, Ref) and ref.num in visited):
                 continue
+            if isinstance(ref, Ref):
+                visited.add(ref.num)
             dest = node.get("Dest") if "Dest" in node else doc.dict(node.get("A")).get("D")
             yield path, at, text(doc.get(node.get("Title"))), _target(doc, dest, page_of), (doc.get(node.get("Count")) or 0) > 0
             stack.append((node.get("Next"), [*at[:-1], at[-1] + 1]))
@@ -595,25 +791,57 @@ class _File(InputPartition):
 class PdfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.table = options.get("table", "documents")
-        self.per_task = int(options.get("filesPerTask", "16"))
+        self.per_task = int(options.get("filespertask", options.get("filesPerTask", "16")))
         self.path = options.get("path", "")
+        self.password = options.get("password", "")
+        revision = options.get("revision")
+        self.revision = int(revision) if revision else None
 
     def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
         files: list[str] = []
-        for p in self.path.split(","):
-            p = p.removeprefix("file://").removeprefix("file:")
-            files += sorted(glob.glob(os.path.join(p, "**", "*.pdf"), recursive=True)) if os.path.isdir(p) else sorted(glob.glob(p))
+        for p in filter(None, self.path.split(",")):
+            store, at = _store(p)
+            head, _, pattern = at.rpartition("/") if any(c in at for c in "*?[") else (at, "", "")
+            info = store.get_file_info(head)
+            if info.type == fs.FileType.Directory:
+                listed = sorted(x.path for x in store.get_file_info(fs.FileSelector(head, recursive=not pattern)) if x.type == fs.FileType.File)
+                files += [_address(p, x) for x in listed if (fnmatch.fnmatch(os.path.basename(x), pattern) if pattern else x.lower().endswith(".pdf"))]
+            elif info.type == fs.FileType.File:
+                files.append(p)
         return [_File(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)] or [_File([])]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         for p in partition.paths:
-            with open(p, "rb") as f:
+            store, at = _store(p)
+            with store.open_input_stream(at) as f:
                 data = f.read()
-            try:
-                yield from rows(p, data, self.table)
-            except Exception as e:  # noqa: BLE001 - one broken file must not fail the job
-                if self.table == "documents":
-                    yield p, len(data), "", *[None] * 6, False, False, False, None, [str(e)], []
+            yield from safe_rows(p.removeprefix("file://").removeprefix("file:"), data, self.table, self.password, self.revision)
+
+
+def _store(path: str):
+    """The file system of an address and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _address(asked: str, found: str) -> str:
+    """The whole address of a file found under an address."""
+    scheme, sep, rest = asked.partition("://")
+    if not sep or scheme == "file":
+        return found
+    return f"{scheme}://{rest.partition('/')[0]}{found if found.startswith('/') else '/' + found}" if scheme == "hdfs" else f"{scheme}://{found}"
+
+
+def safe_rows(path: str, data: bytes, table: str, password: str = "", revision: int | None = None) -> Iterator[tuple]:
+    """Rows as far as they can be read. What stops them is in the ``documents`` row and in the ``errors`` table."""
+    try:
+        yield from rows(path, data, table, password, revision)
+    except Exception as e:  # noqa: BLE001 - one broken file must not fail the job
+        if table == "documents":
+            yield path, len(data), "", *[None] * 6, False, False, False, None, [str(e)], []
 
 
 class PdfDataSource(DataSource):
@@ -628,21 +856,17 @@ class PdfDataSource(DataSource):
         return PdfReader(self.options)
 
 
-def from_binary(files, table: str):
+def from_binary(files, table: str, password: str = "", revision: int | None = None):
     """The same over a DataFrame of ``binaryFile``: for stores that only Spark can list, and for streams."""
 
     def run(frames):
         import pandas as pd
 
-        names = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", SCHEMAS[table])]
+        names = [x.strip().split()[0].strip("`") for x in re.split(r",(?![^<]*>)", SCHEMAS[table])]
         for f in frames:
             out = []
             for p, c in zip(f["path"], f["content"], strict=True):
-                try:
-                    out += rows(p, bytes(c), table)
-                except Exception as e:  # noqa: BLE001
-                    if table == "documents":
-                        out.append((p, len(c), "", *[None] * 6, False, False, False, None, [str(e)], []))
+                out += safe_rows(p, bytes(c), table, password, revision)
             yield pd.DataFrame(out, columns=names)
 
     return files.select("path", "content").mapInPandas(run, SCHEMAS[table])

@@ -1,12 +1,13 @@
 """Codecs and the document source, on files made here."""
 
+import hashlib
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkquarry.sources import codecs, pdf
+from inkquarry.sources import codecs, crypt, pdf
 
 
 @settings(max_examples=60, deadline=None)
@@ -129,3 +130,134 @@ def test_stream_of_files(spark, tmp_path):
     q = pdf_stream(spark, str(tmp_path / "in"), "pages").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and newest(spark, str(tmp_path / "in")).count() == 1
+
+
+def one(data: bytes, table: str, **options) -> list[tuple]:
+    return list(pdf.rows("x.pdf", data, table, **options))
+
+
+def test_objects_in_streams_follow_the_order_of_the_file():
+    old = make({1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[]>>", 9: b"<</Title(old)>>"})
+    packed = b"9 0 <</Title(new)>>"
+    newer = old + b"12 0 obj\n" + stream(packed, b"/Type/ObjStm/N 1/First 4") + b"\nendobj\n%%EOF\n"
+    newest = newer + b"9 0 obj\n<</Title(newest)>>\nendobj\n%%EOF\n"
+    assert [one(d, "documents")[0][3] for d in (old, newer, newest)] == ["old", "new", "newest"]
+    assert [one(newest, "documents", revision=r)[0][3] for r in (1, 2, 3)] == ["old", "new", "newest"]
+
+
+def test_text_strings():
+    assert pdf.text(b"a\x84b\xa0\x92\xe9") == "a—b€™é" and pdf.text(b"\xfe\xff\x00e\x03\x01") == "é"
+
+
+def page_file(content: bytes, fonts: dict[str, bytes], extra: dict[int, bytes] | None = None, page: bytes = b"") -> bytes:
+    refs = b"".join(b"/%s %d 0 R" % (k.encode(), 50 + i) for i, k in enumerate(fonts))
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[4 0 R]/MediaBox[0 0 400 500]>>", 4: b"<</Type/Page/Contents 10 0 R/Resources<</Font<<" + refs + b">>/XObject<</Fx 60 0 R>>>>" + page + b">>", 10: stream(content)}
+    return make(objects | {50 + i: v for i, v in enumerate(fonts.values())} | (extra or {}))
+
+
+PLAIN_FONT = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/FirstChar 32/Widths[" + b"500 " * 95 + b"]>>"
+
+
+def test_glyphs_and_words():
+    body = b"BT /F1 10 Tf 20 400 Td (One two) Tj 0 -14 Td [(th) -100 (ree) -600 (four)] TJ ET"
+    data = page_file(body, {"F1": PLAIN_FONT})
+    words = [(r[3], r[5]) for r in one(data, "words")]
+    assert words == [("One", 0), ("two", 0), ("three", 1), ("four", 1)]
+    glyphs = one(data, "glyphs")
+    assert glyphs[0][3] == "O" and glyphs[0][4] == pytest.approx([20, 92, 25, 102]) and glyphs[3][6] is True
+    # the same page turned: the view's left is the page's top
+    turned = one(page_file(body, {"F1": PLAIN_FONT}, page=b"/Rotate 180"), "glyphs")
+    assert {g[3] for g in turned} == {g[3] for g in glyphs} and turned[0][4][2] <= 380.1
+
+
+def test_columns_forms_and_right_to_left():
+    lines = b"".join(b"BT /F1 10 Tf %d %d Td (%s) Tj ET " % (x, 400 - 14 * y, w) for y, ws in enumerate([(b"left one here", b"right one here"), (b"left two here", b"right two here"), (b"left three", b"right three")]) for x, w in zip((20, 200), ws, strict=True))
+    words = [r[3] for r in one(page_file(lines, {"F1": PLAIN_FONT}), "words")]
+    assert words == "left one here left two here left three right one here right two here right three".split()
+    form = stream(b"BT /F1 10 Tf 20 40 Td (inner) Tj ET", b"/Subtype/Form/Matrix[1 0 0 1 0 100]")
+    assert [r[3] for r in one(page_file(b"q 1 0 0 1 5 5 cm /Fx Do Q", {"F1": PLAIN_FONT}, {60: form}), "words")] == ["inner"]
+    cmap = stream(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0001> <0004> <05D0> endbfrange")
+    font = b"<</Type/Font/Subtype/Type0/ToUnicode 61 0 R/DescendantFonts[<</DW 600>>]>>"
+    assert [r[3] for r in one(page_file(b"BT /F1 10 Tf 20 400 Td <0001000200030004> Tj ET", {"F1": font}, {61: cmap}), "words")] == ["דגבא"]
+    named = b"<</Type/Font/Subtype/Type1/Encoding<</Differences[1/eacute/Scaron/uni20AC/alpha/fi]>>/FirstChar 1/Widths[500 500 500 500 500]>>"
+    assert [r[3] for r in one(page_file(b"BT /F1 10 Tf 20 400 Td <0102030405> Tj ET", {"F1": named}), "words")] == ["éŠ€αfi"]
+
+
+def test_structure_boxes_metadata_and_signatures():
+    meta = b"<rdf:Description xmlns:pdf='p' pdf:Producer='Me &amp; you'><dc:title><rdf:Alt><rdf:li xml:lang='x-default'>A &lt;title&gt;</rdf:li></rdf:Alt></dc:title><pdfaid:part>2</pdfaid:part></rdf:Description>"
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R/Metadata 11 0 R/StructTreeRoot<</RoleMap<</Chart/Figure>>/K[12 0 R]>>/AcroForm<</Fields[<</T(sig)/FT/Sig/V<</SubFilter/adbe.pkcs7.detached/Name(Ann)/ByteRange[0 10 20 30]>>>>]>>>>",
+        2: b"<</Type/Pages/Kids[4 0 R]/MediaBox[0 0 10 20]>>", 4: b"<</Type/Page/TrimBox[1 1 9 19]>>", 11: stream(meta, b"/Type/Metadata"),
+        12: b"<</S/Document/Pg 4 0 R/K[<</S/Chart/Alt(a plan)/K 3>><</S/Table/A<</Summary(about)>>/K<</S/TD/A<</ColSpan 2>>/K<</Type/OBJR>>>>>>]>>",
+    }
+    data = make(objects)
+    assert one(data, "boxes") == [("x.pdf", 1, [0, 0, 10, 20], None, None, [1, 1, 9, 19], None)]
+    s = one(data, "structure")
+    assert [(r[1], r[2], r[4], r[5], r[9], r[10], r[11], r[13], r[14]) for r in s] == [
+        (0, None, "Document", None, 1, None, None, False, False), (1, 0, "Figure", "a plan", 1, None, None, True, False), (2, 0, "Table", None, 1, "about", None, False, False), (3, 2, "TD", None, 1, None, 2, False, True)]
+    assert dict(r[1:] for r in one(data, "xmp")) == {"dc:title": "A <title>", "pdfaid:part": "2", "pdf:Producer": "Me & you"}
+    assert one(data, "signatures") == [("x.pdf", "sig", True, "adbe.pkcs7.detached", "Ann", None, None, [0, 10, 20, 30], False)]
+    assert one(data, "permissions") == [("x.pdf", False, True, None, None)] and one(data, "errors") == []
+
+
+def locked(kind: str, user: bytes) -> bytes:
+    """A file with its title and content encrypted, made by the rules of the handler."""
+    file_id, p = b"0123456789abcdef", -44
+    pad = lambda x: (x + crypt._PAD)[:32]
+    iv = bytes(range(16))
+    if kind == "aes256":
+        key = bytes(range(32))
+        u = crypt._hash_r6(user, b"validate", b"") + b"validate" + b"keysalt!"
+        ue = crypt.cbc_encrypt(crypt._hash_r6(user, b"keysalt!", b""), key, bytes(16))
+        encrypt = b"<</Filter/Standard/V 5/R 6/Length 256/P -44/O<%s>/U<%s>/OE<%s>/UE<%s>/CF<</StdCF<</CFM/AESV3>>>>/StmF/StdCF/StrF/StdCF>>" % ((b"00" * 48), u.hex().encode(), b"00" * 32, ue.hex().encode())
+    else:
+        owner = hashlib.md5(pad(b"owner")).digest()
+        for _ in range(50):
+            owner = hashlib.md5(owner).digest()
+        o = pad(user)
+        for i in range(20):
+            o = crypt.rc4(bytes(b ^ i for b in owner), o)
+        key = hashlib.md5(pad(user) + o + (p & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        u = crypt.rc4(key, hashlib.md5(crypt._PAD + file_id).digest())
+        for i in range(1, 20):
+            u = crypt.rc4(bytes(b ^ i for b in key), u)
+        form = b"/V 2/R 3" if kind == "rc4" else b"/V 4/R 4/CF<</StdCF<</CFM/AESV2>>>>/StmF/StdCF/StrF/StdCF"
+        encrypt = b"<</Filter/Standard%s/Length 128/P -44/O<%s>/U<%s>>>" % (form, o.hex().encode(), (u + bytes(16)).hex().encode())
+
+    def lock(data: bytes, num: int) -> bytes:
+        if kind == "rc4":
+            return crypt.rc4(hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0").digest()[:16], data)
+        k = key if kind == "aes256" else hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0sAlT").digest()[:16]
+        n = 16 - len(data) % 16
+        return iv + crypt.cbc_encrypt(k, data + bytes([n]) * n, iv)
+
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[4 0 R]/MediaBox[0 0 400 500]>>", 4: b"<</Type/Page/Contents 10 0 R/Resources<</Font<</F1 50 0 R>>>>>>",
+        9: b"<</Title<%s>>>" % lock(b"secret", 9).hex().encode(), 10: stream(lock(b"BT /F1 10 Tf 20 400 Td (hidden words) Tj ET", 10)), 50: PLAIN_FONT, 70: encrypt,
+    }
+    return make(objects, b"<</Root 1 0 R/Info 9 0 R/Encrypt 70 0 R/ID[<%s><%s>]>>" % (file_id.hex().encode(), file_id.hex().encode()))
+
+
+@pytest.mark.parametrize("kind", ["rc4", "aes128", "aes256"])
+@pytest.mark.parametrize("user", [b"", b"open sesame"])
+def test_encrypted_files(kind, user):
+    data = locked(kind, user)
+    opened = one(data, "documents", password=user.decode())[0]
+    assert opened[3] == "secret" and opened[9] is True
+    assert [r[3] for r in one(data, "words", password=user.decode())] == ["hidden", "words"]
+    assert one(data, "permissions", password=user.decode())[0][1:] == (True, True, 6 if kind == "aes256" else 3 if kind == "rc4" else 4, -44)
+    assert one(data, "words", password="wrong") == [] and one(data, "documents", password="wrong")[0][3] is None
+    if kind != "aes256":
+        assert one(data, "documents", password="owner")[0][3] == "secret"
+
+
+def test_block_cipher():
+    # the examples of the published standard
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (24, "dda97ca4864cdfe06eaf70a0ec0d7191"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = crypt.Aes(bytes(range(n)))
+        assert aes.encrypt(block).hex() == want and aes.decrypt(aes.encrypt(block)) == block
+    data = bytes(range(200))
+    assert crypt.rc4(b"key", crypt.rc4(b"key", data)) == data
