@@ -157,16 +157,19 @@ def suspicious(text):
 
 
 def tokens(units: DataFrame) -> DataFrame:
-    """``UNIT`` and ``token``: the blank-separated tokens that hold more than ASCII, or a question mark."""
-    t = F.explode(F.split("text", r"[ \t\r\n\f]+")).alias("token")
-    return units.where(suspicious(F.col("text"))).select(*UNIT, "text", t).where(F.col("token").rlike(r"[^\x00-\x7F]|\?"))
+    """``UNIT``, ``home`` and ``token``: the blank-separated tokens that hold more than ASCII, or a question mark, with the script of their text."""
+    split = units.where(suspicious(F.col("text"))).select(*UNIT, F.split("text", r"[ \t\r\n\f]+").alias("all"), home_script(F.col("text")).alias("home"))
+    some = F.filter("all", lambda t: t.rlike(r"[^\x00-\x7F]|\?"))
+    return split.select(*UNIT, "home", F.explode(some).alias("token"))
 
 
 def home_script(text):
     """The script of most letters of a text: C for Cyrillic, G for Greek, L for all others, nothing without letters."""
-    n = {s: F.length(F.regexp_replace(text, f"[^{of}]", "")) for s, of in (("C", r"\p{IsCyrillic}"), ("G", r"\p{IsGreek}"), ("L", r"\p{L}"))}
+    n = {s: F.length(F.regexp_replace(text, f"[^{of}]+", "")) for s, of in (("C", r"\p{IsCyrillic}"), ("G", r"\p{IsGreek}"), ("L", r"\p{L}"))}
     latin = n["L"] - n["C"] - n["G"]
-    return F.when(n["L"] == 0, "").when(n["C"] > F.greatest(n["G"], latin), "C").when(n["G"] > F.greatest(n["C"], latin), "G").otherwise("L")
+    other = F.when(n["L"] == 0, "").when(n["C"] > F.greatest(n["G"], latin), "C").when(n["G"] > F.greatest(n["C"], latin), "G").otherwise("L")
+    # most texts have letters of neither script: told without counting
+    return F.when(text.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), other).when(text.rlike(r"\p{L}"), "L").otherwise("")
 
 
 _FORM = "form string, by string, original string, chain string, n bigint"
@@ -327,7 +330,7 @@ def garbled(units: DataFrame) -> DataFrame:
     script of the text's other letters but the form isn't.
     """
     # each step reads a written table: without that the plan repeats itself at every join
-    toks = stored(tokens(units).withColumn("home", home_script(F.col("text"))).drop("text"), "encodings-tokens")
+    toks = stored(tokens(units), "encodings-tokens")
     words = stored(toks.groupBy("token").agg(F.count("*").alias("n")), "encodings-words")
     hits = toks.join(garbled_tokens(words).hint("merge"), "token")
     of_chain = F.collect_set(F.struct("chain", "token"))
