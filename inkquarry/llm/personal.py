@@ -345,7 +345,7 @@ def with_names(proposed: DataFrame) -> DataFrame:
     b = stats.select(F.col("word").alias("w2"), F.col("n_first").alias("f2"), F.col("n_last").alias("l2"))
     names, rest = s.where("kind = 'person_name'"), s.where("kind <> 'person_name'")
     named = F.array(*(F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(5)).cast("float") for c in ("f1", "l1", "f2", "l2")))
-    joined = names.join(a, "w1", "left").join(b, "w2", "left").withColumn("features", F.concat("features", named))
+    joined = names.join(a.hint("merge"), "w1", "left").join(b.hint("merge"), "w2", "left").withColumn("features", F.concat("features", named))
     f, comma, titled = F.col("features"), F.col("features")[19] > 0, F.col("features")[24] > 0
     known_first = F.when(comma, f[N_FEATURES + 2] > f[N_FEATURES + 3]).otherwise(f[N_FEATURES] > f[N_FEATURES + 1])
     initial = f[25] > 0
