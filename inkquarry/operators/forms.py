@@ -25,9 +25,13 @@ def spreadsheet(fields: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select("doc_id", *(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
 
-def first_seen(fields: DataFrame, most: int = 5000) -> list[str]:
-    """Field names by first document and name. Names are schema: their number is checked."""
-    rows = fields.where(F.col("kind").isin(*EXPORTED)).groupBy("name").agg(F.min("doc_id").alias("d")).orderBy("d", "name").select("name").take(most + 1)
+def first_seen(fields: DataFrame, most: int = 5000, order: str = "ord") -> list[str]:
+    """Field names in the order in which they are first seen: by document, then by position in the file where ``order`` is a column, else by name.
+
+    Names are schema: their number is checked.
+    """
+    at = F.col(order) if order in fields.columns else F.lit(0)
+    rows = fields.where(F.col("kind").isin(*EXPORTED)).groupBy("name").agg(F.min(F.struct(F.col("doc_id").alias("d"), at.alias("at"))).alias("x")).orderBy("x", "name").select("name").take(most + 1)
     if len(rows) > most:
         raise ValueError(f"more than {most} field names: export in long form instead")
     return [r[0] for r in rows]
@@ -75,12 +79,28 @@ def _xml(t: Column) -> Column:
     return t
 
 
-def to_xfdf(fields: DataFrame) -> DataFrame:
-    """``doc_id, xml``: field values of every document."""
+def _body(rows: DataFrame, element: Column, order: list[str], name: str) -> DataFrame:
+    """``doc_id`` and the elements of a document one after the other."""
+    each = rows.select("doc_id", F.struct(*order, element.alias("x")).alias("s"))
+    return each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias(name))
+
+
+def to_xfdf(fields: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """``doc_id, xml``: field values and, if given, comments of every document."""
     v = F.concat(F.lit('<field name="'), _xml(F.col("name")), F.lit('">'), F.array_join(F.transform(F.coalesce("value", F.array().cast("array<string>")), lambda x: F.concat(F.lit("<value>"), _xml(F.coalesce(x, F.lit(""))), F.lit("</value>"))), ""), F.lit("</field>"))
-    f = once(fields).where(F.col("kind").isin(*EXPORTED)).select("doc_id", F.struct("name", v.alias("x")).alias("s"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "")
-    return f.groupBy("doc_id").agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>'), body, F.lit("</fields></xfdf>")).alias("xml"))
+    f = _body(once(fields).where(F.col("kind").isin(*EXPORTED)), v, ["name"], "f")
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/">', "</xfdf>"
+    part = lambda c, tag: F.concat(F.lit(f"<{tag}>"), F.coalesce(F.col(c), F.lit("")), F.lit(f"</{tag}>"))
+    if annotations is None:
+        return f.select("doc_id", F.concat(F.lit(head), part("f", "fields"), F.lit(tail)).alias("xml"))
+    tag = F.lower("subtype")
+    attribute = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), _xml(c.cast("string")), F.lit('"')), F.lit(""))
+    a = F.concat(
+        F.lit("<"), tag, attribute("page", F.col("page") - 1), attribute("rect", F.array_join(F.col("rect").cast("array<string>"), ",")), attribute("name", F.col("name")), attribute("title", F.col("author")),
+        attribute("inreplyto", F.col("in_reply_to")), attribute("state", F.col("state")), F.lit("><contents>"), _xml(F.coalesce("contents", F.lit(""))), F.lit("</contents></"), tag, F.lit(">"),
+    )
+    both = f.join(_body(annotations.where("subtype is not null"), a, ["page", "index"], "a"), "doc_id", "full_outer")
+    return both.select("doc_id", F.concat(F.lit(head), part("f", "fields"), part("a", "annots"), F.lit(tail)).alias("xml"))
 
 
 def to_fdf(fields: DataFrame) -> DataFrame:

@@ -112,11 +112,29 @@ def word_tables(spark, d):
     return layout.tables(segs)
 
 
+@R.query("table_cells", """SELECT c_custkey AS doc_id, 1 AS page, 0 AS "table", CAST(r AS INTEGER) AS row, CAST(k AS INTEGER) AS "column", c_name || '/' || r || '/' || k AS text FROM customer, range(3) a(r), range(2) b(k)""")
+def table_cells(spark, d):
+    """A grid of three rows and two columns under a heading, on a page for each customer."""
+    cells = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(k).alias("k")) for r in range(3) for k in range(2)))).alias("x")
+    cust = table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), F.lit(1).alias("page"), "c_name", (c("c_custkey") % 3).alias("off"))
+    box = lambda x0, y0, wide: F.array(*(v.cast("double") for v in (x0, y0, x0 + wide, y0 + 10)))
+    grid = cust.select("doc_id", "page", "c_name", "off", cells).select("doc_id", "page", F.concat_ws("/", "c_name", "x.r", "x.k").alias("text"), box(c("off") + 50 + c("x.k") * 100 + c("x.r"), c("x.r") * 20 + 40, 40).alias("rect"))
+    head = cust.select("doc_id", "page", F.lit("heading").alias("text"), box(F.lit(50), F.lit(10), 200).alias("rect"))
+    return layout.tables(grid.unionByName(head))
+
+
 @R.query("form_field_candidates")
 def form_field_candidates(spark, d):
     return layout.field_candidates(glyph_lines(table(spark, d, "glyphs")))
 
 
+@R.query("fields_to_fill", """SELECT c_custkey AS doc_id, 1 AS page, 0 AS line, CASE c_custkey % 4 WHEN 1 THEN 'checkbox' ELSE 'text' END AS kind, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'I am ' || c_name ELSE '' END AS label FROM customer WHERE c_custkey % 4 <> 2""")
+def fields_to_fill(spark, d):
+    n = c("c_custkey") % 4
+    lines = table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.when(n == 0, F.concat("c_name", F.lit(": ______ please"))).when(n == 1, F.concat(F.lit("[ ] I am "), "c_name")).when(n == 2, "nothing to fill in").otherwise("____ Signature").alias("text"))
+    return layout.field_candidates(lines)
+
+
 # page sets
 
 
@@ -304,7 +322,8 @@ def reachability_claims(spark, d):
     return sets.claims(n.select(c("n_nationkey").alias("src"), ((c("n_nationkey") * 2) % 25).alias("dst")), n.where("n_nationkey < 10").select(c("n_nationkey").alias("id"), c("n_regionkey").alias("priority")))
 
 
-@R.query("dedupe_structure")
+@R.query("dedupe_structure", """WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 2 AS up, p_type AS form FROM part UNION ALL SELECT w.id, w.up // 2, w.form || '/' || p.p_type FROM w JOIN part p ON p.p_partkey = w.up),
+  f AS (SELECT id, arg_max(form, length(form)) AS form FROM w GROUP BY id) SELECT id, min(id) OVER (PARTITION BY form) AS keep FROM f""")
 def dedupe_structure(spark, d):
     o = table(spark, d, "part").select(c("p_partkey").alias("id"), c("p_type").alias("content"), F.when(c("p_partkey") > 0, F.array((c("p_partkey") / 2).cast("bigint"))).alias("refs"))
     return sets.dedupe_structure(o)
@@ -398,7 +417,7 @@ def form_xfdf(spark, d):
     return forms.to_xfdf(table(spark, d, "fields"))
 
 
-@R.query("form_fdf")
+@R.query("form_fdf", f"SELECT doc_id, '%FDF-1.2' || chr(10) || '1 0 obj' || chr(10) || '<</FDF<</Fields[' || chr(10) || string_agg('<</T(' || regexp_replace(name, '([\\\\()])', '\\\\\\1', 'g') || ')/V(' || regexp_replace(CASE WHEN kind IN ('checkbox', 'radio') AND coalesce(array_to_string(value, ', '), '') = '' THEN 'Off' ELSE coalesce(array_to_string(value, ', '), '') END, '([\\\\()])', '\\\\\\1', 'g') || ')>>', chr(10) ORDER BY name) || chr(10) || ']>>>>' || chr(10) || 'endobj' || chr(10) || 'trailer' || chr(10) || '<</Root 1 0 R>>' || chr(10) || '%%EOF' || chr(10) AS fdf FROM {_F} WHERE kind IN ('text', 'checkbox', 'radio', 'list', 'combo') GROUP BY doc_id")
 def form_fdf(spark, d):
     return forms.to_fdf(table(spark, d, "fields"))
 

@@ -168,6 +168,13 @@ def import_fdf(spark, d):
     return read.select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "name", "value")
 
 
+@R.query("import_comments", f"WITH a AS {_A} SELECT doc_id, page, name, author, in_reply_to, state, contents || ' <&>' AS contents, rect FROM a")
+def import_comments(spark, d):
+    a = _annotations(spark, d).withColumn("contents", F.concat("contents", F.lit(" <&>")))
+    read = formdata.comments(_written(forms.to_xfdf(table(spark, d, "fields"), a), "xml", ".xfdf"))
+    return read.select(F.substring_index("path", ".", 1).cast("bigint").alias("doc_id"), "page", "name", "author", "in_reply_to", "state", "contents", "rect")
+
+
 @R.query("import_csv", "SELECT c_custkey, 'name' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'a \"b\", c', c_mktsegment || chr(10) || c_nationkey FROM customer")
 def import_csv(spark, d):
     q = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -133,6 +133,38 @@ def read_any(path: str, data: bytes) -> list[tuple[str, str]]:
     return []
 
 
+_COMMENT = "path string, seq int, page int, subtype string, name string, author string, in_reply_to string, state string, contents string, rect array<double>"
+
+
+def read_comments(data: bytes) -> Iterator[tuple]:
+    """(page from 1, subtype, name, author, in_reply_to, state, contents, rect) of the comments in an XFDF file."""
+    try:
+        root = ET.fromstring(data)
+    except ET.ParseError:
+        return
+    for annots in root:
+        if _SPACES.sub("", annots.tag) != "annots":
+            continue
+        for e in annots:
+            page, rect = e.get("page", ""), [x for x in e.get("rect", "").split(",") if re.fullmatch(r"-?[\d.]+", x)]
+            text = next(("".join(k.itertext()) for k in e if _SPACES.sub("", k.tag) == "contents"), None)
+            yield int(page) + 1 if page.isdigit() else None, _SPACES.sub("", e.tag), e.get("name"), e.get("title"), e.get("inreplyto"), e.get("state"), text, [float(x) for x in rect] if len(rect) == 4 else None
+
+
+def comments(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """The comments of XFDF files in binary rows, in the order of the file."""
+    types = (pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.list_(pa.float64()))
+    names = ["path", "seq", "page", "subtype", "name", "author", "in_reply_to", "state", "contents", "rect"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, i, *r) for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if p is not None and data for i, r in enumerate(read_comments(data))]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return files.select(F.col(path), F.col(content).cast("binary")).mapInArrow(run, _COMMENT)
+
+
 _OUT = "path string, seq int, name string, value string"
 
 
