@@ -474,6 +474,7 @@ BUILTINS: Mapping[str, Callable[..., Column]] = {
 
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>\"(?:[^\"]|\"\")*\")|(?P<id>[A-Za-z_$][\w.$]*)|(?P<op><=|>=|<>|==|[-+*/()<>=,;&|\[\]]))")
 _LITERAL = {"null", "true", "false"}
+_WORDS = set("if then elseif else endif for foreach while do endfor endwhile upto downto step in var func endfunc and or not eq ne lt le gt ge".split())
 _DEPTH = 64
 
 
@@ -774,3 +775,15 @@ class Compiler:
 def formcalc(script: str, fields: Mapping[str, Column], lists: Mapping[str, Column] | None = None) -> Column:
     """A script over columns, compiled once on the driver."""
     return Compiler(fields, lists).compile(script)
+
+
+def names(script: str) -> list[str]:
+    """The names in a script that are neither functions nor words of the language nor its own variables."""
+    text = re.sub(r"(?m)(//|;;).*$", "", script)
+    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(text)]
+    own = {b[1].lower() for a, b in zip(tokens, tokens[1:], strict=False) if a[1].lower() == "var"}
+    out = []
+    for (kind, word), after in zip(tokens, [*tokens[1:], ("", "")], strict=True):
+        if kind == "id" and after[1] != "(" and word.lower() not in own | _LITERAL | _WORDS and word not in out:
+            out.append(word)
+    return out

@@ -322,7 +322,7 @@ def reachability_claims(spark, d):
     return sets.claims(n.select(c("n_nationkey").alias("src"), ((c("n_nationkey") * 2) % 25).alias("dst")), n.where("n_nationkey < 10").select(c("n_nationkey").alias("id"), c("n_regionkey").alias("priority")))
 
 
-@R.query("dedupe_structure", """WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 2 AS up, p_type AS form FROM part UNION ALL SELECT w.id, w.up // 2, w.form || '/' || p.p_type FROM w JOIN part p ON p.p_partkey = w.up),
+@R.query("dedupe_structure", """WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey AS at, p_type AS form FROM part UNION ALL SELECT w.id, p.p_partkey, w.form || '/' || p.p_type FROM w JOIN part p ON p.p_partkey = w.at // 2 WHERE w.at > 0),
   f AS (SELECT id, arg_max(form, length(form)) AS form FROM w GROUP BY id) SELECT id, min(id) OVER (PARTITION BY form) AS keep FROM f""")
 def dedupe_structure(spark, d):
     o = table(spark, d, "part").select(c("p_partkey").alias("id"), c("p_type").alias("content"), F.when(c("p_partkey") > 0, F.array((c("p_partkey") / 2).cast("bigint"))).alias("refs"))

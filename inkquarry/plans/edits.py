@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import comments, edits, forms, pages
+from ..operators import actions, comments, edits, forms, pages
 from ..operators.textlines import glyph_lines
 from ..sources.tables import table
 from .registry import Registry
@@ -422,6 +422,48 @@ def edit_batch(spark, d):
     return edits.batch({"annotations": a}, steps)["annotations"].select("doc_id", "page", "name", "index", "locked")
 
 
+# pipelines
+
+
+@R.query("action_page_numbers", f"SELECT doc_id, page, 'Page ' || page || ' of ' || max(page) OVER (PARTITION BY doc_id) AS footer FROM {_P}")
+def action_page_numbers(spark, d):
+    p = table(spark, d, "pdf_pages").select("doc_id", "page").distinct()
+    return actions.run({"pages": p}, "Add Page Numbers")["pages"].select("doc_id", "page", "footer")
+
+
+@R.query("action_distribution", f"SELECT doc_id, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BOOLEAN) AS has_javascript FROM {_D}")
+def action_distribution(spark, d):
+    t = {"files": table(spark, d, "pdf_files").dropDuplicates(["doc_id"]), "fields": _fields(spark, d), "annotations": _annotations(spark, d)}
+    return actions.run(t, "Prepare for Distribution")["files"].select("doc_id", "title", "has_javascript")
+
+
+@R.query("action_titles", f"SELECT doc_id, 'One title' AS title FROM {_D}")
+def action_titles(spark, d):
+    return actions.run({"files": table(spark, d, "pdf_files").dropDuplicates(["doc_id"])}, [actions.set_title("One title")])["files"].select("doc_id", "title")
+
+
+@R.query("action_script", "SELECT c_custkey AS doc_id, 'total' AS name, [CAST(c_custkey * 3 + c_nationkey AS VARCHAR)] AS value FROM customer UNION ALL SELECT c_custkey, 'a', [CAST(c_custkey AS VARCHAR)] FROM customer UNION ALL SELECT c_custkey, 'b', [CAST(c_nationkey AS VARCHAR)] FROM customer")
+def action_script(spark, d):
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.array(v.cast("string")).alias("value")) for n, v in (("a", c("c_custkey")), ("b", c("c_nationkey")), ("total", F.lit(None)))))).alias("x")
+    f = table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), values).select("doc_id", "x.*")
+    return actions.run({"fields": f}, [actions.run_script("total", "var t = a * 3\nt + b")])["fields"].select("doc_id", "name", "value")
+
+
+@R.query("action_fields", "SELECT c_custkey AS doc_id, CASE c_custkey % 2 WHEN 0 THEN 'Name_p1_l0' ELSE 'I agree_p1_l0' END AS name, CASE c_custkey % 2 WHEN 0 THEN 'text' ELSE 'checkbox' END AS kind FROM customer")
+def action_fields(spark, d):
+    lines = table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.when(c("c_custkey") % 2 == 0, "Name: ______").otherwise("[ ] I agree").alias("text"))
+    none = lines.where("false").select("doc_id", F.lit("").alias("name"), F.lit("").alias("kind"), "page")
+    return actions.run({"lines": lines, "fields": none}, [actions.detect_fields()])["fields"].select("doc_id", "name", "kind")
+
+
+@R.query("corpus_check", "SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN 'open-error: no header' WHEN c_custkey % 5 = 1 THEN 'page-errors' ELSE 'ok' END AS status FROM customer")
+def corpus_check(spark, d):
+    k = c("c_custkey") % 5
+    docs = table(spark, d, "customer").select(c("c_name").alias("path"), F.when(k > 0, "1.7").otherwise("").alias("pdf_version"), F.array().cast("array<string>").alias("warnings"))
+    errors = table(spark, d, "customer").where(k == 1).select(c("c_name").alias("path"), F.explode(F.array(F.lit("pages"), F.lit("words"))).alias("table"))
+    return actions.check(docs, errors)
+
+
 # measurements: a line from corner to corner of every annotation, scales for halves of pages
 
 
