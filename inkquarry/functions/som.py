@@ -18,7 +18,7 @@ _PART = re.compile(r"(\.\.|\.)?([^.\[\]]+)(?:\[(\*|\d+)\])?")
 def pattern(expression: str) -> str:
     """A regular expression over whole paths for an expression that begins at the root."""
     out, at = "^", 0
-    text = re.sub(r"^\$(form|record|data)\.?", "", expression)
+    text = re.sub(r"^\$(form|record|data)\b", "", expression)
     first = True
     if text != expression and not text:
         return r"^[^.]+$"

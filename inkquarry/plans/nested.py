@@ -14,7 +14,26 @@ def _records(spark, d):
     return x, S.collect_plan(x, "raw", S.XFA)
 
 
-@R.query("p1_found")
+_NODES = r"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT rec_id, CAST(arg_max(raw, (received_at, raw)) AS JSON) AS v FROM xfa_records WHERE rec_id IS NOT NULL AND json_valid(raw) GROUP BY rec_id),
+  walk AS (SELECT rec_id, '' AS parent, []::INTEGER[] AS ord, v FROM r
+    UNION ALL
+    SELECT rec_id, x.parent, x.ord, x.v FROM (SELECT w.rec_id, unnest(CASE json_type(w.v)
+        WHEN 'ARRAY' THEN list_transform(range(json_array_length(w.v)::INTEGER), lambda i: {'parent': w.parent, 'ord': list_append(w.ord, i::INTEGER), 'v': json_extract(w.v, '$[' || i || ']')})
+        WHEN 'VARCHAR' THEN CASE WHEN json_valid(w.v ->> '$') AND left(w.v ->> '$', 1) IN ('[', '{') THEN [{'parent': w.parent, 'ord': w.ord, 'v': CAST(w.v ->> '$' AS JSON)}] END
+        WHEN 'OBJECT' THEN CASE WHEN w.parent <> '' OR len(list_filter(json_keys(w.v), lambda k: lower(k) IN ('children', 'som', 'kind'))) > 0
+          THEN list_transform(list_filter(json_keys(w.v), lambda k: lower(k) = 'children'), lambda k: {'parent': w.parent || '/' || array_to_string(w.ord, ','), 'ord': []::INTEGER[], 'v': json_extract(w.v, '$."' || k || '"')})
+          ELSE list_transform(list_filter(json_keys(w.v), lambda k: lower(k) IN ('xfa', 'form')), lambda k: {'parent': w.parent, 'ord': w.ord, 'v': json_extract(w.v, '$."' || k || '"')}) END END) AS x FROM walk w)),
+  n AS MATERIALIZED (SELECT rec_id, parent, parent || '/' || array_to_string(ord, ',') AS id, ord, coalesce(nullif(json_extract_string(v, '$."' || list_filter(json_keys(v), lambda k: lower(k) = 'name')[1] || '"'), ''),
+      nullif(regexp_replace(split_part(json_extract_string(v, '$."' || list_filter(json_keys(v), lambda k: lower(k) = 'som')[1] || '"'), '.', -1), '\[[^\]]*\]$', ''), ''),
+      '#' || coalesce(json_extract_string(v, '$."' || list_filter(json_keys(v), lambda k: lower(k) = 'kind')[1] || '"'), '')) AS seg
+    FROM walk WHERE json_type(v) = 'OBJECT' AND (parent <> '' OR len(list_filter(json_keys(v), lambda k: lower(k) IN ('children', 'som', 'kind'))) > 0)),
+  s AS MATERIALIZED (SELECT rec_id, parent, id, seg || '[' || (row_number() OVER (PARTITION BY rec_id, parent, seg ORDER BY ord) - 1) || ']' AS seg FROM n),
+  p AS (SELECT rec_id, id, seg AS som, '' AS parent_som FROM s WHERE parent = '' UNION ALL SELECT s.rec_id, s.id, p.som || '.' || s.seg, p.som FROM p JOIN s ON s.rec_id = p.rec_id AND s.parent = p.id)
+SELECT rec_id, som, parent_som FROM p"""
+
+
+@R.query("p1_found", _NODES)
 def p1_found(spark, d):
     x, plan = _records(spark, d)
     return S.shred(x, "rec_id", "raw", S.XFA, plan, "node", "node", [], "received_at").select("rec_id", F.col("path").alias("som"), F.col("parent_path").alias("parent_som"))
