@@ -27,6 +27,16 @@ def make_number(text: Column) -> Column:
     return F.when(negative, -v).otherwise(v)
 
 
+def js_number(v: Column) -> Column:
+    """A number as scripts print it: no fraction where there is none, exponents from 1e21 up and below 1e-6."""
+    size = F.abs(v)
+    plain = F.when((v == F.floor(v)) & (size < 1e15), v.cast("bigint").cast("string"))
+    digits = F.regexp_replace(F.regexp_replace(v.cast("decimal(38,17)").cast("string"), r"0+$", ""), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(v.cast("string"), r"\.0E", "E"), r"E(?=\d)", "e+")
+    power = F.replace(power, F.lit("E-"), F.lit("e-"))
+    return F.when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity").when(plain.isNotNull(), plain).when((size >= 1e21) | (size < 1e-6), power).when(size >= 1e15, v.cast("decimal(38,0)").cast("string")).when(v.cast("string").contains("E"), digits).otherwise(v.cast("string"))
+
+
 def number_text(v: Column, decimals: int = 2, style: int = 0) -> Column:
     """Absolute value with a separator style: 0 1,234.56; 1 1234.56; 2 1.234,56; 3 1234,56; 4 1'234.56. Halves go away from zero."""
     group, point = _GROUP.get(style, _GROUP[0])

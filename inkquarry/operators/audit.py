@@ -78,3 +78,22 @@ def sniff(name: Column, data: Column) -> Column:
     image = image | (head.startswith("424D") & F.substring(head, 29, 8).isin("0C000000", "28000000", "34000000", "38000000", "6C000000", "7C000000"))
     text = F.lower(name).rlike(r"\.te?xt$")
     return F.when(head.rlike("^(?:..)*255044462D"), "pdf").when(image, "image").when(text, "text")
+
+
+def whole(v: Column) -> Column:
+    """A number without a fraction as a whole one, else null."""
+    return F.when((v == F.floor(v)) & (F.abs(v) < 2**53), v.cast("bigint"))
+
+
+def device_colours(ops: DataFrame) -> DataFrame:
+    """``doc_id, device_rgb, device_cmyk``: whether content operators ``doc_id, op`` set device colours (grey counts with RGB)."""
+    op = F.col("op")
+    return ops.groupBy("doc_id").agg(F.coalesce(F.bool_or(op.isin("rg", "RG", "g", "G")), F.lit(False)).alias("device_rgb"), F.coalesce(F.bool_or(op.isin("k", "K")), F.lit(False)).alias("device_cmyk"))
+
+
+def declared(xmp: DataFrame) -> DataFrame:
+    """``doc_id, archive, accessible``: the standards that metadata ``doc_id, key, value`` claims, as ``2b`` and ``1``; null where there is none."""
+    keys = ["pdfaid:part", "pdfaid:conformance", "pdfuaid:part"]
+    wide = xmp.groupBy("doc_id").pivot("key", keys).agg(F.min(F.trim("value")))
+    part, level, ua = (F.col(f"`{k}`") for k in keys)
+    return wide.select("doc_id", F.concat(part, F.lower(F.coalesce(level, F.lit("")))).alias("archive"), ua.alias("accessible"))

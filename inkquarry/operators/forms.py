@@ -109,3 +109,25 @@ def to_fdf(fields: DataFrame) -> DataFrame:
     f = once(fields).where(F.col("kind").isin(*EXPORTED)).select("doc_id", F.struct("name", F.concat(F.lit("<</T("), F.regexp_replace("name", r"([\\()])", r"\\$1"), F.lit(")/V("), esc, F.lit(")>>")).alias("x")).alias("s"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "\n")
     return f.groupBy("doc_id").agg(F.concat(F.lit("%FDF-1.2\n1 0 obj\n<</FDF<</Fields[\n"), body, F.lit("\n]>>>>\nendobj\ntrailer\n<</Root 1 0 R>>\n%%EOF\n")).alias("fdf"))
+
+
+def properties(fields: DataFrame) -> DataFrame:
+    """What scripts ask of a field: ``doc_id, name, type, value_as_string, read_only, required, char_limit, num_items, export_values, current_indices, checked``."""
+    none = F.array().cast("array<string>")
+    options = F.coalesce("options", F.expr("cast(array() as array<struct<export_value:string,display_text:string>>)"))
+    codes = F.transform(options, lambda o: F.coalesce(o["export_value"], o["display_text"]))
+    values = F.coalesce("value", none)
+    flag = lambda bit: F.coalesce(F.col("flags").bitwiseAND(1 << bit) != 0, F.lit(False))
+    at = F.filter(F.transform(values, lambda v: (F.array_position(codes, v) - 1).cast("int")), lambda i: i >= 0)
+    boxes = F.col("kind").isin("checkbox", "radio")
+    return fields.select(
+        "doc_id", "name", F.col("kind").alias("type"), F.array_join(values, ", ").alias("value_as_string"), flag(0).alias("read_only"), flag(1).alias("required"), F.when(F.col("max_len") > 0, F.col("max_len")).alias("char_limit"),
+        F.size(options).alias("num_items"), codes.alias("export_values"), at.alias("current_indices"), (boxes & (F.size(values) > 0) & ~F.coalesce(F.get(values, F.lit(0)), F.lit("Off")).isin("Off", "")).alias("checked"),
+    )
+
+
+def item_at(fields: DataFrame, index: int, export: bool = True) -> DataFrame:
+    """``doc_id, name, item``: an option of each choice by its position, -1 the last; null past the end."""
+    options = F.coalesce("options", F.expr("cast(array() as array<struct<export_value:string,display_text:string>>)"))
+    o = F.when(F.lit(index) == -1, F.try_element_at(options, F.lit(-1))).otherwise(F.get(options, F.lit(index)))
+    return fields.select("doc_id", "name", (o["export_value"] if export else o["display_text"]).alias("item"))

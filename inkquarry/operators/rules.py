@@ -312,3 +312,15 @@ def revoked(certificates: DataFrame, lists: DataFrame) -> DataFrame:
     """``id, revoked`` over certificates ``id, issuer, serial, at`` and revocation lists ``issuer, serial, revoked_at``: revoked by that time."""
     first = lists.groupBy("issuer", "serial").agg(F.min("revoked_at").alias("revoked_at"))
     return certificates.join(first, ["issuer", "serial"], "left").select("id", F.coalesce(F.col("revoked_at") <= F.col("at"), F.lit(False)).alias("revoked"))
+
+
+def report_html(report: DataFrame) -> DataFrame:
+    """``doc_id, html``: the report of ``check`` as a page for each document, rules in their order with their findings."""
+    esc = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    found = F.filter(F.coalesce("findings", F.expr("cast(array() as array<struct<page:int,message:string>>)")), lambda f: f.isNotNull())
+    items = F.array_join(F.transform(found, lambda f: F.concat(F.lit("<li>"), F.coalesce(F.concat(F.lit("Page "), f["page"].cast("string"), F.lit(": ")), F.lit("")), esc(f["message"]), F.lit("</li>"))), "")
+    more = F.when(F.col("more") > 0, F.concat(F.lit("<li>and "), F.col("more").cast("string"), F.lit(" more</li>"))).otherwise("")
+    row = F.concat(F.lit("<tr><td>"), "category", F.lit("</td><td>"), "rule", F.lit("</td><td>"), "status", F.lit("</td><td><ul>"), items, more, F.lit("</ul></td></tr>"))
+    each = report.select("doc_id", F.struct("n", row.alias("x")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "\n")
+    return each.groupBy("doc_id").agg(F.concat(F.lit("<!DOCTYPE html><html><body><h1>Accessibility report</h1><table>\n"), body, F.lit("\n</table></body></html>\n")).alias("html"))

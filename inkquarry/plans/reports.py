@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import audit, comments, diff, forms, layout, pages, sets
+from ..functions import af, text
+from ..operators import audit, comments, diff, forms, layout, pages, rules, sets
 from ..operators.textlines import glyph_lines
 from ..sources import formdata
 from ..sources.tables import table
@@ -262,3 +262,42 @@ def pages_by_label(spark, d):
 def combine_selected(spark, d):
     p = pages.once(table(spark, d, "pdf_pages")).select("doc_id", "page")
     return pages.combine_selected([(p, [2, 1]), (p, [3])]).select("doc_id", "source", "page")
+
+
+@R.query("field_properties", f"""SELECT doc_id, name, kind AS type, coalesce(array_to_string(value, ', '), '') AS value_as_string, coalesce(flags & 1 <> 0, false) AS read_only, coalesce(flags & 2 <> 0, false) AS required, CASE WHEN max_len > 0 THEN max_len END AS char_limit, CAST(coalesce(len(options), 0) AS INTEGER) AS num_items,
+  list_transform(coalesce(options, []), lambda o: coalesce(o.export_value, o.display_text)) AS export_values, list_filter(list_transform(coalesce(value, []), lambda v: CAST(list_position(list_transform(coalesce(options, []), lambda o: coalesce(o.export_value, o.display_text)), v) - 1 AS INTEGER)), lambda i: i >= 0) AS current_indices,
+  kind IN ('checkbox', 'radio') AND len(coalesce(value, [])) > 0 AND coalesce(value[1], 'Off') NOT IN ('Off', '') AS checked FROM {_F}""")
+def field_properties(spark, d):
+    return forms.properties(forms.once(table(spark, d, "fields")))
+
+
+@R.query("field_items", f"SELECT doc_id, name, options[-1].display_text AS item FROM {_F} WHERE kind IN ('list', 'combo')")
+def field_items(spark, d):
+    return forms.item_at(forms.once(table(spark, d, "fields")).where(c("kind").isin("list", "combo")), -1, export=False)
+
+
+@R.query("device_colours", "SELECT l_orderkey AS doc_id, bool_or(l_linenumber % 7 IN (1, 2)) AS device_rgb, bool_or(l_linenumber % 7 = 3) AS device_cmyk FROM lineitem GROUP BY ALL")
+def device_colours(spark, d):
+    op = F.when(c("l_linenumber") % 7 == 1, "rg").when(c("l_linenumber") % 7 == 2, "G").when(c("l_linenumber") % 7 == 3, "k").otherwise("re")
+    return audit.device_colours(table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), op.alias("op")))
+
+
+@R.query("declared_standards", "SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN '2b' WHEN 1 THEN '4' END AS archive, CASE WHEN c_custkey % 2 = 0 THEN '1' END AS accessible FROM customer")
+def declared_standards(spark, d):
+    k = c("c_custkey")
+    entry = lambda key, v: F.struct(F.lit(key).alias("key"), v.cast("string").alias("value"))
+    x = F.explode(F.array(entry("dc:title", F.lit("t")), entry("pdfaid:part", F.when(k % 3 == 0, " 2").when(k % 3 == 1, "4")), entry("pdfaid:conformance", F.when(k % 3 == 0, "B")), entry("pdfuaid:part", F.when(k % 2 == 0, "1")))).alias("x")
+    return audit.declared(table(spark, d, "customer").select(k.alias("doc_id"), x).select("doc_id", "x.*").where("value is not null"))
+
+
+@R.query("script_numbers", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS whole, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey // 4 AS VARCHAR) ELSE CAST(c_custkey // 4 AS VARCHAR) || ([ '.25', '.5', '.75' ])[c_custkey % 4] END AS part, c_custkey AS coerced FROM customer")
+def script_numbers(spark, d):
+    k = c("c_custkey").cast("double")
+    return table(spark, d, "customer").select("c_custkey", af.js_number(k).alias("whole"), af.js_number(k / 4).alias("part"), audit.whole(k).alias("coerced"))
+
+
+@R.query("accessibility_html", "SELECT doc_id, true AS complete FROM (SELECT DISTINCT doc_id FROM pdf_files)")
+def accessibility_html(spark, d):
+    report = rules.check(table(spark, d, "pdf_files").select("doc_id", "title", "tagged").distinct())
+    html = rules.report_html(report)
+    return html.select("doc_id", (F.size(F.split("html", "<tr>")) == len(rules.RULES) + 1).alias("complete"))

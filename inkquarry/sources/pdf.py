@@ -14,6 +14,7 @@ Files are listed and read through the file system that their address names, so a
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -443,6 +444,28 @@ def plain_text(doc: Document, page: dict) -> str:
     return "".join(out)
 
 
+def as_json(v, depth: int = 0) -> object:
+    """An object as plain data: names begin with a slash, references are ``{"ref": number}``, text strings are texts."""
+    if isinstance(v, Stream):
+        v = v.dict
+    if isinstance(v, Name):
+        return f"/{v}"
+    if isinstance(v, Ref):
+        return {"ref": v.num}
+    if isinstance(v, bytes):
+        return text(v)
+    if isinstance(v, dict):
+        return {k: as_json(x, depth + 1) for k, x in v.items()}
+    return [as_json(x, depth + 1) for x in v] if isinstance(v, list) else str(v) if isinstance(v, Keyword) else v
+
+
+def entry(value, *keys: str):
+    """A column with an entry of an object's dictionary, at any depth: ``entry("value", "Font", "Type")``."""
+    from pyspark.sql import functions as F
+
+    return F.get_json_object(value, "$" + "".join(f"['{k}']" for k in keys))
+
+
 def _numbers(v) -> list[float] | None:
     return [float(x) for x in v if isinstance(x, (int, float))] if isinstance(v, list) else None
 
@@ -661,7 +684,7 @@ def rows(path: str, data: bytes, table: str, password: str = "", revision: int |
     if table == "objects":
         for n, o in sorted(doc.objects.items()):
             d = o.dict if isinstance(o, Stream) else o if isinstance(o, dict) else {}
-            yield path, n, doc.gens.get(n, 0), str(d["Type"]) if isinstance(d.get("Type"), Name) else None, repr(d if isinstance(o, Stream) else o), len(o.raw) if isinstance(o, Stream) else None
+            yield path, n, doc.gens.get(n, 0), str(d["Type"]) if isinstance(d.get("Type"), Name) else None, json.dumps(as_json(o), ensure_ascii=False), len(o.raw) if isinstance(o, Stream) else None
         return
     if table == "permissions":
         e = doc.dict(doc.trailer.get("Encrypt"))
