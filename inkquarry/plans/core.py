@@ -65,7 +65,9 @@ def url_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.urls(c("text"))).alias("urls")).where("urls > 0")
 
 
-@R.query("url_policies")
+@R.query("url_policies", r"""WITH u AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '(?i)(?:https?://|www\.)[^\s<>"''()\[\]{}]+')), '[.,;:!?]+$', '') AS u FROM documents), v AS (SELECT CASE WHEN lower(left(u, 4)) = 'www.' THEN 'http://' || u ELSE u END AS u FROM u),
+  h AS (SELECT lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)) AS host FROM v)
+  SELECT host <> '' AS allowed, host, CASE WHEN host <> '' THEN '' WHEN scheme = '' THEN 'no scheme' ELSE 'no host' END AS reason, count(*) AS count FROM h GROUP BY ALL""")
 def url_policies(spark, d):
     u = table(spark, d, "documents").select("doc_id", F.explode(text.urls(c("text"))).alias("url"))
     return u.groupBy(text.url_policy(c("url")).alias("p")).count().select("p.*", "count")
@@ -470,7 +472,15 @@ def fc_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fc.fc_isodate2num(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
 
 
-@R.query("fc_wordnum")
+def _words_sql(n: str) -> str:
+    """English words of a number under a thousand, null for none."""
+    ones, tens = (f"[{', '.join(repr(w) for w in words)}]" for words in (fc._ONES, fc._TENS))
+    low = f"CASE WHEN {n} % 100 = 0 THEN NULL WHEN {n} % 100 < 20 THEN ({ones})[{n} % 100 + 1] ELSE ({tens})[{n} % 100 // 10 + 1] || CASE WHEN {n} % 10 <> 0 THEN '-' || ({ones})[{n} % 10 + 1] ELSE '' END END"
+    return f"concat_ws(' ', CASE WHEN {n} >= 100 THEN ({ones})[{n} // 100 + 1] || ' hundred' END, {low})"
+
+
+@R.query("fc_wordnum", f"""SELECT o_orderkey, CASE WHEN w = 0 THEN 'zero' ELSE concat_ws(' ', CASE WHEN m > 0 THEN {_words_sql('m')} || ' million' END, CASE WHEN t > 0 THEN {_words_sql('t')} || ' thousand' END, CASE WHEN u > 0 THEN {_words_sql('u')} END) END || ' dollars and ' || CASE WHEN c = 0 THEN 'zero' ELSE {_words_sql('c')} END || ' cents' AS words
+  FROM (SELECT o_orderkey, w, w // 1000000 AS m, w // 1000 % 1000 AS t, w % 1000 AS u, c FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS w, CAST(round((o_totalprice - floor(o_totalprice)) * 100) AS BIGINT) AS c FROM orders))""")
 def fc_wordnum(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fc.fc_wordnum(c("o_totalprice"), 2).alias("words"))
 

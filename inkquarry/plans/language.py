@@ -8,7 +8,7 @@ from ..functions import af, geometry, som, text
 from ..functions import formcalc as fc
 from ..operators import shred
 from ..sources.tables import table
-from .nested import _records
+from .nested import _NODES, _records
 from .registry import Registry
 
 R = Registry()
@@ -120,13 +120,16 @@ def _nodes(spark, d):
     return shred.shred(x, "rec_id", "raw", shred.XFA, plan, "node", "node", ["value"], "received_at")
 
 
-@R.query("som_find")
+_FOUND = _NODES.removesuffix("SELECT rec_id, som, parent_som FROM p")
+
+
+@R.query("som_find", _FOUND + r"SELECT rec_id, som AS path FROM p WHERE regexp_matches(som, '^[^.]+\.(?:[^.]+\.)*row\[\d+\]\.qty\[\d+\]$')")
 def som_find(spark, d):
     """All quantities of all rows, at any depth."""
     return som.find(_nodes(spark, d), "$form..row[*].qty[*]").select("rec_id", "path")
 
 
-@R.query("som_resolve")
+@R.query("som_resolve", _FOUND + """SELECT n.rec_id, n.som AS context, 'total' AS name, (SELECT arg_max(t.som, length(t.som)) FROM p t WHERE t.rec_id = n.rec_id AND (t.som = 'total[0]' OR (ends_with(t.som, '.total[0]') AND (n.som = t.parent_som OR starts_with(n.som, t.parent_som || '.'))))) AS found FROM p n""")
 def som_resolve(spark, d):
     """What ``total`` means at every node: the nearest one in scope."""
     n = _nodes(spark, d)
