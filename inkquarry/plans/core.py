@@ -153,16 +153,16 @@ def page_extract(spark, d):
     return pages.extract(pages.once(table(spark, d, "pdf_pages")).select("doc_id", "page"), [3, 1, 2, 1]).select("doc_id", "page", "pos")
 
 
-@R.query("page_narrowed", f"SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) - 1 AS INTEGER) AS pos FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM {_P} WHERE page >= 2) WHERE k % 2 = 1")
+@R.query("page_narrowed", f"SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) - 1 AS INTEGER) AS pos FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM {_P}) WHERE k % 2 = 1")
 def page_narrowed(spark, d):
-    p = pages.once(table(spark, d, "pdf_pages")).where("page >= 2").select("doc_id", "page", c("page").alias("pos"))
+    p = pages.once(table(spark, d, "pdf_pages")).select("doc_id", "page", c("page").alias("pos"))
     return pages.narrowed(p, odd=True, reverse=True).select("doc_id", "page", c("pos").cast("int").alias("pos"))
 
 
 @R.query("range_select", f"SELECT doc_id, page, CAST(pos AS INTEGER) AS pos FROM (SELECT f.doc_id, l.page, l.pos FROM (SELECT doc_id, max(page) AS n FROM {_P} GROUP BY doc_id) f, LATERAL (SELECT unnest(list_concat(list_concat([2], CASE WHEN n >= 4 THEN [4, 3] ELSE [x FOR x IN [4, 3] IF x <= n] END), CASE WHEN n >= 6 THEN range(6, n + 1) ELSE [] END)) AS page, generate_subscripts(list_concat(list_concat([2], CASE WHEN n >= 4 THEN [4, 3] ELSE [x FOR x IN [4, 3] IF x <= n] END), CASE WHEN n >= 6 THEN range(6, n + 1) ELSE [] END), 1) - 1 AS pos) l WHERE n >= 2)")
 def range_select(spark, d):
-    n = pages.once(table(spark, d, "pdf_pages")).groupBy("doc_id").agg(F.max("page").alias("n")).where("n >= 2")
-    spec = F.when(c("n") >= 6, "2, 4-3, 6-").otherwise("2, 4-3")
+    n = pages.once(table(spark, d, "pdf_pages")).groupBy("doc_id").agg(F.max("page").alias("n"))
+    spec = F.when(c("n") >= 6, "2, 4-3, 6-").when(c("n") >= 2, "2, 4-3").otherwise("1")
     return n.select("doc_id", F.posexplode(pages.ranges(spec, c("n"))).alias("pos", "page"))
 
 
@@ -199,10 +199,10 @@ def page_replace(spark, d):
     return pages.replace(p, p.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page"), F.lit("new").alias("label")), 2)
 
 
-@R.query("doc_combine", f"SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY source, page) AS INTEGER) AS page FROM (SELECT doc_id, page, 0 AS source FROM {_P} WHERE page <= 2 UNION ALL SELECT doc_id, page, 1 FROM {_P} WHERE page > 3)")
+@R.query("doc_combine", f"SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY source, page) AS INTEGER) AS page FROM (SELECT doc_id, page, 0 AS source FROM {_P} WHERE page <= 2 UNION ALL SELECT doc_id, page, 1 FROM {_P} WHERE page > 2)")
 def doc_combine(spark, d):
     p = pages.once(table(spark, d, "pdf_pages")).select("doc_id", "page")
-    return pages.combine([p.where("page <= 2"), p.where("page > 3")])
+    return pages.combine([p.where("page <= 2"), p.where("page > 2")])
 
 
 @R.query("split_every_n", f"SELECT doc_id, page, CAST((page - 1) // 4 AS INTEGER) AS part FROM {_P}")
