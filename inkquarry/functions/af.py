@@ -282,8 +282,8 @@ def recognise(script: str) -> dict | None:
     m = _CALL.match(script or "")
     if not m:
         return None
-    args = [a.strip() for a in re.findall(r"\"(?:[^\"\\]|\\.)*\"|new Array\s*\([^)]*\)|[^,]+", m[2])]
-    plain = [a[1:-1] if a[:1] == '"' else a for a in args]
+    args = [a.strip() for a in re.findall(r"\s*(\"(?:[^\"\\]|\\.)*\"|new Array\s*\([^)]*\)|[^,\s][^,]*)", m[2])]
+    plain = [re.sub(r"\\(.)", r"\1", a[1:-1]) if a[:1] == '"' else a for a in args]
     name = m[1]
     if name.startswith(("AFNumber", "AFPercent")) and len(plain) >= 2:
         out = {"kind": "number" if "Number" in name else "percent", "decimals": int(plain[0]), "style": int(plain[1])}
@@ -303,6 +303,47 @@ def recognise(script: str) -> dict | None:
     return None
 
 
+def to_script(spec: dict) -> str:
+    """The call that ``recognise`` reads as this format, calculation or range."""
+    q = lambda t: '"' + str(t).replace("\\", "\\\\").replace('"', '\\"') + '"'
+    b = lambda x: "true" if x else "false"
+    kind = spec["kind"]
+    if kind in ("number", "percent"):
+        name = "AFNumber_Format" if kind == "number" else "AFPercent_Format"
+        more = f", {spec['negative']}, 0, {q(spec['currency'])}, {b(spec['prepend'])}" if "currency" in spec else ""
+        return f"{name}({spec['decimals']}, {spec['style']}{more});"
+    if kind in ("date", "time"):
+        return f"AF{kind.capitalize()}_FormatEx({q(spec['picture'])});"
+    if kind == "special":
+        return f"AFSpecial_Format({spec['special']});"
+    if kind == "mask":
+        return f"AFSpecial_KeystrokeEx({q(spec['mask'])});"
+    if kind == "calculate":
+        return f"AFSimple_Calculate({q(spec['op'])}, new Array({', '.join(map(q, spec['fields']))}));"
+    if kind == "range":
+        return "AFRange_Validate(" + ", ".join(f"{b(spec[k] is not None)}, {spec[k] if spec[k] is not None else 0}" for k in ("low", "high")) + ");"
+    raise ValueError(f"no such format: {kind}")
+
+
+def display(value: Column, spec: dict) -> Column:
+    """A field's text as its format shows it; what doesn't fit stays as it is, blank stays blank."""
+    kind = spec["kind"]
+    if kind == "number":
+        shown = number_format(make_number(value), spec["decimals"], spec["style"], spec.get("negative", 0), spec.get("currency", ""), spec.get("prepend", True))
+    elif kind == "percent":
+        shown = percent_format(make_number(value), spec["decimals"], spec["style"])
+    elif kind in ("date", "time"):
+        moment = value.try_cast("timestamp") if kind == "time" else F.coalesce(value.try_cast("timestamp"), parse_date(value, spec.get("order", "mdy")).cast("timestamp"))
+        shown = date_format(moment, spec["picture"])
+    elif kind == "special":
+        shown = special(value, spec["special"])
+    elif kind == "mask":
+        shown = mask(value, spec["mask"])
+    else:
+        raise ValueError(f"no such format: {kind}")
+    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", "").otherwise(F.coalesce(shown, value))
+
+
 def recalculate(fields: Mapping[str, Column], calculations: Mapping[str, tuple[str, list[str]]]) -> dict[str, Column]:
     """All calculated fields, those they need first; a circle of fields is an error."""
     done, busy = dict(fields), set()

@@ -7,6 +7,7 @@ Aggregates drop nulls first; the sum of nothing is 0, other aggregates of nothin
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Mapping
 from functools import reduce
@@ -467,7 +468,7 @@ def fc_unitvalue(s, unit: str | None = None) -> Column:
 
 BUILTINS: Mapping[str, Callable[..., Column]] = {
     k[3:]: f for k, f in list(globals().items()) if k.startswith("fc_") and k not in ("fc_num", "fc_str", "fc_cmp", "fc_add", "fc_sub", "fc_mul", "fc_div", "fc_is_numeric", "fc_truthy", "fc_strn")
-} | {"str": fc_strn, "localdatefmt": fc_datefmt, "localtimefmt": fc_timefmt, "num2gmtime": fc_num2time, "isotime2num": fc_time2num, "uuid": lambda *_: F.uuid()}
+} | {"str": fc_strn, "localdatefmt": fc_datefmt, "localtimefmt": fc_timefmt, "num2gmtime": fc_num2time, "isotime2num": fc_time2num}
 
 
 # compiler: expressions, assignments and if
@@ -497,7 +498,7 @@ class Compiler:
         self.env = {k.lower(): v for k, v in fields.items()}
         self.lists = {k.lower(): v for k, v in (lists or {}).items()}
         self.funcs: dict[str, tuple[list[str], list]] = {}
-        self.calls = 0
+        self.calls = self.ids = 0
 
     def compile(self, script: str) -> Column:
         text = re.sub(r"(?m)(//|;;).*$", "", script)
@@ -743,6 +744,11 @@ class Compiler:
                     return F.lit(float(bool(raw) and raw[0][0] == "id" and (raw[0][1].lower() in self.env or raw[0][1].lower() in self.lists)))
                 if low in self.funcs:
                     return self.call(low, args)
+                if low == "uuid":
+                    # told by its place in the script, so a script gives the same ids each time
+                    self.ids += 1
+                    h = hashlib.md5(str(self.ids).encode()).hexdigest()
+                    return F.lit("-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])) if raw and raw[0][1] == "1" else h)
                 if low in ("get", "post", "put"):
                     raise FormCalcError(f"{text} is refused: no network")
                 f = BUILTINS.get(low)

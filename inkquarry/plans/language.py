@@ -211,3 +211,16 @@ def af_keystrokes(spark, d):
     number = af.keystroke(F.when(k % 3 == 0, "x").otherwise(k.cast("string")), "number")
     zips = af.keystroke(F.when(k % 2 == 0, F.lpad(k.cast("string"), 5, "0")).otherwise("abc"), "special", special=0)
     return table(spark, d, "customer").select("c_custkey", number["ok"].alias("number_ok"), number["error"].alias("number_error"), zips["ok"].alias("zip_ok"), zips["value"].alias("zip"), af.printx(F.lpad(k.cast("string"), 9, "0"), "999-99").alias("printed"))
+
+
+@R.query("fc_uuid", "SELECT c_custkey, md5('1') AS plain, md5('1')[1:8] || '-' || md5('1')[9:12] || '-' || md5('1')[13:16] || '-' || md5('1')[17:20] || '-' || md5('1')[21:] AS grouped FROM customer")
+def fc_uuid(spark, d):
+    return _run(table(spark, d, "customer"), ["c_custkey"], {"plain": "Uuid()", "grouped": "Uuid(1)"}, {})
+
+
+@R.query("af_display", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 1 THEN 'none' ELSE CASE WHEN c_acctbal < 0 THEN '(' ELSE '' END || format('{:,.2f}', abs(c_acctbal)) || ' EUR' || CASE WHEN c_acctbal < 0 THEN ')' ELSE '' END END AS money, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip, '04.03.31' AS day FROM customer")
+def af_display(spark, d):
+    k = c("c_custkey")
+    value = F.when(k % 10 == 0, "  ").when(k % 10 == 1, "none").otherwise(F.format_string("%.2f", c("c_acctbal")))
+    specs = {n: af.recognise(s) for n, s in (("money", 'AFNumber_Format(2, 0, 2, 0, " EUR", false);'), ("zip", "AFSpecial_Format(0);"), ("day", 'AFDate_FormatEx("dd.mm.yy");'))}
+    return table(spark, d, "customer").select("c_custkey", af.display(value, specs["money"]).alias("money"), af.display(F.lpad(k.cast("string"), 5, "0"), specs["zip"]).alias("zip"), af.display(F.lit("3/4/2031"), specs["day"]).alias("day"))

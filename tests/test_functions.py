@@ -163,3 +163,14 @@ def test_number_round_trip(spark, numbers):
         back = df.select("x", af.make_number(af.number_format(F.col("x"), 2, style)).alias("y")).where("abs(x - y) > 0.005")
         # a style whose comma stands before three digits reads as a group, as the parser says
         assert back.isEmpty() or style == 3
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"kind": "number", "decimals": 2, "style": 1}, {"kind": "number", "decimals": 0, "style": 2, "negative": 3, "currency": 'a "b", c', "prepend": False}, {"kind": "percent", "decimals": 1, "style": 0}, {"kind": "date", "picture": "dd.mm.yy"}, {"kind": "time", "picture": "HH:MM"},
+        {"kind": "special", "special": 3}, {"kind": "mask", "mask": "(999) AA"}, {"kind": "calculate", "op": "AVG", "fields": ["a", "b.c"]}, {"kind": "range", "low": 1.5, "high": None},
+    ],
+)
+def test_format_scripts_both_ways(spec):
+    assert af.recognise(af.to_script(spec)) == spec
