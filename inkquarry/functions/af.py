@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 _GROUP = {0: (",", "."), 1: ("", "."), 2: (".", ","), 3: ("", ","), 4: ("'", ".")}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it: long formulas would else repeat it each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def make_number(text: Column) -> Column:
     """Number of typed text: signs of money and groups are ignored, (x) is negative, a comma that comes last is decimal."""
-    t = F.regexp_replace(text, r"[\s$€£¥'%]", "")
-    negative = t.rlike(r"^\(.*\)$")
-    t = F.regexp_replace(t, r"^\(+|\)+$", "")
-    comma, dot = F.length(t) - F.instr(F.reverse(t), ",") + 1, F.length(t) - F.instr(F.reverse(t), ".") + 1
-    has_comma, has_dot = F.instr(t, ",") > 0, F.instr(t, ".") > 0
-    plain = (
-        F.when(has_comma & has_dot & (comma > dot), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(has_comma & ~has_dot & (F.length(t) - comma != 3), F.replace(t, F.lit(","), F.lit(".")))
-        .otherwise(F.replace(t, F.lit(","), F.lit("")))
-    )
-    v = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
-    return F.when(negative, -v).otherwise(v)
+
+    def number(raw: Column) -> Column:
+        t = F.regexp_replace(raw, r"^\(+|\)+$", "")
+        comma, dot = F.length(t) - F.instr(F.reverse(t), ",") + 1, F.length(t) - F.instr(F.reverse(t), ".") + 1
+        has_comma, has_dot = F.instr(t, ",") > 0, F.instr(t, ".") > 0
+        plain = (
+            F.when(has_comma & has_dot & (comma > dot), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(has_comma & ~has_dot & (F.length(t) - comma != 3), F.replace(t, F.lit(","), F.lit(".")))
+            .otherwise(F.replace(t, F.lit(","), F.lit("")))
+        )
+        v = let(plain, lambda p: F.when(p.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), p.try_cast("double")))
+        return v * F.when(raw.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0)
+
+    return let(F.regexp_replace(text, r"[\s$€£¥'%]", ""), number)
 
 
 def js_number(v: Column) -> Column:
@@ -54,10 +61,14 @@ def number_text(v: Column, decimals: int = 2, style: int = 0) -> Column:
 
 def number_format(v: Column, decimals: int = 2, style: int = 0, negative: int = 0, currency: str = "", prepend: bool = True) -> Column:
     """Display text of a number. negative: 0 minus, 1 red only, 2 in brackets, 3 red in brackets."""
-    body = number_text(v, decimals, style)
-    body = F.concat(F.lit(currency), body) if prepend else F.concat(body, F.lit(currency))
-    below = v < 0
-    return F.when(below & F.lit(negative >= 2), F.concat(F.lit("("), body, F.lit(")"))).when(below & F.lit(negative == 0), F.concat(F.lit("-"), body)).otherwise(body)
+
+    def show(v: Column) -> Column:
+        body = number_text(v, decimals, style)
+        body = F.concat(F.lit(currency), body) if prepend else F.concat(body, F.lit(currency))
+        before, after = ("(", ")") if negative >= 2 else ("-", "") if negative == 0 else ("", "")
+        return F.concat(F.when(v < 0, before).otherwise(""), body, F.when(v < 0, after).otherwise(""))
+
+    return let(v.cast("double"), show)
 
 
 def percent_format(v: Column, decimals: int = 2, style: int = 0) -> Column:
