@@ -301,3 +301,38 @@ def accessibility_html(spark, d):
     report = rules.check(table(spark, d, "pdf_files").select("doc_id", "title", "tagged").distinct())
     html = rules.report_html(report)
     return html.select("doc_id", (F.size(F.split("html", "<tr>")) == len(rules.RULES) + 1).alias("complete"))
+
+
+_N = """(SELECT c_custkey AS k, CAST(200 + c_custkey % 700 AS VARCHAR) AS a, CAST(300 + c_custkey % 600 AS VARCHAR) AS b, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS c, lpad(CAST(c_custkey % 999 AS VARCHAR), 3, '0') AS area, lpad(CAST(1 + c_custkey % 99 AS VARCHAR), 2, '0') AS grp, lpad(CAST(1 + c_custkey % 9999 AS VARCHAR), 4, '0') AS serial,
+  CAST(1 + c_custkey % 12 AS VARCHAR) AS m, CAST(1 + c_custkey % 28 AS VARCHAR) AS dd, CAST(1990 + c_custkey % 40 AS VARCHAR) AS y, lpad(CAST(c_custkey * 7919 + 400000000000000 AS VARCHAR), 15, '0') AS base FROM customer)"""
+
+
+@R.query("patterns_in_sentences", f"""WITH n AS {_N}, s AS (SELECT *, list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN (CAST(base[i] AS INTEGER) * 2) // 10 + (CAST(base[i] AS INTEGER) * 2) % 10 ELSE CAST(base[i] AS INTEGER) END)) AS total FROM n)
+  SELECT k, ['(' || a || ') ' || b || '-' || c, '+1 ' || a || '.' || b || '.' || c] AS phone, CASE WHEN area IN ('000', '666') OR area >= '900' THEN []::VARCHAR[] ELSE [area || '-' || grp || '-' || serial] END AS ssn, [m || '/' || dd || '/' || y, y || '-' || m || '-' || dd, dd || ' March ' || y] AS date,
+    ['u' || k || '.x@h' || k % 7 || '.test'] AS email, [base[1:4] || ' ' || base[5:8] || ' ' || base[9:12] || ' ' || base[13:15] || CAST((10 - total % 10) % 10 AS VARCHAR)] AS card FROM s""")
+def patterns_in_sentences(spark, d):
+    """Sentences that are made to hold what is found, and near misses beside it."""
+    k = c("c_custkey")
+    s = lambda x: x.cast("string")
+    a, b, e = s(200 + k % 700), s(300 + k % 600), F.lpad(s(k % 10000), 4, "0")
+    area, group, serial = F.lpad(s(k % 999), 3, "0"), F.lpad(s(1 + k % 99), 2, "0"), F.lpad(s(1 + k % 9999), 4, "0")
+    m, day, y = s(1 + k % 12), s(1 + k % 28), s(1990 + k % 40)
+    base = F.lpad(s(k * 7919 + 400000000000000), 15, "0")
+    check = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(base, i.cast("string"))), text.luhn), F.lit(0))
+    card = F.concat_ws(" ", *(F.substring(check, i, 4) for i in (1, 5, 9, 13)))
+    wrong = F.concat(F.substring(check, 1, 15), s((F.substring(check, 16, 1).cast("int") + 1) % 10))
+    line = F.concat
+    t = table(spark, d, "customer").select(
+        k.alias("k"), line(F.lit("Ring ("), a, F.lit(") "), b, F.lit("-"), e, F.lit(" or +1 "), a, F.lit("."), b, F.lit("."), e, F.lit(", never "), a, b, e, F.lit(".")).alias("phone"), line(F.lit("Held: "), area, F.lit("-"), group, F.lit("-"), serial, F.lit(", not "), area, F.lit("-"), group, F.lit("-1.")).alias("ssn"),
+        line(F.lit("Seen "), m, F.lit("/"), day, F.lit("/"), y, F.lit(", "), y, F.lit("-"), m, F.lit("-"), day, F.lit(" and "), day, F.lit(" March "), y, F.lit("; ratio "), m, F.lit("/"), day, F.lit(".")).alias("date"), line(F.lit("To u"), k, F.lit(".x@h"), k % 7, F.lit(".test, not u"), k, F.lit("@h.")).alias("email"), line(F.lit("Paid by "), card, F.lit("; refused: "), wrong, F.lit(".")).alias("card"),
+    )
+    return t.select("k", text.phones(c("phone")).alias("phone"), text.ssns(c("ssn")).alias("ssn"), text.dates(c("date")).alias("date"), text.emails(c("email")).alias("email"), text.cards(c("card")).alias("card"))
+
+
+@R.query("paragraphs_of_lines", "SELECT c_custkey AS doc_id, 1 AS page, 0 AS block, 0 AS first_line, 2 AS last_line, c_name || ' goes onward and ends' AS text FROM customer UNION ALL SELECT c_custkey, 1, 1, 3, 3, 'Heading' FROM customer UNION ALL SELECT c_custkey, 1, 2, 4, 4, 'far below' FROM customer")
+def paragraphs_of_lines(spark, d):
+    """Three lines at one distance, a heading in another size, a line far below."""
+    box = lambda y, wide, high: F.array(*(F.lit(float(x)) for x in (20, y, 20 + wide, y + high)))
+    lines = [(F.concat("c_name", F.lit(" goes on-")), 40, 300, 10), (F.lit("ward"), 53, 280, 10), (F.lit("and ends"), 66, 90, 10), (F.lit("Heading"), 90, 120, 18), (F.lit("far below"), 300, 80, 10)]
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("line"), t.alias("text"), box(y, w, h).alias("rect"), F.lit(float(h)).alias("size")) for i, (t, y, w, h) in enumerate(lines)))).alias("x")
+    return layout.text_blocks(table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), F.lit(1).alias("page"), rows).select("doc_id", "page", "x.*"))
