@@ -51,6 +51,8 @@ LOOK_ALIKE = frozenset("АВЕЅЗІЈКМНОРСТУХавеѕіјкмнорс
 _QUOTED = re.compile(r"^[(\[]?([^\x00-\x7f])(?=[A-Za-z0-9])[\x21-\x7e]*?([^\x00-\x7f])[.,;:!?)\]]*$")
 _PRICED = re.compile(r"^[(]?([^\x00-\x7f])[0-9][0-9.,]*\)?$")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: How often a word counts in one file at most, when forms and originals are weighed.
+VOTES = 20
 #: ASCII marks around a word are not part of it.
 _EDGE = "\"'()[]{}<>.,;:!"
 _EDGE_CLASS = r"\"'()\[\]{}<>.,;:!"
@@ -331,7 +333,9 @@ def garbled(units: DataFrame) -> DataFrame:
     """
     # each step reads a written table: without that the plan repeats itself at every join
     toks = stored(tokens(units), "encodings-tokens")
-    words = stored(toks.groupBy("token").agg(F.count("*").alias("n")), "encodings-words")
+    # a file has at most VOTES votes for a word: one garbled file, however large, doesn't make its forms usual
+    by_file = toks.groupBy("token", "src", "doc_id").agg(F.least(F.count("*"), F.lit(VOTES)).alias("n"))
+    words = stored(by_file.groupBy("token").agg(F.sum("n").alias("n")), "encodings-words")
     hits = toks.join(garbled_tokens(words).hint("merge"), "token")
     of_chain = F.collect_set(F.struct("chain", "token"))
     at_home = F.col("weak") & F.col("restored").isNotNull() & (home_script(F.col("restored")) == F.col("home")) & (home_script(F.col("token")) != F.col("home"))

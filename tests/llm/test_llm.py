@@ -113,6 +113,15 @@ def test_encodings_of_a_lone_letter(spark):
     assert got == {"Ï ναυτικός βρήκε τη βάρκα": "Ο ναυτικός βρήκε τη βάρκα"}
 
 
+def test_one_garbled_file_is_no_usual_spelling(spark):
+    # half of all lines are of one file, garbled into words that look clean
+    clean = ["инженер купил новый журнал за мостом", "мельник открыл старый зонтик у реки"]
+    bad = [t.encode("cp1251").decode("koi8_r") for t in clean]
+    data = [("glyphs", 1, 1, i, "", bad[i % 2]) for i in range(400)] + [("glyphs", 2 + i // 4, 1, i % 4, "", clean[i % 2]) for i in range(400)]
+    got = encodings.found(spark.createDataFrame(data, UNITS))
+    assert {r["doc_id"] for r in got.collect()} == {1} and got.count() == 400
+
+
 # problem 3
 
 
