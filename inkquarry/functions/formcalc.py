@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .af import let
+
 _LEADING = r"^\s*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?))"
 _NUMERIC = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
@@ -415,17 +417,19 @@ def fc_npv(rate, *flows) -> Column:
 
 
 def _paid(pv, rate, pmt, first, count, principal: bool) -> Column:
-    p, r, a = fc_num(pv), fc_num(rate) / 12, fc_num(pmt)
     lo = F.greatest(F.lit(1), fc_num(first).cast("int"))
     hi = F.least(F.lit(10_000), lo + F.greatest(F.lit(0), fc_num(count).cast("int")) - 1)
-    start = F.struct(p.alias("b"), F.lit(0.0).alias("s"))
 
-    def step(acc: Column, k: Column) -> Column:
-        interest = acc["b"] * r
-        part = F.least(a - interest, acc["b"]) if principal else interest
-        return F.struct((acc["b"] - (a - interest)).alias("b"), (acc["s"] + F.when((k >= lo) & (acc["b"] > 0), part).otherwise(0.0)).alias("s"))
+    def paid(v: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            interest = acc["b"] * v["r"]
+            part = F.least(v["a"] - interest, acc["b"]) if principal else interest
+            return F.struct((acc["b"] - (v["a"] - interest)).alias("b"), (acc["s"] + F.when((k >= v["lo"]) & (acc["b"] > 0), part).otherwise(0.0)).alias("s"))
+
+        start = F.struct(v["p"].alias("b"), F.lit(0.0).alias("s"))
+        return F.when(v["hi"] >= v["lo"], F.aggregate(F.sequence(F.lit(1), F.greatest(v["hi"], F.lit(1))), start, step)["s"]).otherwise(0.0)
 
-    return F.when(hi >= lo, F.aggregate(F.sequence(F.lit(1), F.greatest(hi, F.lit(1))), start, step)["s"]).otherwise(0.0)
+    return let(F.struct(fc_num(pv).alias("p"), (fc_num(rate) / 12).alias("r"), fc_num(pmt).alias("a"), lo.alias("lo"), hi.alias("hi")), paid)
 
 
 def fc_ipmt(pv, rate, pmt, first, count) -> Column:
@@ -437,16 +441,34 @@ def fc_ppmt(pv, rate, pmt, first, count) -> Column:
 
 
 def fc_apr(principal, pmt, months) -> Column:
-    """Yearly rate of a loan, by bisection of the monthly one."""
-    p, a, n = fc_num(principal), fc_num(pmt), fc_num(months)
+    """Yearly rate of a loan. The payment grows with the monthly rate along a convex curve, so Newton's method from above settles in a few steps; what has no rate in reach, or hasn't settled, is bisected."""
+
+    def bisected(v: Column) -> Column:
+        def step(acc: Column, _k: Column) -> Column:
+            mid = (acc["lo"] + acc["hi"]) / 2
+            due = v["p"] * mid / (1 - F.pow(1 + mid, -v["n"]))
+            return F.when(due > v["a"], F.struct(acc["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), acc["hi"].alias("hi")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(F.lit(1e-12).alias("lo"), F.lit(1.0).alias("hi")), step)["lo"]
+
+    def settled(v: Column, x: Column, steps: int) -> Column:
+        def closer(e: Column) -> Column:  # e = (1 + x) ** -n - 1
+            return x - F.try_divide(e * (x + v["c"] * e) * (1 + x), e * (1 + x) + x * v["n"] * (1 + e))
+
+        def then(y: Column) -> Column:
+            return F.when((F.abs(y - x) <= 1e-15 + 1e-13 * x) & y.between(1e-12, 1.0), y).otherwise(settled(v, y, steps - 1) if steps > 1 else bisected(v))
+
+        return let(let(F.expm1(v["n"] * -F.log1p(x)), closer), then)
+
+    def monthly(v: Column) -> Column:
+        above = F.least(v["c"], (v["c"] * v["n"] - 1) * 2 / (v["n"] + 1), F.lit(1.0))
+        return let(F.when((v["p"] > 0) & (v["a"] > 0) & (v["n"] >= 1), above), lambda x: settled(v, x, 6))
 
-    def step(acc: Column, _k: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        due = p * mid / (1 - F.pow(1 + mid, -n))
-        return F.struct(F.when(due > a, acc["lo"]).otherwise(mid).alias("lo"), F.when(due > a, mid).otherwise(acc["hi"]).alias("hi"))
+    def shared(v: Column) -> Column:
+        return F.struct(v["p"], v["a"], v["n"], F.try_divide(v["a"], v["p"]).alias("c"))
 
-    got = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(F.lit(1e-12).alias("lo"), F.lit(1.0).alias("hi")), step)
-    return got["lo"] * 12
+    given = F.struct(fc_num(principal).alias("p"), fc_num(pmt).alias("a"), fc_num(months).alias("n"))
+    return let(let(given, shared), monthly) * 12
 
 
 # units

@@ -1,6 +1,7 @@
 """Column builders against literal cases."""
 
 import datetime
+import math
 import random
 
 import pytest
@@ -126,6 +127,22 @@ def test_loan(spark):
     assert abs(value(spark, fc.fc_npv(0.1, 110.0, None, 121.0)) - 200) < 1e-9
 
 
+def test_loans_use_their_arguments_once(spark):
+    """Arguments inside a fold or a search are read from text once, not once for each step."""
+    df = spark.createDataFrame([("1000", "0.12", "89", "1", "12")], "p string, r string, a string, f string, k string")
+    for f, args in ((fc.fc_apr, "pak"), (fc.fc_ipmt, "prafk"), (fc.fc_ppmt, "prafk")):
+        plan = df.select(f(*(F.col(x) for x in args)).alias("x"))._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("regexp_extract") <= len(args) + (f is not fc.fc_apr)
+
+
+def test_apr(spark):
+    loans = [(p, r, n) for p in (0.5, 1000.0, 3e8) for r in (1e-6, 0.0004, 0.01, 0.3, 0.999) for n in (1.0, 2.0, 24.0, 360.0, 5000.0)]
+    got = spark.createDataFrame([(p, p * r / -math.expm1(-n * math.log1p(r)), n, r) for p, r, n in loans], "p double, a double, n double, r double")
+    assert all(abs(x["apr"] - 12 * x["r"]) < 1e-12 for x in got.select("r", fc.fc_apr(F.col("p"), F.col("a"), F.col("n")).alias("apr")).collect())
+    assert value(spark, fc.fc_apr(1000, 5, 24)) < 1e-9 and value(spark, fc.fc_apr(1000, 5000, 24)) == 12  # too little for any rate, more than the highest
+    assert abs(value(spark, fc.fc_apr(1000, 2000, 0.5)) - value(spark, fc.fc_apr(1, 2, 0.5))) < 1e-9
+
+
 def test_formats(spark):
     assert value(spark, af.number_format(F.lit(-1234567.895), 2, 2, 2, "€ ")) == "(€ 1.234.567,90)"
     assert [value(spark, af.number_text(F.lit(1234.5), 1, s)) for s in range(5)] == ["1,234.5", "1234.5", "1.234,5", "1234,5", "1'234.5"]
