@@ -585,7 +585,7 @@ def field_descriptions(spark, d):
 
 @R.query("heading_nesting", "SELECT doc_id, preorder, level FROM (SELECT doc_id, preorder, level, lag(level, 1, 0) OVER (PARTITION BY doc_id ORDER BY preorder) AS b FROM (SELECT DISTINCT doc_id, page AS preorder, CAST(page * page % 4 + 1 AS INTEGER) AS level FROM pdf_pages)) WHERE level > b + 1")
 def heading_nesting(spark, d):
-    h = pages.once(table(spark, d, "pdf_pages")).select("doc_id", c("page").alias("preorder"), (c("page") * c("page") % 4 + 1).alias("level"))
+    h = pages.once(table(spark, d, "pdf_pages")).select("doc_id", c("page").alias("preorder"), (c("page").cast("bigint") * c("page") % 4 + 1).cast("int").alias("level"))  # the square of a page past 46,340 is no int
     return rules.heading_nesting(h).select("doc_id", "preorder", "level")
 
 

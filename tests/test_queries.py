@@ -22,3 +22,13 @@ def test_query(spark, con, name):
     else:
         df = query(spark, DATA)
         assert df.columns and len(df.collect()) >= 0
+
+
+def test_heading_nesting_of_many_pages(spark, tmp_path):
+    """Pages whose square is no 32-bit number; the SQL's engine refuses them."""
+    pages = [1, 2, 46340, 46341, 46342, 46345, 2**31 - 2]
+    spark.createDataFrame([(7, p) for p in pages + pages[3:]], "doc_id bigint, page int").write.parquet(f"{tmp_path}/pdf_pages.parquet")
+    df = QUERIES["heading_nesting"][0](spark, str(tmp_path))
+    assert df.schema["level"].dataType.simpleString() == "int"
+    levels = [(p, p * p % 4 + 1) for p in pages]
+    assert sorted(map(tuple, df.collect())) == [(7, p, x) for (p, x), b in zip(levels, [0] + [x for _, x in levels], strict=False) if x > b + 1]
