@@ -68,9 +68,10 @@ def reset(fields: DataFrame) -> DataFrame:
 
 
 def display(fields: DataFrame) -> DataFrame:
-    """Values of choices by their display text, where there is one: ``doc_id, name, shown array<string>``."""
-    names = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.coalesce("options", F.expr("cast(array() as array<struct<export_value:string,display_text:string>>)")), lambda o: o["export_value"].isNotNull()), lambda o: F.struct(o["export_value"], F.coalesce(o["display_text"], o["export_value"])))))
-    return fields.select("doc_id", "name", F.transform(F.coalesce("value", F.array().cast("array<string>")), lambda v: F.coalesce(F.try_element_at(names, v), v)).alias("shown"))
+    """Values of choices by their display text, where there is one: ``doc_id, name, shown array<string>``. Of several options of one value the first counts."""
+    options = F.coalesce("options", F.expr("cast(array() as array<struct<export_value:string,display_text:string>>)"))
+    first = lambda v: F.get(F.filter(options, lambda o: o["export_value"] == v), F.lit(0))["display_text"]
+    return fields.select("doc_id", "name", F.transform(F.coalesce("value", F.array().cast("array<string>")), lambda v: F.coalesce(first(v), v)).alias("shown"))
 
 
 def _xml(t: Column) -> Column:

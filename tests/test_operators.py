@@ -173,6 +173,18 @@ def test_forms(spark):
     assert "<value>x</value><value>y</value>" in rows(forms.to_xfdf(f), "xml")[0][0] and "/T(a)/V(x, y)" in rows(forms.to_fdf(f), "fdf")[0][0]
 
 
+def test_display_takes_the_first_of_equal_options(spark):
+    f = spark.createDataFrame(
+        [
+            (1, "twice", ["p", "q", None, "x"], [("p", "Pen"), ("q", "Quill"), ("p", "Pencil")]), (1, "none first", ["p"], [("p", None), ("p", "Pencil")]), (1, "same", ["p"], [("p", "Pen"), ("p", "Pen")]),
+            (1, "nulls", ["p", ""], [(None, "Nothing"), None, ("p", "Pen"), ("", "Blank")]), (1, "no options", ["p"], None), (1, "no value", None, [("p", "Pen"), ("p", "Pencil")]),
+        ],
+        "doc_id bigint, name string, value array<string>, options array<struct<export_value:string,display_text:string>>",
+    )
+    want = {"twice": ["Pen", "Quill", None, "x"], "none first": ["p"], "same": ["Pen"], "nulls": ["Pen", "Blank"], "no options": ["p"], "no value": []}
+    assert dict(rows(forms.display(f), "name", "shown")) == want
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
